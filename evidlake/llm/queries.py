@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing
+from pyspark.sql import functions as F
+
+from . import decontam, mixing, substrings
 
 
 def _table(spark, sf_dir, name):
@@ -19,5 +21,10 @@ def op5_decontaminate(spark, sf_dir):
     return decontam.contaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    out = substrings.cut_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_source_mix, op5_decontaminate)}
+    return {f.__name__: f for f in (op3_source_mix, op5_decontaminate, op7_substring_dedup)}
