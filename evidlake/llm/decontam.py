@@ -27,7 +27,6 @@ SPAN = 13
 K = 8
 WINDOW = SPAN - K + 1
 INLINE_PRINTS = 50_000
-PRINTS = "array<struct<hash:bigint,at:int>>"
 #: A kept hash carries its place in the low bits, inverted, so that the last of equals is the least.
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
@@ -38,23 +37,32 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def kept(w: Column, k: int, window: int) -> Column:
-    """Kept hashes of an array of words: array of (hash, at), at counting from 0."""
+def kept(w: Column, k: int, window: int, row, known: list[int] | None = None) -> Column:
+    """row(hash, at) for each kept hash of an array of words (of those in `known`, if given), at counting from 0.
+
+    The place of a window's least hash never moves back, so a hash kept twice is kept by neighbours.
+    """
 
     def hashed(i):
         gram = F.xxhash64(*[F.get(w, i + j) for j in range(k)])
         return gram.bitwiseAND(F.lit(~PLACE)).bitwiseOR((F.lit(PLACE) - i).cast("long").bitwiseAND(F.lit(PLACE)))
 
+    def pick(least):
+        value = lambda i: F.get(least, i).bitwiseAND(F.lit(~PLACE))
+        at = lambda i: i + F.pmod(F.lit(PLACE) - F.get(least, i) - i, F.lit(PLACE + 1)).cast("int")
+
+        def wanted(i):
+            new = (i == 0) | (F.get(least, i) != F.get(least, i - 1)) if window > 1 else F.lit(True)
+            return new if known is None else value(i).isin(known) & new
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(least) - 1), wanted), lambda i: row(value(i), at(i)))
+
     def winnow(h):
         if window == 1:
-            return F.transform(h, lambda x, i: F.struct(x.bitwiseAND(F.lit(~PLACE)).alias("hash"), i.alias("at")))
-        least = F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.struct(F.least(*[F.get(h, i + j) for j in range(window)]).alias("x"), i.alias("i")))
-        place = lambda s: s["i"] + F.pmod(F.lit(PLACE) - s["x"] - s["i"], F.lit(PLACE + 1)).cast("int")
-        return F.array_distinct(F.transform(least, lambda s: F.struct(s["x"].bitwiseAND(F.lit(~PLACE)).alias("hash"), place(s).alias("at"))))
+            return pick(h)
+        return let(F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.least(*[F.get(h, i + j) for j in range(window)])), pick)
 
-    enough = F.size(w) >= k + window - 1
-    none = F.array().cast(PRINTS)
-    return F.when(enough, let(F.transform(F.sequence(F.lit(0), F.size(w) - k), hashed), winnow)).otherwise(none)
+    return F.when(F.size(w) >= k + window - 1, let(F.transform(F.sequence(F.lit(0), F.size(w) - k), hashed), winnow))
 
 
 def around(w: Column, at: Column, k: int, reach: int) -> Column:
@@ -73,11 +81,8 @@ def agreeing(a: Column, b: Column) -> Column:
 
 def _hits(w: Column, gram: int, window: int, least: int, known: list[int] | None) -> Column:
     """Kept hashes of a document with the words around them; only those in `known`, if given."""
-    found = kept(w, gram, window)
-    if known is not None:
-        found = F.filter(found, lambda p: p["hash"].isin(known)) if known else F.array().cast(PRINTS)
-    row = lambda p: F.struct(F.lit(least).alias("least"), F.lit(gram).alias("k"), p["hash"].alias("hash"), p["at"].alias("at"), around(w, p["at"], gram, least - gram).alias("here"))
-    return let(found, lambda f: F.transform(f, row))
+    row = lambda h, at: F.struct(F.lit(least).alias("least"), F.lit(gram).alias("k"), h.alias("hash"), at.alias("at"), around(w, at, gram, least - gram).alias("here"))
+    return F.coalesce(kept(w, gram, window, row, known), F.array())
 
 
 def contaminate(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", span: int = SPAN, k: int = K, carry: dict[str, Column] | None = None) -> DataFrame:
@@ -90,7 +95,7 @@ def contaminate(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col=
     prints = None
     for gram, window, least in schemes:
         fit = pool.where(F.size("w") >= span if least == span else F.size("w") == least)
-        one = fit.select("item", "w", F.explode(kept(F.col("w"), gram, window)).alias("p")).select("item", F.lit(least).alias("least"), F.col("p.hash").alias("hash"), around(F.col("w"), F.col("p.at"), gram, least - gram).alias("there"))
+        one = fit.select("item", "w", F.explode(kept(F.col("w"), gram, window, lambda h, at: F.struct(h.alias("hash"), at.alias("at")))).alias("p")).select("item", F.lit(least).alias("least"), F.col("p.hash").alias("hash"), around(F.col("w"), F.col("p.at"), gram, least - gram).alias("there"))
         prints = one if prints is None else prints.unionByName(one)
     sample = prints.select("least", "hash").limit(INLINE_PRINTS + 1).collect()
     inline = len(sample) <= INLINE_PRINTS

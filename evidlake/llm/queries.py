@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, substrings
+from . import decontam, mixing, quality, substrings
 
 
 def _table(spark, sf_dir, name):
@@ -26,5 +26,11 @@ def op7_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
 
+def op9_quality_rules(spark, sf_dir):
+    out = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select(*first, F.array_join("rejected_by", ",").alias("rejected_by"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_source_mix, op5_decontaminate, op7_substring_dedup)}
+    return {f.__name__: f for f in (op3_source_mix, op5_decontaminate, op7_substring_dedup, op9_quality_rules)}
