@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, substrings
+from . import decontam, mixing, neardup, quality, substrings
 
 
 def _table(spark, sf_dir, name):
@@ -32,5 +32,9 @@ def op9_quality_rules(spark, sf_dir):
     return out.select(*first, F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return neardup.jaccard_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_source_mix, op5_decontaminate, op7_substring_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op3_source_mix, op5_decontaminate, op7_substring_dedup, op9_quality_rules, op10_jaccard_join)}
