@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, quality, substrings
+from . import decontam, mixing, neardup, quality, sstable, substrings
 
 
 def _table(spark, sf_dir, name):
@@ -36,5 +36,15 @@ def op10_jaccard_join(spark, sf_dir):
     return neardup.jaccard_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_shingles")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_shards(spark, sf_dir):
+    return sstable.token_output(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_source_mix, op5_decontaminate, op7_substring_dedup, op9_quality_rules, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_token_shards, op3_source_mix, op5_decontaminate, op7_substring_dedup, op9_quality_rules, op10_jaccard_join)}
