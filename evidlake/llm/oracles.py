@@ -46,5 +46,15 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+ARCHIVES = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": MIX, "op5_decontaminate": DECONTAMINATE}
+    return {"op3_source_mix": MIX, "op5_decontaminate": DECONTAMINATE, "op6_page_archives": ARCHIVES}

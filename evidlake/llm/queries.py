@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, quality, sstable, substrings
+from . import decontam, mixing, neardup, quality, sstable, substrings, warczip
 
 
 def _table(spark, sf_dir, name):
@@ -46,5 +46,10 @@ def op2_token_shards(spark, sf_dir):
     return sstable.token_output(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_page_archives(spark, sf_dir):
+    out = warczip.archive_pages(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_shards, op3_source_mix, op5_decontaminate, op7_substring_dedup, op9_quality_rules, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_token_shards, op3_source_mix, op5_decontaminate, op6_page_archives, op7_substring_dedup, op9_quality_rules, op10_jaccard_join)}
