@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, quality, sstable, substrings, warczip
+from . import decontam, langid, mixing, neardup, quality, sstable, substrings, warczip
 
 
 def _table(spark, sf_dir, name):
@@ -51,5 +51,9 @@ def op6_page_archives(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op1_language_id(spark, sf_dir):
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_shards, op3_source_mix, op5_decontaminate, op6_page_archives, op7_substring_dedup, op9_quality_rules, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_source_mix, op5_decontaminate, op6_page_archives, op7_substring_dedup, op9_quality_rules, op10_jaccard_join)}
