@@ -6,7 +6,8 @@ same hash at the same place, so joining kept hashes of documents and items finds
 of SPAN words. A hit is then extended word by word on both sides; it counts when SPAN words agree.
 Items of fewer words are one passage each: their length is both K and span, and every hash is kept.
 
-Kept hashes of the items are put into the documents' scan as a set when there are at most
+Documents without a run of neighbouring words that items hold as neighbours can't share a passage and
+are passed over before hashing. Kept hashes of the items are put into the documents' scan as a set when there are at most
 INLINE_PRINTS of them; the joins that follow see only hits then. Above that the join does it all.
 No document text is shuffled.
 
@@ -22,19 +23,42 @@ from pyspark.sql import functions as F
 
 from .shared import let
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words are runs of anything else, in lower case.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN = 13
 K = 8
 WINDOW = SPAN - K + 1
 INLINE_PRINTS = 50_000
+INLINE_PAIRS = 200_000
 #: A kept hash carries its place in the low bits, inverted, so that the last of equals is the least.
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
 
 
+def pieces_between(text: Column) -> Column:
+    """Words of a text in lower case; the first and the last may be empty, which no word equals."""
+    text = F.coalesce(text, F.lit(""))
+    slow = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.split(F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(slow), BETWEEN)
+
+
 def words(text: Column) -> Column:
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return let(pieces_between(text), lambda w: F.filter(w, lambda x: x != ""))
+
+
+def word_count(w: Column) -> Column:
+    empty = (F.get(w, F.lit(0)) == "").cast("int") + (F.get(w, F.size(w) - 1) == "").cast("int")
+    return F.greatest(F.size(w) - empty, F.lit(0)).cast("long")
+
+
+def pair(w: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(w, i), F.get(w, i + 1))
+
+
+def has_run(w: Column, known: list[int], least: int) -> Column:
+    """Whether `least` pairs of neighbouring words in a row are all known."""
+    marks = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.when(pair(w, i).isin(known), "1").otherwise("0"))
+    return F.when(F.size(w) > least, F.array_join(marks, "").contains("1" * least)).otherwise(False)
 
 
 def kept(w: Column, k: int, window: int, row, known: list[int] | None = None) -> Column:
@@ -100,12 +124,17 @@ def contaminate(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col=
     sample = prints.select("least", "hash").limit(INLINE_PRINTS + 1).collect()
     inline = len(sample) <= INLINE_PRINTS
 
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("_w"), *[c.alias(n) for n, c in (carry or {}).items()])
+    # Pairs of neighbouring words of the items: a passage needs a run of them, so most documents stop here.
+    run = min([span, *shorts]) - 1
+    pairs = pool.where(F.size("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: pair(F.col("w"), i))).alias("p")).distinct().limit(INLINE_PAIRS + 1).collect() if run else []
+    screen = has_run(F.col("_w"), [r.p for r in pairs], run) if run and len(pairs) <= INLINE_PAIRS else F.lit(True)
+
+    base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), pieces_between(F.col(text_col)).alias("_w"), *[c.alias(n) for n, c in (carry or {}).items()])
     hits = []
     for gram, window, least in schemes:
         known = list({r.hash for r in sample if r.least == least}) if inline else None
         hits.append(_hits(F.col("_w"), gram, window, least, known))
-    rows = base.select("_row", "doc_id", F.size("_w").cast("long").alias("n_words"), F.concat(*hits).alias("_hits"), *extra)
+    rows = base.select("_row", "doc_id", word_count(F.col("_w")).alias("n_words"), F.when(screen, F.concat(*hits)).alias("_hits"), *extra)
     rows = rows.select("_row", "doc_id", "n_words", *extra, F.explode_outer("_hits").alias("_h"))
     # A row without hits gets a key of its own, so that the join can spread such rows.
     rows = rows.select("_row", "doc_id", "n_words", *extra, F.coalesce("_h.hash", -1 - F.col("_row")).alias("hash"), F.coalesce("_h.least", F.lit(-1)).alias("least"), "_h.k", "_h.at", "_h.here")

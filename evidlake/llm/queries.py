@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, quality, sstable, substrings, warczip
+from . import decontam, langid, mixing, neardup, quality, sstable, substrings, warczip, wordpiece
 
 
 def _table(spark, sf_dir, name):
@@ -55,5 +55,9 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark, sf_dir):
+    return wordpiece.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_source_mix, op5_decontaminate, op6_page_archives, op7_substring_dedup, op9_quality_rules, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_source_mix, op4_token_counts, op5_decontaminate, op6_page_archives, op7_substring_dedup, op9_quality_rules, op10_jaccard_join)}
