@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let
+from .shared import let, settle
 
 #: Words are runs of anything else, in lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -159,3 +159,12 @@ def contaminate(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col=
         F.sha2(F.array_join(F.array_sort("_items"), ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *extra,
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", **how) -> DataFrame:
+    """The documents that aren't contaminated, all columns. Rows are told apart by id and a hash of the text."""
+    known = {"_hash": F.xxhash64(text_col)}
+    bad = contaminate(docs, items, id_col=id_col, text_col=text_col, carry=known, **how).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_bad")).distinct()
+    rows = docs.withColumn("_hash", F.xxhash64(text_col))
+    kept = rows.join(settle(bad), rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_bad")), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

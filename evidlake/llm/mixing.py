@@ -99,3 +99,11 @@ def label_weights(labels: DataFrame) -> DataFrame:
     """Quality weights from labels: 2 for good, 0.5 for bad; several labels of an id count as the best."""
     best = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("q"))
     return best.select("doc_id", F.when(F.col("q") == 1, 2.0).when(F.col("q") == 0, 0.5).otherwise(1.0).alias("weight"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself, all columns of the documents: each row as often as it is taken, rows taken never left out."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    whole = mix(docs, carry={n: F.col(f"`{c}`") for n, c in zip(names, docs.columns, strict=True)}, **how)
+    rows = whole.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

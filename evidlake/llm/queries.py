@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, neardup, quality, sstable, substrings, warczip, wordpiece
+from . import decontam, langid, licenses, mixing, neardup, quality, sstable, substrings, warczip, wordpiece
 
 
 def _table(spark, sf_dir, name):
@@ -59,5 +59,11 @@ def op4_token_counts(spark, sf_dir):
     return wordpiece.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_license_scan(spark, sf_dir):
+    path = F.concat(F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string")), F.lit(".txt"))
+    out = licenses.scan(_table(spark, sf_dir, "documents").withColumn("path", path))
+    return out.select(F.col("id").alias("doc_id"), "path", "license", "score", "origin", F.array_join("licenses", ",").alias("licenses"), "from_folder")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_source_mix, op4_token_counts, op5_decontaminate, op6_page_archives, op7_substring_dedup, op9_quality_rules, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_source_mix, op4_token_counts, op5_decontaminate, op6_page_archives, op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_jaccard_join)}
