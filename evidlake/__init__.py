@@ -1,8 +1,6 @@
-"""evidlake: evidence retrieval, counting and evaluation on Spark DataFrames."""
+"""Evidence engine on Spark: counting, listing, retrieving and evaluating over evidence tables.
 
-import sys
-
-from pyspark import cloudpickle
-
-# Functions that run in Python workers travel by value, so executors need no installed copy.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+Packages: `functions` (column expressions), `operators` (DataFrame to DataFrame), `plans` (size checks
+and plan assertions), `sources` (readers and writers), `streaming` (incremental jobs). Everything stays
+lazy unless a docstring says that it runs a job.
+"""

@@ -1 +1 @@
-"""Functions of the evidence engine."""
+"""Column expressions: text, vectors, numbers, chunks, stems."""

@@ -1 +1 @@
-"""Operators of the evidence engine."""
+"""Operators: evidence, vector, text, hybrid, evaluation, usage."""

@@ -1 +1,34 @@
-"""Plans of the evidence engine."""
+"""Size-checked broadcasts and assertions about physical plans."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 32 << 20
+
+
+def plan_text(df: DataFrame) -> str:
+    """The physical plan as Spark prints it."""
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a frame's size."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def small(df: DataFrame, most_rows: int) -> DataFrame:
+    """The frame for broadcast if a counted bound holds, else as it is. Counts at most `most_rows` + 1 rows."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def faults(df: DataFrame) -> list[str]:
+    """What a plan at scale must not hold: cross joins of unbounded sides, windows or sorts of all rows in one task."""
+    text = plan_text(df)
+    found = [name for name in ("CartesianProduct", "BroadcastNestedLoopJoin") if name in text]
+    if re.search(r"Window\b", text) and "SinglePartition" in text:
+        found.append("a window over all rows in one task")
+    return found
