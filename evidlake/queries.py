@@ -180,7 +180,8 @@ def hybrid_topk(spark, d):
 
 
 def hybrid_topk_cd(spark, d):
-    out = hybrid.retrieve(chunks(spark, d), embedded(spark, d), _request(spark, d), cover=True)
+    asked = hybrid.Request('ing or "en er" or tion er -xyzzy', list(_query_vector(spark, d)), k=15)
+    out = hybrid.retrieve(chunks(spark, d), embedded(spark, d), asked, cover=True)
     return out.select("chunk_id", "vector_score", "text_score", "blended", "text_match_count")
 
 
@@ -291,7 +292,7 @@ def collapse_first_appearance(spark, d):
 
 
 def arm_scores(spark, d):
-    return _scores(spark, d).select("qid", "arm", "top1", F.round("rr", 9).alias("rr"), "lenient_top1", F.round("margin", 8).alias("margin"))
+    return _scores(spark, d).select("qid", "arm", "top1", F.round("rr", 9).alias("rr"), "lenient_top1", F.round("margin", 6).alias("margin"))
 
 
 def mrr_by_type(spark, d):
