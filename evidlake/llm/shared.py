@@ -40,10 +40,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files that a frame reads, from the scan's statistics; at least 1."""
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # a plan without statistics
-        size = 1 << 30
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(1, min(size, 1 << 62))
 
 
@@ -57,11 +54,6 @@ def let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """A row's identity where ids may be null or repeat: the id with the text's digest."""
-    return F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null"))).cast("binary"))
-
-
 def memo(name: str, make):
     """An object that lives as long as a Python worker, made at first use (tokenizers, caches)."""
     store = sys.modules.setdefault("_evidlake_worker_memo", types.ModuleType("_evidlake_worker_memo"))
