@@ -17,7 +17,7 @@ def plan_text(df: DataFrame) -> str:
 
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a frame's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, most_rows: int) -> DataFrame:

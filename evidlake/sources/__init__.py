@@ -1 +1 @@
-"""Sources of the evidence engine."""
+"""Readers and writers: paged and recorded evidence, artefact files and events, frozen sets, reports, indexes."""

@@ -1 +1 @@
-"""Streaming of the evidence engine."""
+"""Incremental operators: tables with versions, upserts, dead letters, streams."""
