@@ -107,9 +107,9 @@ def _run(spark, df, name, mode, tmp_path):
 
 def test_minutes_are_summed_until_the_watermark(spark, tmp_path):
     e = lambda t, n: {"ts": f"2026-01-01T{t}", "caller": "x", "tokens": n}
-    s = _stream(spark, tmp_path, "ts timestamp, caller string, tokens long", [[e("00:00:10", 1), e("00:00:50", 2)], [e("00:00:30", 4), e("00:30:00", 8)], [e("00:00:40", 100), e("01:00:00", 16)]])
+    s = _stream(spark, tmp_path, "ts timestamp, caller string, tokens long", [[e("00:00:10", 1), e("00:00:50", 2)], [e("00:00:30", 4), e("00:30:00", 8)], [e("00:30:01", 1)], [e("00:00:40", 100), e("01:00:00", 16)]])
     got = {r.minute.minute: r.tokens for r in _run(spark, jobs.minute_usage(s), "minutes", "append", tmp_path)}
-    assert got == {0: 7, 30: 8}
+    assert got == {0: 7, 30: 9}
 
 
 def test_three_failures_poison(spark, tmp_path):
