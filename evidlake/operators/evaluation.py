@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import settled, verdict
-from ..functions.text import let
+from ..functions.text import let, markers
 
 HITS = 50
 RESAMPLES = 10_000
@@ -226,3 +226,61 @@ def summarise(outcomes: DataFrame) -> DataFrame:
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms) FILTER (WHERE error IS NULL)").alias("p50_latency_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms) FILTER (WHERE error IS NULL)").alias("p95_latency_ms"),
         F.avg(F.when(fine, F.col("cost_usd"))).alias("mean_cost_usd_per_query"), F.sum("cost_usd").alias("total_cost_usd"), F.sort_array(F.collect_set(seen)).alias("models_seen"),
     )
+
+
+def admissible(outcomes: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """Outcomes with an error where an answer came from another provider than its arm's, or was degraded. Filtered answers name none."""
+    names = F.create_map(*[F.lit(x) for pair in expected.items() for x in pair])
+    right = F.col("providers") == F.array(names[F.col("arm")])
+    why = F.when(F.col("degraded"), "degraded").when(F.col("filtered_stage").isNull() & ~F.coalesce(right, F.lit(False)), "answered by another provider")
+    return outcomes.withColumn("error", F.coalesce("error", why))
+
+
+def judge_score(reply: Column) -> Column:
+    """The score in a judge's JSON reply; null unless it is a finite number from 0 to 1."""
+    x = F.get_json_object(reply, "$.score").try_cast("double")
+    return F.when(x.between(0.0, 1.0), x)
+
+
+def audit(kept: DataFrame, sheet: DataFrame, least: int = 200) -> DataFrame:
+    """One row (kept, unlisted, unjudged, sound): every question is on the sheet and none else, and enough are kept."""
+    listed = kept.select("qid").distinct().withColumn("_k", F.lit(1)).join(sheet.select("qid").distinct().withColumn("_s", F.lit(1)), "qid", "full")
+    out = listed.agg(F.count("_k").alias("kept"), F.count_if(F.col("_s").isNull()).alias("unlisted"), F.count_if(F.col("_k").isNull()).alias("unjudged"))
+    return out.withColumn("sound", (F.col("unlisted") + F.col("unjudged") == 0) & (F.col("kept") >= least))
+
+
+def spot_check(marks: dict[str, str], qids: list[str], *, size: int, seed: int, round_: int, most_bad: int = 3) -> dict:
+    """Which questions a round samples, and whether their marks pass; marks of other questions, or missing ones, are errors."""
+    sample = random.Random(seed + round_).sample(sorted(qids), min(size, len(qids)))
+    if set(marks) != set(sample) or not set(marks.values()) <= {"fine", "not fine"}:
+        raise ValueError("the marks are not those of the sample")
+    bad = sum(m == "not fine" for m in marks.values())
+    return {"fine": len(sample) - bad, "not_fine": bad, "passes": bad <= most_bad}
+
+
+def rejection_counts(checked: DataFrame, reasons: str = "reasons") -> DataFrame:
+    return checked.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def question_faults(question: Column, copied: Column, leaks: Column, *, most_copied: float = 0.5, words: tuple[int, int] = (6, 40)) -> Column:
+    """Why a question is rejected, as an array; empty where it passes."""
+    n = F.size(F.filter(F.split(question, r"\s+"), lambda w: w != ""))
+    return F.array_compact(F.array(F.when(copied > most_copied, F.lit("copies its target")), F.when(leaks, F.lit("contains the target's key")), F.when(n < words[0], F.lit("too short")), F.when(n > words[1], F.lit("too long"))))
+
+
+def same_order(a: DataFrame, b: DataFrame, *, key: str, items: str, most: int = 5) -> DataFrame:
+    """(key, same): whether the first few items of two result lists are the same, in order; a missing list is not."""
+    both = a.select(key, F.slice(items, 1, most).alias("_a")).join(b.select(key, F.slice(items, 1, most).alias("_b")), key, "full")
+    return both.select(key, F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias("same"))
+
+
+def foreign_hits(results: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Hits (qid, arm, chunk_id, artefact) that the corpus lacks or files under another artefact."""
+    hits = results.select("qid", "arm", F.explode("hits").alias("h")).select("qid", "arm", "h.chunk_id", "h.artefact")
+    return hits.join(corpus.select("chunk_id", "artefact").distinct(), ["chunk_id", "artefact"], "left_anti")
+
+
+def resolve_markers(answers: DataFrame, evidence: DataFrame, *, key: list[str]) -> DataFrame:
+    """(key..., marker, artefact): the evidence that each citation marker names, by its place from 1; others are left out."""
+    cited = answers.select(*key, F.explode(F.array_distinct(F.transform(markers(F.col("answer")), lambda m: m.try_cast("int")))).alias("marker"))
+    return cited.join(evidence.select(*key, F.col("position").alias("marker"), "artefact"), [*key, "marker"])

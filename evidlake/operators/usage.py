@@ -134,3 +134,45 @@ def batches_by_size(rows: DataFrame, *, order: str, size: Column, most_rows: int
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return sized.mapInPandas(run, schema=fields + ", part int, batch int")
+
+
+def metric_totals(rows: DataFrame, since, until, *, name: str, dimension: str, at="timestamp", value="value") -> DataFrame:
+    """(caller, total) of a metric's rows in [since, until): rows are (timestamp, name, dimensions map, value)."""
+    inside = rows.where((F.col(at) >= F.lit(since)) & (F.col(at) < F.lit(until)) & (F.col("name") == name))
+    return inside.groupBy(F.coalesce(F.col("dimensions")[dimension], F.lit("")).alias("caller")).agg(F.sum(value).alias("total"))
+
+
+def owner_rows(rows: DataFrame, caller: str, since, until, *, at="timestamp", value="total") -> DataFrame:
+    """A caller's rows with a finite, positive value inside a window of a quarter of an hour at most."""
+    if not 0 <= (until - since).total_seconds() <= 900:
+        raise ValueError("the window must be at most 15 minutes long")
+    good = F.col(at).between(F.lit(since), F.lit(until)) & (F.col(value) > 0) & (F.col(value) < F.lit(float("inf")))
+    return rows.where((F.col("caller") == caller) & good)
+
+
+def client_totals(records: DataFrame, entered: DataFrame | None = None) -> DataFrame:
+    """(label, total) of recorded prompt and completion tokens; a label both recorded and entered by hand is an error."""
+    out = records.groupBy(F.col("caller").alias("label")).agg(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).cast("long").alias("total"))
+    if entered is None:
+        return out
+    both = out.unionByName(entered.select("label", "total")).groupBy("label").agg(F.sum("total").alias("total"), F.count("*").alias("_n"))
+    return both.select("label", F.when(F.col("_n") == 1, F.col("total")).otherwise(F.raise_error(F.concat(F.lit("both recorded and entered: "), F.col("label")))).alias("total"))
+
+
+def first_denied(requests: DataFrame, *, key: list[str], order: str, tokens="tokens", status="status", denied: int = 403, least: int = 45_000) -> DataFrame:
+    """(key..., at, used, enough): tokens used before a key's first denied request, and whether the budget was really spent."""
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    used = requests.withColumn("_u", F.coalesce(F.sum(F.when(F.col(status) == 200, F.col(tokens))).over(w), F.lit(0)).cast("long")).where(F.col(status) == denied)
+    return used.groupBy(*key).agg(F.min(order).alias("at"), F.min_by("_u", order).alias("used")).withColumn("enough", F.col("used") >= least)
+
+
+def price_run(samples: DataFrame, answers: int) -> DataFrame:
+    """(arm, price): mean cost of an arm's sample times the answers to come; none where a sample failed."""
+    out = samples.groupBy("arm").agg(F.avg("cost_usd").alias("_m"), F.count_if(F.col("error").isNotNull()).alias("_e"))
+    return out.select("arm", F.when(F.col("_e") == 0, F.col("_m") * answers).alias("price"))
+
+
+def latency_summary(uploads: DataFrame, *, uploaded="uploaded_at", seen="seen_at") -> DataFrame:
+    """One row (n, median, longest) in seconds over what was seen."""
+    s = uploads.where(F.col(seen).isNotNull()).select(((F.unix_micros(F.col(seen).cast("timestamp")) - F.unix_micros(F.col(uploaded).cast("timestamp"))) / 1e6).alias("s"))
+    return s.agg(F.count("*").alias("n"), F.median("s").alias("median"), F.max("s").alias("longest"))

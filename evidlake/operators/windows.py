@@ -65,5 +65,5 @@ def describe(column: str, since: Bound | None, until: Bound | None) -> str:
     if since is None and until is None:
         return f"no date window - every record with a {column} value"
     stamp = lambda b: b.value.strftime("%Y-%m-%dT%H:%M:%SZ")
-    said = " and ".join([f"{column} >= {stamp(since)}"] * (since is not None) + [f"{column} < {stamp(until)}"] * (until is not None))
+    said = " and ".join(f"{column} {sign} {stamp(b)}" for sign, b in ((">=", since), ("<", until)) if b is not None)
     return said + (f' (until="{until.text}" was read as the whole of that day)' if until is not None and until.whole_day else "")

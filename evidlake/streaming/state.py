@@ -80,3 +80,19 @@ class VersionedTable:
         rows.write.parquet(posixpath.join(self.folder, name))
         self.fs.create(self._path(posixpath.join(self.folder, f"{name}.ok")), False).close()
         return name
+
+
+def reset_checkpoints(checkpoints: DataFrame, requested: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(checkpoints without cursor and etag for the requested types, what was discarded). Evidence is not touched."""
+    hit = F.col("entity_type").isin(*requested)
+    gone = checkpoints.where(hit).select("tenant_id", "entity_type", F.col("cursor_value").alias("discarded_cursor"), F.col("etag").alias("discarded_etag"))
+    blank = lambda c: F.when(~hit, F.col(c)).alias(c)
+    return checkpoints.select(*[blank(c) if c in ("cursor_value", "etag") else F.col(c) for c in checkpoints.columns]), gone
+
+
+def saved_checkpoint(checkpoints: DataFrame, batch: DataFrame) -> DataFrame:
+    """Checkpoints after a batch (tenant_id, entity_type, cursor_value, etag, items): a missing cursor keeps the previous one, items add up."""
+    key = ["tenant_id", "entity_type"]
+    new = batch.select(*key, F.col("cursor_value").alias("_c"), F.col("etag").alias("_e"), F.col("items").alias("_n"))
+    both = checkpoints.join(new, key, "full")
+    return both.select(*key, F.coalesce("_c", "cursor_value").alias("cursor_value"), F.coalesce("_e", "etag").alias("etag"), (F.coalesce("items_seen", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("items_seen"))
