@@ -199,7 +199,8 @@ def jaccard_classes(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     """
     bands, rows = choose_bands(threshold, recall)
     sk = settle(sketches(docs, id_col, text_col, shingle, bands, rows))
-    nodes = sk.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("first")
+    nodes = sk.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), first)
     banded = nodes.select("node", F.explode("bands").alias("band"))
     met = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select("band", "least")
     pieces = components(banded.join(met, "band").where("node <> least").select("node", "least"), "node", "least")
@@ -216,14 +217,13 @@ def jaccard_classes(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select("node", "root"), "node", "root")
     named = links.join(roots, "node", "left").select("node", "links", F.coalesce("root", "node").alias("class"))
-    every = nodes.select("node", "copies").join(named, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class", "node").alias("class"))
-    rowed = sk.drop("bands").join(every, "node", "left")
-    # A document without words is a class of its own, known by its row.
-    rowed = rowed.withColumn("kind", F.col("node").isNull()).withColumn("class", F.coalesce("class", "row"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
-    best = rowed.groupBy("kind", "class").agg(first.alias("best"))
-    out = rowed.join(best, ["kind", "class"])
-    return out.select("row", "doc_id", F.when(F.col("kind"), F.col("doc_id")).otherwise(F.col("best.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_shingles"), F.when(F.col("kind"), F.col("row")).otherwise(F.col("best.row")).alias("keeper"))
+    # Both sides of the joins that follow are settled, so that Spark can split a node or class of very many rows.
+    every = settle(nodes.select("node", "copies", "first").join(named, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class", "node").alias("class"), "first"))
+    best = settle(every.groupBy("class").agg(F.min("first").alias("best")))
+    known = settle(every.join(best, "class").select("node", "n_links", "best"))
+    out = sk.drop("bands").join(known, "node", "left")
+    alone = F.col("node").isNull()  # a document without words is a class of its own
+    return out.select("row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_shingles"), F.when(alone, F.col("row")).otherwise(F.col("best.row")).alias("keeper"))
 
 
 def one_of_each(docs: DataFrame, *, id_col="doc_id", text_col="text", **how) -> DataFrame:
