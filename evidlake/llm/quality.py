@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import settle
 from .wordhash import mixed, new_cache, windows
 
-ALPHA = 0.02
+ALPHA = 0.01
 DELTA = 0.05
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
@@ -39,9 +39,10 @@ RULES = {
     "duplicate_lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
     "repeated_words": (0.29, 0.28, 0.27, 0.26, 0.25, 0.2, 0.15, 0.1),
     "capital_letters": (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
+    "stuttered_words": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
 }
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_stutters")
 _SPACE = np.zeros(256, dtype=np.int64)
 _SPACE[[9, 10, 11, 12, 13, 32]] = 1
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -71,6 +72,8 @@ def count_texts(texts: list[bytes], cache: dict) -> dict[str, np.ndarray]:
     edge = np.zeros(len(h) + 1, dtype=np.int64)
     np.add.at(edge, twice, 1)
     np.add.at(edge, twice + REPEAT_WINDOW, -1)
+    stutter = np.zeros(len(h), dtype=np.int64)
+    stutter[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
     lines = [[x for x in t.split(b"\n") if x.strip()] for t in texts]
     return {
         "n_words": lengths,
@@ -80,6 +83,7 @@ def count_texts(texts: list[bytes], cache: dict) -> dict[str, np.ndarray]:
         "n_dup_lines": np.array([len(x) - len(set(x)) for x in lines], dtype=np.int64),
         "n_repeat_words": per_text((np.cumsum(edge)[:-1] > 0).astype(np.int64), np.cumsum(lengths)),
         "n_capitals": per_text(_CAPITAL[raw], ends),
+        "n_stutters": per_text(stutter, np.cumsum(lengths)),
     }
 
 
@@ -112,6 +116,7 @@ def scores(c: Column) -> dict[str, Column]:
         "duplicate_lines": ratio("n_dup_lines", "n_lines"),
         "repeated_words": ratio("n_repeat_words", "n_words"),
         "capital_letters": ratio("n_capitals", "word_chars"),
+        "stuttered_words": ratio("n_stutters", "n_words"),
     }
 
 

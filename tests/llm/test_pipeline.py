@@ -15,7 +15,9 @@ def scores(text):
     n, chars, symbols, dup, rep, _ = test_quality.brute(text)
     lines = [x for x in (text or "").split("\n") if x.strip(test_quality.SPACE)]
     capitals = sum("A" <= c <= "Z" for c in text or "")
-    return {"symbols_per_word": symbols / max(n, 1), "duplicate_lines": dup / max(len(lines), 1), "repeated_words": rep / max(n, 1), "capital_letters": capitals / max(chars, 1)}
+    words = (text or "").encode().split()
+    stutters = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    return {"stuttered_words": stutters / max(n, 1), "symbols_per_word": symbols / max(n, 1), "duplicate_lines": dup / max(len(lines), 1), "repeated_words": rep / max(n, 1), "capital_letters": capitals / max(chars, 1)}
 
 
 def kept_by_rules(docs, labels):
@@ -28,7 +30,7 @@ def kept_by_rules(docs, labels):
         for rule, cuts in quality.RULES.items():
             for cut in cuts:
                 lost = sum(x[rule] > cut for x in held)
-                if quality.binomial_at_most(lost, len(held), quality.ALPHA / 4) > quality.DELTA / (len(strata) * 4):
+                if quality.binomial_at_most(lost, len(held), quality.ALPHA / len(quality.RULES)) > quality.DELTA / (len(strata) * len(quality.RULES)):
                     break
                 cutoffs[s, rule] = cut
     return [d for d in fine if all(x <= cutoffs.get((d["lang"], r), 1e9) for r, x in scores(d["text"]).items())]

@@ -49,17 +49,17 @@ def test_binomial_bound():
 def test_cutoffs_are_the_strictest_safe_ones(spark):
     clean = " ".join(f"w{i}" for i in range(30))
     junk = " ".join(f"w{i}##" for i in range(30))
-    rows = [(i, f"{clean} {i}", "en") for i in range(2000)] + [(5000 + i, f"{junk} {i}", "en") for i in range(50)] + [(9000, junk, "xx")]
+    rows = [(i, f"{clean} {i}", "en") for i in range(3000)] + [(5000 + i, f"{junk} {i}", "en") for i in range(50)] + [(9000, junk, "xx")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(2000)] + [(5000 + i, 0, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3000)] + [(5000 + i, 0, 0) for i in range(50)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.judge(df, labels).collect()}
-    assert all(got[i].kept for i in range(2000))
+    assert all(got[i].kept for i in range(3000))
     assert not any(got[5000 + i].kept for i in range(50)) and got[5000].rejected_by == ["symbols_per_word"]
     assert got[9000].kept  # a stratum without labels keeps everything
     # the fewest clean holdouts with which any cutoff can be proven, and one fewer
-    need = math.ceil(math.log(quality.DELTA / 4) / math.log1p(-quality.ALPHA / 4))
+    need = math.ceil(math.log(quality.DELTA / len(quality.RULES)) / math.log1p(-quality.ALPHA / len(quality.RULES)))
     for n, proven in ((need, True), (need - 1, False)):
         cut = quality.thresholds(df.where(f"doc_id < {n}").selectExpr("doc_id", "lang as stratum", "text").withColumn("c", quality.counts("text")), labels)
         assert bool(cut.count()) == proven
     kept = quality.keep_good(df, labels)
-    assert kept.columns == df.columns and kept.count() == 2001
+    assert kept.columns == df.columns and kept.count() == 3001
