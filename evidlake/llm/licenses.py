@@ -121,7 +121,9 @@ def _scan(text: pa.Array) -> pa.Array:
 
 def notices(text: Column) -> Column:
     """struct(name, score, all, whole) of whole texts; texts without a cue never leave the JVM."""
-    cue = F.lower(text).rlike("|".join(CUES))
+    low, cue = F.lower(text), F.lit(False)
+    for c in CUES:
+        cue = cue | F.contains(low, F.lit(c)) if not any(c != o and o in c for o in CUES) else cue  # the shorter cue finds it
     return F.arrow_udf(_scan, "struct<name:string,score:double,all:array<string>,whole:boolean>")(F.when(cue, text))
 
 
@@ -140,7 +142,7 @@ def scan(files: DataFrame, *, id_col="doc_id", path_col="path", text_col="text")
     above = F.when(F.col("folder") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")))
     folders = rows.where("name is null and folder is not null").select("folder").distinct().select("folder", F.posexplode(above).alias("depth", "above"))
     nearest = folders.join(licensed, "above").groupBy("folder").agg(F.max(F.struct("depth", "above", "given", "given_score")).alias("g"))
-    out = rows.join(nearest, "folder", "left")
+    out = rows.join(settle(nearest), "folder", "left")  # settled, so that Spark can split a folder of very many files
     own = F.col("name").isNotNull()
     return out.select(
         "id", "path", F.coalesce("name", "g.given").alias("license"), F.when(own, F.col("score")).otherwise(F.col("g.given_score")).alias("score"),
