@@ -30,7 +30,7 @@ ALPHA = 0.01
 DELTA = 0.05
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 BROADCAST_STRATA = 10_000
 
 #: Cutoffs from lenient to strict.
@@ -88,14 +88,13 @@ def count_texts(texts: list[bytes], cache: dict) -> dict[str, np.ndarray]:
 
 
 def _count_array(text: pa.Array) -> pa.Array:
-    texts, cache, parts = [t or b"" for t in text.cast(pa.binary()).to_pylist()], new_cache(), []
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_BYTES):
-            size += len(texts[end])
-            end += 1
-        parts.append(count_texts(texts[at:end], cache))
+    """Counts of a batch, a slice of about SLICE_BYTES at a time; a longer text is a slice of its own."""
+    text, cache, parts, at = text.cast(pa.binary()), new_cache(), [], 0
+    ends = np.cumsum(text.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    while at < len(text):
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        parts.append(count_texts([t or b"" for t in text.slice(at, end - at).to_pylist()], cache))
         at = end
     cols = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in COUNTS]
     return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in cols], names=list(COUNTS))

@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-CORES = 700_000
-WORDS = 300_000
+CORES = 300_000
+WORDS = 150_000
 CHUNK = 2000
 END = 2
 _SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)\Z")

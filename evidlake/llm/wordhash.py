@@ -7,7 +7,7 @@ import xxhash
 
 BASE = 0x9E3779B97F4A7C15 | 1
 OTHER = 0xD1B54A32D192ED03 | 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 class _Hashes(dict):
