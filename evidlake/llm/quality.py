@@ -20,6 +20,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ def count_texts(texts: list[bytes], cache: dict) -> dict[str, np.ndarray]:
 def _count_array(text: pa.Array) -> pa.Array:
     """Counts of a batch, a slice of about SLICE_BYTES at a time; a longer text is a slice of its own."""
     text, cache, parts, at = text.cast(pa.binary()), new_cache(), [], 0
-    ends = np.cumsum(text.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    ends = np.cumsum(pc.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     while at < len(text):
         before = int(ends[at - 1]) if at else 0
         end = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
