@@ -118,12 +118,18 @@ def _phrase_at(index: dict[str, list[int]], phrase: tuple[str, ...]) -> list[int
 def ranked(chunks: DataFrame, query: str, *, id_col="chunk_id", text_col="content") -> DataFrame:
     """(id, text_score) of chunks that match a web-style search, scored by cover density over stems.
 
-    Only chunks that hold some wanted term reach the scorer, which sees the positions of the search's
-    terms, not texts.
+    Only chunks that can hold every term of some way leave the JVM: a word begins with all but the last
+    letter of its stem, so they must contain that.
     """
     search = read_search(query)
-    wanted = sorted({t for t in search.terms} | {t for p in search.none_of for t in p})
-    spelled = chunks.select(F.col(id_col), words(F.col(text_col)).alias("w"))
+    keep = {*search.terms, *(t for p in search.none_of for t in p)}
+    low, may = F.lower(text_col), F.lit(not search.any_of)
+    for way in search.any_of:
+        all_in = F.lit(True)
+        for t in sorted({t for p in way for t in p}):
+            all_in = all_in & F.contains(low, F.lit(t[:-1]))
+        may = may | all_in
+    spelled = chunks.where(F.coalesce(may, F.lit(False)) if search.any_of else F.lit(True)).select(F.col(id_col), words(F.col(text_col)).alias("w"))
 
     @F.pandas_udf("struct<matched:boolean,text_score:double>")
     def score(ws: pd.Series) -> pd.DataFrame:
@@ -139,7 +145,6 @@ def ranked(chunks: DataFrame, query: str, *, id_col="chunk_id", text_col="conten
             rows.append((good, max((cover_density([_phrase_at(index, p) for p in c]) for c in ways), default=0.0)))
         return pd.DataFrame(rows, columns=["matched", "text_score"])
 
-    keep = set(wanted)
     return spelled.withColumn("r", score("w")).where("r.matched").select(id_col, "r.text_score")
 
 

@@ -129,6 +129,8 @@ def test_chunk_headers_of_each_type(spark):
 def test_stems():
     want = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "digitizer": "digit", "adjustment": "adjust", "controll": "control", "rate": "rate", "été": "été"}
     assert {w: stem.stem(w) for w in want} == want
+    usual = "usability nobility filing sized hopping activation ovation happiness flies dying tied agreement generously conditional vietnamization sensibilities rationalism cried apologies".split()
+    assert all(w.startswith(stem.stem(w)[:-1]) for w in [*want, *usual])
 
 
 def test_content_words_overlap_by_brute_force(spark):
