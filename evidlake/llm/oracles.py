@@ -1,5 +1,9 @@
 """DuckDB SQL with the same results as the queries that SQL can express."""
 
+from __future__ import annotations
+
+from . import quality
+
 MIX = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -56,5 +60,61 @@ FROM t
 """
 
 
+SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT g FROM x GROUP BY g HAVING count(*) > 1),
+h AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM x SEMI JOIN r USING (g)),
+n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (p - 1 <> before) AS n_spans FROM (SELECT doc_id, p, lag(p, 1, -1) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM h) GROUP BY doc_id),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM u ANTI JOIN h USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(n_spans, 0) AS INT) AS n_spans
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+JACCARD = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE c >= 0.8::DOUBLE * (nx.n + ny.n - c) - 1e-9),
+o AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, o.y FROM r JOIN o ON r.b = o.x)
+SELECT d.doc_id, (SELECT min(b) FROM r WHERE a = d.doc_id) AS class_id, (SELECT count(*) FROM o WHERE x = d.doc_id) AS n_links, coalesce(n.n, 0) AS n_shingles
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
+def quality_sql() -> str:
+    """The rules' counts, their cutoffs by exact binomial tails, and the verdicts."""
+    rules = ", ".join(f"({i}, '{rule}', {level}, {cut}::DOUBLE)" for i, (rule, cuts) in enumerate(quality.RULES.items()) for level, cut in enumerate(cuts))
+    risk, n_rules = f"({quality.ALPHA}::DOUBLE / {len(quality.RULES)})", len(quality.RULES)
+    score = "CASE r.rule WHEN 'symbols_per_word' THEN n_symbols / greatest(n_words, 1) WHEN 'duplicate_lines' THEN n_dup_lines / greatest(n_lines, 1) WHEN 'repeated_words' THEN n_repeat_words / greatest(n_words, 1) WHEN 'capital_letters' THEN n_capitals / greatest(word_chars, 1) ELSE n_stutters / greatest(n_words, 1) END"
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+g AS (SELECT doc_id, g FROM x GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM x SEMI JOIN g USING (doc_id, g)) GROUP BY doc_id),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda z: regexp_matches(z, '[^\x20\x09-\x0D]')) AS ls FROM d),
+c AS (SELECT l.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda z: length(z))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(regexp_extract_all(t, '[A-Z]')) AS n_capitals,
+             len(list_filter(list_zip(w[2:], w[:-2]), lambda z: z[1] = z[2])) AS n_stutters
+      FROM l LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+rules AS (SELECT * FROM (VALUES {rules}) v(idx, rule, level, cut)),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
+held AS (SELECT b.* FROM b SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
+tests AS (SELECT {n_rules} * greatest(1, count(*)) AS m FROM (SELECT DISTINCT lang FROM held)),
+lost AS (SELECT lang, idx, rule, level, cut, count(*) AS n, count(*) FILTER ({score} > cut) AS x FROM held, rules r GROUP BY ALL),
+tail AS (SELECT *, CASE WHEN x >= n THEN 1.0 ELSE list_sum(list_transform(range(0, x + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({risk}) + (n - k) * ln(1 - {risk})))) END AS p FROM lost),
+safe AS (SELECT *, min(CAST(p <= {quality.DELTA} / (SELECT m FROM tests) AS INT)) OVER (PARTITION BY lang, rule ORDER BY level) AS ok FROM tail),
+cuts AS (SELECT lang, idx, rule, min(cut) AS cut FROM safe WHERE ok = 1 GROUP BY ALL),
+bad AS (SELECT b.doc_id, string_agg(r.rule, ',' ORDER BY idx) AS rejected_by FROM b JOIN cuts r ON b.lang IS NOT DISTINCT FROM r.lang WHERE {score} > r.cut GROUP BY b.doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
+FROM b LEFT JOIN bad USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": MIX, "op5_decontaminate": DECONTAMINATE, "op6_page_archives": ARCHIVES}
+    return {"op3_source_mix": MIX, "op5_decontaminate": DECONTAMINATE, "op6_page_archives": ARCHIVES, "op7_substring_dedup": SUBSTRINGS, "op9_quality_rules": quality_sql(), "op10_jaccard_join": JACCARD}

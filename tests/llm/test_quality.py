@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pyarrow.parquet as pq
@@ -63,3 +64,30 @@ def test_cutoffs_are_the_strictest_safe_ones(spark):
         assert bool(cut.count()) == proven
     kept = quality.keep_good(df, labels)
     assert kept.columns == df.columns and kept.count() == 3001
+
+
+def test_sql_agrees_where_cutoffs_are_chosen(spark, tmp_path):
+    import duckdb
+
+    from evidlake.llm import oracles
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgXY") for _ in range(4))
+    rows = []
+    for i in range(7200):
+        w = [word() for _ in range(rng.randrange(20, 40))]
+        if i % 90 == 7 or i == 11:
+            w = [x + "#" * (j % 2) for j, x in enumerate(w)]
+        if i % 200 == 9:
+            w = [x for x in w[:20] for _ in range(3)]
+        if rng.random() < 0.003:
+            w = w[:30] + ["\n"] + w[:7] + ["\n"] + w[:7]
+        rows.append((i, " ".join(w), "fr" if i % 9 == 4 else None, 0))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 90 != 7 and i % 200 != 9), 0) for i in range(7000)] + [(None, 1, 0), (99_999, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.execute(oracles.quality_sql()).fetchall())
+    got = sorted(tuple(r) for r in queries.op9_quality_rules(spark, str(tmp_path)).collect())
+    assert got == want and len({r[-1] for r in got}) > 2
