@@ -102,7 +102,8 @@ def _count_array(text: pa.Array) -> pa.Array:
 
 
 def counts(text: Column) -> Column:
-    return F.arrow_udf(_count_array, "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")(text)
+    # Marked as not deterministic, so that Catalyst doesn't evaluate it once more for each use of its fields.
+    return F.arrow_udf(_count_array, "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">").asNondeterministic()(text)
 
 
 def base_failed(c: Column) -> Column:
@@ -167,7 +168,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", stratum_col="lang", **risk) -> DataFrame:
     """The documents that the rules keep, all columns; texts are read twice and never shuffled."""
-    measured = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), counts(F.col(text_col)).alias("c"))
+    measured = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), counts(F.col(text_col)).alias("c")))
     cutoffs = thresholds(measured, labels, **risk)
     judged = verdict(docs.withColumn("_counted", counts(F.col(text_col))), cutoffs, "_counted", stratum_col)
     return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
