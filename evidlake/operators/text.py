@@ -145,6 +145,7 @@ def ranked(chunks: DataFrame, query: str, *, id_col="chunk_id", text_col="conten
             rows.append((good, max((cover_density([_phrase_at(index, p) for p in c]) for c in ways), default=0.0)))
         return pd.DataFrame(rows, columns=["matched", "text_score"])
 
+    score = score.asNondeterministic()  # else the filter would evaluate it once more
     return spelled.withColumn("r", score("w")).where("r.matched").select(id_col, "r.text_score")
 
 
