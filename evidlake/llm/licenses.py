@@ -1,18 +1,24 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by folder.
 
-A text is read as lower-case runs of ASCII letters and digits. Wherever it holds a word of CUES, each
-template with that word is laid over it there, and the words beneath the template are compared with it
-by TF-IDF cosine; so a notice is found at any place of a whole text, over several lines and behind
-comment marks. Matches of at least THRESHOLD count; of overlapping ones the best does. The inverse
-document frequencies are those of the templates; words that no template has weigh most.
-
-A licence file is one named like FILE_NAME with a match, or one whose whole text matches a template. It
+A text is read as lower-case runs of ASCII letters and digits, in American spelling (SPELLINGS).
+Wherever it holds an anchor of a template, the template is laid over it there, and the words beneath the
+template are compared with it by TF-IDF cosine; so a notice is found at any place of a whole text, over
+several lines and behind comment marks. A template's anchors are its words of CUES and its rarest words,
+so many that words without any of them can't reach THRESHOLD: no single word has to be undamaged.
+Matches of at least THRESHOLD count; of overlapping ones the best does. The inverse document frequencies
+are those of the templates; words that no template has weigh most.
+
+A notice that reserves all rights (RESERVED) counts after all that grant something, since many licences
+hold that line too; alone it is the licence of its file, which then inherits none.
+
+A licence file is one named like FILE_NAME with a match, or one whose whole text matches a template that
+grants something. It
 licenses its folder. Files without a notice of their own take the licence of the nearest folder above
 them that has one: the distinct folders are joined with the licensed ones on each of their ancestors,
 then files with folders. Nothing is broadcast by hint, no files are paired.
 
 Edge cases: null and empty texts hold no notice but inherit; a null path neither inherits nor licenses
-a folder; of several licence files in a folder the best match counts, then the first name in order;
+a folder; of several licence files in a folder the best match counts (RESERVED last), then the first name in order;
 rows that repeat are judged one by one; an empty table gives no rows; other columns are ignored.
 """
 
@@ -31,6 +37,8 @@ from .shared import memo, settle
 THRESHOLD = 0.8
 FILE_NAME = r"(?i)^(licen[sc]e|copying|unlicense)([-._].*)?$"
 WORD = re.compile(r"[a-z0-9]+")
+SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "sublicence": "sublicense"}
+RESERVED = "LicenseRef-All-Rights-Reserved"
 
 #: Public licence names and the notices by which they are known.
 TEMPLATES = (
@@ -53,27 +61,47 @@ TEMPLATES = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work (CC0 1.0)."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (RESERVED, "All rights reserved."),
 )
-CUES = ("license", "licensed", "copyright", "redistribution", "permission", "unencumbered")
+CUES = ("license", "licensed", "copyright", "redistribution", "permission", "unencumbered", "reserved")
+#: Words of the templates that any prose has: anchors only where others don't suffice.
+COMMON = frozenset("a all an and any are as at author be by case charge code copy deal either except file files following for form free has in into is it later law may met mit nd no not of on or person possible published related sa same software source subject terms that the this to under use v version with without work you your 0 1 2 3 4".split())
+
+
+def words_of(text: str) -> list[str]:
+    return [SPELLINGS.get(w, w) for w in WORD.findall(text.lower())]
 
 
 class Matcher:
     """Templates with their weights; find() gives the notices of a text."""
 
     def __init__(self, templates=TEMPLATES):
-        names = dict.fromkeys(n for n, _ in templates)
+        names = dict.fromkeys(n for n, _ in templates if n != RESERVED)
         all_of = [*templates, *((n, f"SPDX-License-Identifier: {n}") for n in names)]
-        self.templates = [(n, WORD.findall(t.lower())) for n, t in all_of]
+        self.templates = [(n, words_of(t)) for n, t in all_of]
         df = Counter(w for _, ws in self.templates for w in set(ws))
         n = len(self.templates)
         self.idf = {w: math.log((1 + n) / (1 + c)) + 1 for w, c in df.items()}
         self.rare = math.log(1 + n) + 1
         self.vectors = [self._vector(ws) for _, ws in self.templates]
-        self.at_cue: dict[str, list[tuple[int, int]]] = {c: [] for c in CUES}
+        self.at: dict[str, list[tuple[int, int]]] = {}
         for i, (_, ws) in enumerate(self.templates):
+            anchors = self.anchors(i)
             for j, w in enumerate(ws):
-                if w in self.at_cue:
-                    self.at_cue[w].append((i, j))
+                if w in anchors:
+                    self.at.setdefault(w, []).append((i, j))
+
+    def anchors(self, i: int) -> set[str]:
+        """Words of which any match has one: the cosine of others is at most the root of the weight they share."""
+        t = self.vectors[i]
+        out = {w for w in t if w in CUES}
+        left = sum(x * x for w, x in t.items() if w not in out)
+        for w in sorted(t.keys() - out, key=lambda w: (w in COMMON and 99 - len(w), -self.idf[w], -len(w), w)):
+            if left < THRESHOLD**2 - 1e-9 and len(out) > 1:
+                break
+            out.add(w)
+            left -= t[w] ** 2
+        return out
 
     def _vector(self, words: list[str]) -> dict[str, float]:
         v = {w: c * self.idf.get(w, self.rare) for w, c in Counter(words).items()}
@@ -85,26 +113,26 @@ class Matcher:
         return min(1.0, sum(x * t[w] for w, x in v.items() if w in t)) if v else 0.0
 
     def find(self, text: str) -> list[tuple[str, float]]:
-        """(name, cosine) of the notices in a text, best first, in order of their places where equal."""
-        words, found, seen = WORD.findall(text.lower()), [], set()
+        """(name, cosine) of the notices in a text, best first and RESERVED last, in order of their places where equal."""
+        words, found, seen = words_of(text), [], set()
         for p, w in enumerate(words):
-            for i, j in self.at_cue.get(w, ()):
+            for i, j in self.at.get(w, ()):
                 a, b = max(0, p - j), p - j + len(self.templates[i][1])
                 if (i, a, b) not in seen:
                     seen.add((i, a, b))
                     if (c := self.cosine(words[a:b], i)) >= THRESHOLD:
-                        found.append((-round(c, 9), i, a, min(b, len(words))))
+                        found.append((self.templates[i][0] == RESERVED, -round(c, 9), i, a, min(b, len(words))))
         out, taken = [], []
-        for c, i, a, b in sorted(found):
+        for last, c, i, a, b in sorted(found):
             if all(b <= x or y <= a for x, y in taken):
                 taken.append((a, b))
-                out.append((c, a, self.templates[i][0]))
-        return [(n, -c) for c, _, n in sorted(out)]
+                out.append((last, c, a, self.templates[i][0]))
+        return [(n, -c) for _, c, _, n in sorted(out)]
 
     def whole(self, text: str) -> float:
-        """The best cosine of all words of a text to a template."""
-        words = WORD.findall(text.lower())
-        return max((self.cosine(words, i) for i in range(len(self.templates))), default=0.0)
+        """The best cosine of all words of a text to a template that grants something."""
+        words = words_of(text)
+        return max((self.cosine(words, i) for i, (n, _) in enumerate(self.templates) if n != RESERVED), default=0.0)
 
 
 def _scan(text: pa.Array) -> pa.Array:
@@ -120,10 +148,14 @@ def _scan(text: pa.Array) -> pa.Array:
 
 
 def notices(text: Column) -> Column:
-    """struct(name, score, all, whole) of whole texts; texts without a cue never leave the JVM."""
-    low, cue = F.lower(text), F.lit(False)
-    for c in CUES:
-        cue = cue | F.contains(low, F.lit(c)) if not any(c != o and o in c for o in CUES) else cue  # the shorter cue finds it
+    """struct(name, score, all, whole) of whole texts; texts without an anchor never leave the JVM."""
+    low, cue, anchors = F.lower(text), F.lit(False), set(Matcher().at)
+    anchors |= {x for x, w in SPELLINGS.items() if w in anchors}
+    brief = {x for x in anchors if len(x) < 5}  # most texts have these within other words
+    for c in sorted(anchors - brief):
+        cue = cue | F.contains(low, F.lit(c)) if not any(c != o and o in c for o in anchors - brief) else cue  # the shorter anchor finds it
+    if brief:
+        cue = cue | low.rlike(f"(?<![a-z0-9])(?:{'|'.join(sorted(brief))})(?![a-z0-9])")
     return F.arrow_udf(_scan, "struct<name:string,score:double,all:array<string>,whole:boolean>")(F.when(cue, text))
 
 
@@ -136,7 +168,7 @@ def scan(files: DataFrame, *, id_col="doc_id", path_col="path", text_col="text")
     rows = rows.withColumn("is_file", F.col("n.name").isNotNull() & (named | F.col("n.whole")))
     rows = settle(rows.select("id", "path", "folder", "base", "is_file", "n.name", "n.score", "n.all"))
 
-    best = F.min(F.struct((-F.col("score")).alias("s"), "base", "name"))
+    best = F.min(F.struct((F.col("name") == RESERVED).alias("last"), (-F.col("score")).alias("s"), "base", "name"))
     licensed = rows.where("is_file and folder is not null").groupBy("folder").agg(best.alias("b")).select(F.col("folder").alias("above"), F.col("b.name").alias("given"), (-F.col("b.s")).alias("given_score"))
     steps = F.split("folder", "/")
     above = F.when(F.col("folder") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")))

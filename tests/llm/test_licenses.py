@@ -69,3 +69,45 @@ def test_a_licence_at_the_top_reaches_every_file(spark):
 
 def test_an_empty_table(spark):
     assert _scan(spark, []) == {}
+
+
+def test_a_notice_that_reserves_all_rights_is_found_and_inherits_nothing(spark):
+    m, name = licenses.Matcher(), licenses.RESERVED
+    assert m.find("Copyright 2020 X. All rights reserved.") == [(name, 1.0)] and m.find("All rights of way are reserved here.") == []
+    assert [n for n, _ in m.find("All rights reserved. Licensed under CC BY 4.0.")] == ["CC-BY-4.0", name]
+    got = _scan(
+        spark,
+        [
+            (1, "a/LICENSE", "Released under the MIT License.", None),
+            (2, "a/x.py", "# (c) X. All rights reserved.\ncode", None),
+            (3, "a/y.py", "code", None),
+            (4, "a/b/LICENSE", "Copyright X. All rights reserved.", None),
+            (5, "a/b/z.py", "code", None),
+            (6, "a/only.txt", "All rights reserved.", None),
+        ],
+    )
+    assert (got[2].license, got[2].origin, got[2].from_folder) == (name, "header", None)
+    assert (got[3].license, got[3].origin) == ("MIT", "inherited")
+    assert (got[4].license, got[4].origin) == (name, "file") and (got[5].license, got[5].from_folder) == (name, "a/b")
+    assert (got[6].license, got[6].origin) == (name, "header")  # speaks for itself, not for its folder
+
+
+def test_british_spelling_and_damaged_cues(spark):
+    texts = {
+        "MIT": "Released under the MIT Licence.",
+        "CC-BY-4.0": "Licenced under CC BY 4.0.",
+        "GPL-3.0": "This work is lisensed under the GNU General Public Licence, version 3.",
+        "BSD-3-Clause": "Redistributoin and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Unlicense": "This is free and unencumberd software released into the public domain.",
+    }
+    got = _scan(spark, [(i, f"{i}/x", "prose " * 9 + t + " prose" * 9, None) for i, t in enumerate(texts.values())])
+    assert [got[i].license for i in range(len(texts))] == list(texts)
+
+
+def test_words_without_an_anchor_cannot_reach_the_threshold():
+    m = licenses.Matcher()
+    for i, (_, ws) in enumerate(m.templates):
+        anchors = m.anchors(i)
+        assert len(anchors) > 1 and anchors <= set(m.at)
+        # the best of all texts without an anchor has the template's other words in their own proportion
+        assert sum(x * x for w, x in m.vectors[i].items() if w not in anchors) ** 0.5 < licenses.THRESHOLD
