@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
@@ -44,67 +49,84 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def batch_topk(queries: DataFrame, rows: DataFrame, k: int, *, query_id="qid", id_col="chunk_id", vec_col="embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): the k nearest rows of every query.
 
-    Queries go to the tasks in blocks of at most `block`, so what is broadcast has a fixed bound; each
-    task multiplies its batches of rows with a block and keeps k per query, and those are ranked once
-    more. The result is the same for any number of tasks.
+    A query is a distinct pair of id and vector: an id with several vectors has k rows for each of them, a
+    null id is one as any other, a null vector is none. Spark writes the queries as files of at most
+    `block` into the shared folder; each partition of rows meets each file in a task of its own, which
+    multiplies its batches of rows with that block and keeps k per query, and those are ranked once more.
+    The result is the same for any number of tasks.
     """
     if k <= 0:
         raise ValueError(f"k must be positive, not {k}")
-    ids = queries.select(F.col(query_id).alias("q"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
-    out = None
-    last, kind = None, rows.schema[id_col].dataType.simpleString()
-    qkind = queries.schema[query_id].dataType.simpleString()
-    while True:
-        part = (ids if last is None else ids.where(F.col("q") > F.lit(last))).orderBy("q").limit(block).collect()
-        if not part:
-            break
-        last = part[-1].q
-        found = _scan(part, rows, k, id_col, vec_col, f"q {qkind}, id {kind}, score double")
-        out = found if out is None else out.unionByName(found)
-        if len(part) < block:
-            break
-    if out is None:
-        return queries.sparkSession.createDataFrame([], f"{query_id} {qkind}, {id_col} {kind}, score double, rank int")
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    ranked = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    spark, kind, qkind = queries.sparkSession, rows.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    ids = queries.select(F.col(query_id).alias("q"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null").distinct().withColumn("u", F.xxhash64("v"))
+    folder, n = f"{_shared_dir(spark)}/queries-{uuid.uuid4().hex}", ids.count()
+    ids.repartition(max(1, math.ceil(n / block)), "q", "u").write.option("maxRecordsPerFile", block).parquet(folder)
+    files = spark.read.parquet(folder).inputFiles() if n else []
+    if not files:
+        return spark.createDataFrame([], f"{query_id} {qkind}, {id_col} {kind}, score double, rank int")
+    blocks = spark.createDataFrame(spark.sparkContext.parallelize([(f,) for f in files], len(files)), "block string")
+    held = rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    # With this hint a task has one partition of rows and one of the blocks, not all blocks at once.
+    found = held.hint("shuffle_replicate_nl").crossJoin(blocks).mapInArrow(_search(k), f"q {qkind}, u bigint, id {kind}, score double")
+    w = Window.partitionBy("q", "u").orderBy(F.desc("score"), "id")
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_id), F.col("id").alias(id_col), "score", "rank")
 
 
-def _scan(part, rows: DataFrame, k: int, id_col: str, vec_col: str, schema: str) -> DataFrame:
-    names = [r.q for r in part]
-    matrix = np.array([r.v for r in part], dtype=np.float64)
-    norms = np.linalg.norm(matrix, axis=1)
-    held = rows.sparkSession.sparkContext.broadcast((names, matrix, norms))
-    dim = matrix.shape[1]
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-evidlake-")
 
+
+def _read_block(uri: str) -> pa.Table:
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+    with files.open_input_file(path) as f:
+        return pq.ParquetFile(f).read()
+
+
+def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix, norms = held.value
-        best: list = [(np.zeros(0), None)] * len(names)
-        for batch in batches:
-            v = batch.column("v")
-            flat = np.asarray(v.flatten(), dtype=np.float64)
-            if len(flat) != dim * batch.num_rows:
-                raise ValueError("a vector has another dimension than the queries")
-            x = flat.reshape(-1, dim)
-            length = np.sqrt((x * x).sum(axis=1))
-            ok = length > 0
-            id_values = np.asarray(batch.column("id").to_pylist(), dtype=object if pa.types.is_string(batch.column("id").type) else None)[ok]
-            for i, s in enumerate(_cosines(x[ok], length[ok], matrix, norms)):
-                scores, got = best[i]
-                scores, got = np.concatenate([scores, s]), id_values if got is None else np.concatenate([got, id_values])
-                at = _best(scores, got, k)
-                best[i] = (scores[at], got[at])
-        for i, (scores, got) in enumerate(best):
-            if got is not None and len(got):
-                yield pa.RecordBatch.from_pydict({"q": [names[i]] * len(got), "id": got.tolist(), "score": scores})
-
-    return rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, schema)
-
-
-def _cosines(x: np.ndarray, length: np.ndarray, matrix: np.ndarray, norms: np.ndarray) -> Iterator[np.ndarray]:
-    dots = x @ matrix.T
+        best: dict = {}
+        for mixed in batches:
+            for uri in mixed.column("block").unique().to_pylist():
+                if uri not in best:
+                    t = _read_block(uri)
+                    matrix = np.array(t.column("v").to_pylist(), dtype=np.float64).reshape(len(t), -1) if len(t) else np.zeros((0, 0))
+                    best[uri] = (t, matrix, np.linalg.norm(matrix, axis=1), [(np.zeros(0), None)] * len(matrix))
+                _, matrix, norms, tops = best[uri]
+                if not len(matrix):  # Spark writes a file for an empty first partition
+                    continue
+                batch = mixed.filter(pc.equal(mixed.column("block"), uri))
+                flat = np.asarray(batch.column("v").flatten(), dtype=np.float64)
+                if len(flat) != matrix.shape[1] * batch.num_rows:
+                    raise ValueError("a vector has another dimension than the queries")
+                x = flat.reshape(-1, matrix.shape[1])
+                length = np.sqrt((x * x).sum(axis=1))
+                ok = length > 0
+                id_values = np.asarray(batch.column("id").to_pylist(), dtype=object if pa.types.is_string(batch.column("id").type) else None)[ok]
+                for i, (near, s) in enumerate(_cosines(x[ok], length[ok], matrix, norms, k)):
+                    scores, got = tops[i]
+                    scores, got = np.concatenate([scores, s]), id_values[near] if got is None else np.concatenate([got, id_values[near]])
+                    at = _best(scores, got, k)
+                    tops[i] = (scores[at], got[at])
+        for t, _, _, tops in best.values():
+            for q, u, (scores, got) in zip(t.column("q").to_pylist(), t.column("u").to_pylist(), tops, strict=True):
+                if got is not None and len(got):
+                    yield pa.RecordBatch.from_pydict({"q": pa.array([q] * len(got), t.schema.field("q").type), "u": pa.array([u] * len(got), pa.int64()), "id": got.tolist(), "score": scores})
+
+    return run
+
+
+def _cosines(x: np.ndarray, length: np.ndarray, matrix: np.ndarray, norms: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query, the places that can be among the k best, and their cosines."""
+    dots = x @ matrix.T / length[:, None]
     for i in range(matrix.shape[0]):
-        yield dots[:, i] / (length * norms[i]) if norms[i] > 0 else np.zeros(len(x))
+        s = dots[:, i]
+        # The last bits of a matrix product depend on its shape: it only preselects, with room for them.
+        near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * norms[i]) if len(s) > k else np.arange(len(s))
+        yield near, (x[near] * matrix[i]).sum(axis=1) / (length[near] * norms[i]) if norms[i] > 0 else np.zeros(len(near))
 
 
 def fused_ranks(lists: DataFrame, *, query_id="qid", id_col="chunk_id", constant: int = 60) -> DataFrame:

@@ -96,6 +96,21 @@ def test_vector_search_by_brute_force(spark):
             vector.check_request(k, v, 8)
 
 
+def test_vector_search_with_repeated_and_null_query_ids(spark):
+    m = np.random.default_rng(2).standard_normal((60, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "chunk_id long, embedding array<double>")
+    asked = [(None, 0), (None, 1), (None, 2), (None, 3), (5, 4), (5, 5), (5, 6), (5, 6), (6, 7), (6, 7), (7, 8)]
+    queries = spark.createDataFrame([(q, [float(x) for x in m[i]]) for q, i in asked] + [(8, None)], "qid long, embedding array<double>")
+    want = []
+    for q, i in set(asked):
+        cos = m @ m[i] / np.linalg.norm(m, axis=1) / np.linalg.norm(m[i])
+        want += [(q, int(c), n + 1) for n, c in enumerate(np.argsort(-cos)[:4])]
+    for block in (1, 2, 3, 4096):
+        got = [(r.qid, r.chunk_id, r.rank) for r in vector.batch_topk(queries, df.repartition(3), 4, block=block).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert vector.batch_topk(queries.where("qid = 8"), df, 4).collect() == vector.batch_topk(queries, df.limit(0), 4).collect() == []
+
+
 def test_web_search_syntax():
     s = search.read_search('planner "null reference" or crash -test -"slow path" the')
     assert s.any_of == [[("planner",), ("null", "refer")], [("crash",)]] and s.none_of == [("test",), ("slow", "path")]
