@@ -111,3 +111,39 @@ def test_words_without_an_anchor_cannot_reach_the_threshold():
         assert len(anchors) > 1 and anchors <= set(m.at)
         # the best of all texts without an anchor has the template's other words in their own proportion
         assert sum(x * x for w, x in m.vectors[i].items() if w not in anchors) ** 0.5 < licenses.THRESHOLD
+
+
+def test_the_registered_query_over_the_whole_table(spark):
+    import duckdb
+
+    from evidlake.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    planted = {
+        "GPL-3.0": "this work is licensed under the gnu general public license version 3",
+        "CC-BY-NC-4.0": "licensed under cc by nc 4 0",
+        "MIT": "released under the mit license",
+        "Apache-2.0": "licensed under the apache license version 2 0",
+        licenses.RESERVED: "all rights reserved",
+    }
+    docs = duckdb.sql(f"SELECT doc_id, source, lang, text FROM '{sf}/documents.parquet'").fetchall()
+    own, given, paths = {}, {}, {}
+    for i, source, lang, text in docs:
+        plain = " " + "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in (text or "").lower()) + " "
+        plain = " ".join(plain.split())
+        at = sorted((name == licenses.RESERVED, plain.find(words), name) for name, words in planted.items() if f" {words} " in f" {plain} ")
+        own[i], paths[i] = [name for _, _, name in at], f"{source or 'unknown'}/{lang or 'unknown'}/{i}.txt"
+        if at and plain == planted[at[0][2]] and not at[0][0]:
+            given.setdefault(paths[i].rsplit("/", 1)[0], []).append((f"{i}.txt", at[0][2]))
+    want = {}
+    for i, path in paths.items():
+        folder, found = path, (None, None)
+        while not own[i] and found[0] is None and "/" in folder:
+            folder = folder.rsplit("/", 1)[0]
+            found = (min(given[folder])[1], folder) if folder in given else found
+        want[i] = (own[i][0] if own[i] else found[0], ",".join(own[i]), found[1])
+    got = {r.doc_id: (r.license, r.licenses, r.from_folder) for r in queries.op8_license_scan(spark, sf).collect()}
+    assert got == want
+    counts = {name: sum(name in r[1].split(",") for r in got.values()) for name in planted}
+    lines = {name: sum(name in names for names in own.values()) for name in planted}
+    assert counts == lines and counts[licenses.RESERVED] == 3 and sum(counts.values()) == 6  # this small table has no GPL notice
