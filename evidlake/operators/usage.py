@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .vector import new_folder
+
 
 def totals_by_label(rows: DataFrame, labels: DataFrame, *, key="caller", value="total", other="other") -> DataFrame:
     """(label, total): keys without a label count under `other`; sums are rounded last."""
@@ -73,9 +75,26 @@ def gaps(rows: DataFrame, *, key: list[str], at: str, least_seconds: float) -> D
 
 
 def running_max(rows: DataFrame, *, key: list[str], order: list[str], value: str) -> DataFrame:
-    """A cursor that never goes back: the largest value so far."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("cursor", F.max(value).over(w))
+    """A cursor that never goes back: the largest value so far.
+
+    Rows are cut into ranges of (key, order), written once into the shared folder; the largest values of
+    the ranges before are one row per key and range, so that a window sorts a range only and a hot key
+    is spread over tasks.
+    """
+    spark = rows.sparkSession
+    folder = new_folder(spark, "ranges")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartitionByRange(parts, *key, *order).withColumn("_range", F.spark_partition_id()).write.parquet(folder)
+    cut = spark.read.parquet(folder)
+    most = cut.groupBy(*key, "_range").agg(F.max(value).alias("_most"))
+    earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = most.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_range").alias("_r"), F.max("_most").over(earlier).alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    upto = Window.partitionBy(*key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = cut.withColumn("cursor", F.max(value).over(upto))
+    return within.join(before, same, "left").withColumn("cursor", F.greatest("cursor", "_before")).select(*rows.columns, "cursor")
 
 
 def seen_within(uploads: DataFrame, observed: DataFrame, seconds: int, *, key: str, at: str = "ts", seen: str = "ts") -> DataFrame:

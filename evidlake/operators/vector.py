@@ -59,7 +59,7 @@ def batch_topk(queries: DataFrame, rows: DataFrame, k: int, *, query_id="qid", i
         raise ValueError(f"k must be positive, not {k}")
     spark, kind, qkind = queries.sparkSession, rows.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
     ids = queries.select(F.col(query_id).alias("q"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null").distinct().withColumn("u", F.xxhash64("v"))
-    folder, n = f"{_shared_dir(spark)}/queries-{uuid.uuid4().hex}", ids.count()
+    folder, n = new_folder(spark, "queries"), ids.count()
     ids.repartition(max(1, math.ceil(n / block)), "q", "u").write.option("maxRecordsPerFile", block).parquet(folder)
     files = spark.read.parquet(folder).inputFiles() if n else []
     if not files:
@@ -73,9 +73,10 @@ def batch_topk(queries: DataFrame, rows: DataFrame, k: int, *, query_id="qid", i
     return ranked.select(F.col("q").alias(query_id), F.col("id").alias(id_col), "score", "rank")
 
 
-def _shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-evidlake-")
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-evidlake-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
 def _read_block(uri: str) -> pa.Table:

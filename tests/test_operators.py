@@ -111,6 +111,19 @@ def test_vector_search_with_repeated_and_null_query_ids(spark):
     assert vector.batch_topk(queries.where("qid = 8"), df, 4).collect() == vector.batch_topk(queries, df.limit(0), 4).collect() == []
 
 
+def test_a_hot_key_of_the_cursor_is_spread_over_tasks(spark):
+    rng = np.random.default_rng(3)
+    data = [(["a", "a", "a", None][i % 4], int(i), None if i % 7 == 0 else float(x)) for i, x in enumerate(rng.standard_normal(400))]
+    got = usage.running_max(spark.createDataFrame(data, "k string, i long, v double").repartition(3), key=["k"], order=["i"], value="v")
+    want, most = {}, {}
+    for k, i, v in data:
+        most[k] = max((x for x in (most.get(k), v) if x is not None), default=None)
+        want[i] = most[k]
+    assert got.columns == ["k", "i", "v", "cursor"] and {r.i: r.cursor for r in got.collect()} == want
+    ranges = got.sparkSession.read.parquet(*{f.rsplit("/", 1)[0] for f in got.inputFiles()})
+    assert ranges.where("k = 'a'").select("_range").distinct().count() > 1
+
+
 def test_web_search_syntax():
     s = search.read_search('planner "null reference" or crash -test -"slow path" the')
     assert s.any_of == [[("planner",), ("null", "refer")], [("crash",)]] and s.none_of == [("test",), ("slow", "path")]
