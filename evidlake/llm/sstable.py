@@ -5,8 +5,14 @@ each), a Bloom filter, a sparse index (first key, place and size of each block)
 A document is found by binary search of the index and one block read. Shards are ranges of
 identifiers, so shard order is identifier order; a task holds one block of its shard at a time.
 
+A task that is tried again writes a file of another name, and only the rows of the attempt that
+succeeded name their shards; what failed attempts leave behind is never read.
+
 Edge cases: a null text has the end id only; a null identifier sorts before all others; identifiers
-that repeat are neighbours in order of their text's hash; an empty table writes nothing.
+that repeat are neighbours in order of their text's hash; rows that repeat are entries of their own,
+and very many of them are spread over shards; very long texts are entries like others, a task holds
+one at a time; an empty table writes nothing; other columns are ignored, whatever their names. Any
+tokenizer of the library will do; those of another form than `tokens.FORM` are slower.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -31,7 +38,7 @@ BLOCK_BYTES = 64 << 10
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
 SHARD_BYTES = 16 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 8 << 20
 MAGIC = b"EVSST01\n"
 FOOTER = "<QQQQQQI8s"  # bloom place, size; index place, size; entries; tokens; id width; magic
 PLACE = "<QII"  # block place, size, entries
@@ -192,39 +199,36 @@ class ShardReader:
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, id_col="doc_id", text_col="text", shards: int | None = None) -> DataFrame:
     """Writes all documents to shards in a folder; (shard, path, entries, tokens), one row per shard, settled."""
     n = shards or pieces(docs, SHARD_BYTES)
-    # The hash splits an identifier that repeats very often over several ranges.
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
+    # The hash splits an identifier that repeats very often over several ranges, the input's part rows that repeat.
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.spark_partition_id().alias("part"), F.col(text_col).cast("binary").alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("part")]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("part")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
-        fs, base = open_fs(folder)
-        final, temp = f"{base}/shard-{part:06d}.sst", f"{base}/_temporary/shard-{part:06d}.{attempt}"
+        name = f"shard-{part:06d}.{attempt}.sst"
         stream = writer = None
         for batch in batches:
             words = memo(f"tokens:{tokenizer}", lambda: WordTokens(tokenizer))
             end = np.array([END], dtype=words.dtype).tobytes()
             if stream is None and batch.num_rows:
-                fs.create_dir(f"{base}/_temporary", recursive=True)
-                stream = fs.open_output_stream(temp)
+                fs, base = open_fs(folder)
+                fs.create_dir(base, recursive=True)
+                stream = fs.open_output_stream(f"{base}/{name}")
                 writer = ShardWriter(stream, words.width)
-            at = 0
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            ids = batch.column("doc_id").to_pylist()
+            texts, keys = batch.column("text").fill_null(b""), batch.column("doc_id").to_pylist()
+            ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
             while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= SLICE_BYTES):
-                    size += len(texts[stop])
-                    stop += 1
-                for i, t in zip(ids[at:stop], words.ids(texts[at:stop]), strict=True):
+                before = int(ends[at - 1]) if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+                for i, t in zip(keys[at:stop], words.ids(texts.slice(at, stop - at)), strict=True):
                     writer.add(key_of(i), t + end)
                 at = stop
         if writer is not None:
             writer.close()
             stream.close()
-            fs.move(temp, final)
-            path = folder.rstrip("/") + f"/shard-{part:06d}.sst"
+            path = folder.rstrip("/") + f"/{name}"
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([path]), pa.array([writer.entries], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["shard", "path", "entries", "tokens"])
 
     return settle(rows.mapInArrow(write, "shard bigint, path string, entries bigint, tokens bigint"))

@@ -56,14 +56,22 @@ def test_special_strings_and_full_caches():
             assert np.frombuffer(small.ids([t.encode()])[0], small.dtype).tolist() == whole(t)
     import evidlake.llm.tokens as tokens
 
-    old = tokens.CORES, tokens.WORDS
-    tokens.CORES = tokens.WORDS = 3
-    try:
+    for most in (3, 300):
         tiny = WordTokens(PATH)
-        got = [np.frombuffer(x, tiny.dtype).tolist() for x in tiny.ids([t.encode() for t in texts * 2])]
-    finally:
-        tokens.CORES, tokens.WORDS = old
-    assert got == [whole(t) for t in texts * 2]
+        tiny.words, tiny.cores = tokens.Cache(most), tokens.Cache(most)
+        for _ in range(3):
+            got = [np.frombuffer(x, tiny.dtype).tolist() for x in tiny.ids([t.encode() for t in texts * 2])]
+            assert got == [whole(t) for t in texts * 2]
+        assert tiny.words.keys.nbytes + tiny.words.values.nbytes <= most
+    assert tiny.ids([]) == [] and tiny.ids([b"", b" \n"]) == [b"", b""]
+
+
+def test_tokenizers_of_another_form_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, library = WordTokens(path), Tokenizer.from_file(path)
+    texts = ["a  b\n c", "", " Word's éñ ", "\t\t42"]
+    assert not other.by_words and WORDS.by_words
+    assert [np.frombuffer(x, other.dtype).tolist() for x in other.ids([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_shard_round_trip_and_lookup():
@@ -102,3 +110,14 @@ def test_nulls_ties_and_empty_table(spark, tmp_path):
             reader = sstable.ShardReader(f, fs.get_file_info(name).size)
             assert reader.entries == s.entries
     assert sstable.token_output(df.where("doc_id > 100"), PATH, folder=f"file://{tmp_path}/none").collect() == []
+
+
+def test_rows_that_repeat_are_spread_and_long_texts_kept(spark, tmp_path):
+    long = "ab cd, " * 400_000
+    df = spark.range(0, 20_000, 1, 16).selectExpr("7L as doc_id", "'x y' as text").union(spark.createDataFrame([(8, long)], "doc_id long, text string"))
+    shards = sstable.write_shards(df, f"file://{tmp_path}/out", PATH, shards=4).collect()
+    assert max(s.entries for s in shards) < 10_000 and sum(s.entries for s in shards) == 20_001
+    got = sstable.read_shards(spark.createDataFrame(shards)).collect()
+    assert sorted(r.start for r in got if r.doc_id == 7) == list(range(0, 60_000, 3))
+    ids = whole(long) + [2]
+    assert [(r.start, r.n_tokens, r.ids_crc32) for r in got if r.doc_id == 8] == [(60_000, len(ids), digest(ids))]
