@@ -5,6 +5,8 @@ A page and its total are built from one filtered frame, so they can't disagree a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,20 +128,37 @@ def fixed_by(issues: DataFrame, pulls: DataFrame) -> DataFrame:
     return out.select(*[issues[c] for c in issues.columns], F.col("f.pull").alias("fixed_by"))
 
 
-def next_after(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str) -> DataFrame:
+def by_day(t: Column) -> Column:
+    return F.date_trunc("day", t)
+
+
+def next_after(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, *, bucket: Callable[[Column], Column] = by_day) -> DataFrame:
     """Forward as-of join: each left row's first right value of the same key at or after its time, else null.
 
-    Both sides meet in one shuffle on the key and one window; nothing is multiplied. Equal times are
-    decided by the least value.
+    Both sides meet in one shuffle on key and bucket of time, so a hot key is spread over its buckets. A
+    window looks back over descending time within a bucket; its frame only grows, so the work is linear.
+    Where nothing follows there, the first value of the next bucket that has any is taken, from one row
+    per key and bucket. `bucket` must not fall as time rises. Nothing is multiplied. Equal times are
+    decided by the least value; right rows without key, time or value and left ones without key or time
+    match nothing.
     """
     w = [F.col(k) for k in keys]
     stamp = lambda df, t, is_right, row, val: df.select(*w, F.col(t).alias("_t"), F.lit(is_right).alias("_r"), row.alias("_row"), val.alias("_v"))
     null_row = F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType)
     null_value = F.lit(None).cast(right.schema[value].dataType)
-    both = stamp(left, left_time, 0, F.struct(*left.columns), null_value).unionByName(stamp(right, right_time, 1, null_row, F.col(value)))
-    ahead = Window.partitionBy(*keys).orderBy(F.col("_t"), F.col("_r"), F.col("_v")).rowsBetween(0, Window.unboundedFollowing)
-    out = both.withColumn("_next", F.first("_v", ignorenulls=True).over(ahead)).where("_r = 0")
-    return out.select("_row.*", F.col("_next").alias(value))
+    both = stamp(left, left_time, 0, F.struct(*left.columns), null_value).unionByName(stamp(right.dropna(subset=[*keys, right_time, value]), right_time, 1, null_row, F.col(value)))
+    both = both.withColumn("_b", bucket(F.col("_t")))
+    back = Window.partitionBy(*keys, "_b").orderBy(F.col("_t").desc(), F.col("_r").desc(), F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("_here", F.last("_v", ignorenulls=True).over(back)).where("_r = 0")
+
+    first = F.min(F.when(F.col("_r") == 1, F.struct("_t", "_v")))["_v"]
+    later = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    heads = both.where("_b is not null").groupBy(*keys, "_b").agg(first.alias("_first")).withColumn("_later", F.last("_first", ignorenulls=True).over(later))
+    heads = heads.where("_later is not null").select(*[c.alias(f"_k{i}") for i, c in enumerate(w)], F.col("_b").alias("_kb"), "_later")
+    same = F.col("_b") == F.col("_kb")
+    for i, c in enumerate(w):
+        same = same & (c == F.col(f"_k{i}"))
+    return rows.join(heads, same, "left").select("_row.*", F.when(F.col("_t").isNotNull(), F.coalesce("_here", "_later")).alias(value))
 
 
 def link_edges(pulls: DataFrame, commits: DataFrame) -> DataFrame:
