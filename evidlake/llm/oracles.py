@@ -89,7 +89,7 @@ FROM d LEFT JOIN n USING (doc_id)
 def quality_sql() -> str:
     """The rules' counts, their cutoffs by exact binomial tails, and the verdicts."""
     rules = ", ".join(f"({i}, '{rule}', {level}, {cut}::DOUBLE)" for i, (rule, cuts) in enumerate(quality.RULES.items()) for level, cut in enumerate(cuts))
-    risk, n_rules = f"({quality.ALPHA}::DOUBLE / {len(quality.RULES)})", len(quality.RULES)
+    risk = f"{quality.ALPHA}::DOUBLE"
     score = "CASE r.rule WHEN 'symbols_per_word' THEN n_symbols / greatest(n_words, 1) WHEN 'duplicate_lines' THEN n_dup_lines / greatest(n_lines, 1) WHEN 'repeated_words' THEN n_repeat_words / greatest(n_words, 1) WHEN 'capital_letters' THEN n_capitals / greatest(word_chars, 1) ELSE n_stutters / greatest(n_words, 1) END"
     return rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -105,11 +105,13 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 rules AS (SELECT * FROM (VALUES {rules}) v(idx, rule, level, cut)),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
 held AS (SELECT b.* FROM b SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
-tests AS (SELECT {n_rules} * greatest(1, count(*)) AS m FROM (SELECT DISTINCT lang FROM held)),
-lost AS (SELECT lang, idx, rule, level, cut, count(*) AS n, count(*) FILTER ({score} > cut) AS x FROM held, rules r GROUP BY ALL),
+strata AS (SELECT greatest(1, count(*)) AS m FROM (SELECT DISTINCT lang FROM held)),
+over AS (SELECT lang, doc_id, level, bool_or({score} > cut) AS gone FROM held, rules r GROUP BY ALL),
+lost AS (SELECT lang, level, count(*) AS n, count(*) FILTER (gone) AS x FROM over GROUP BY ALL),
 tail AS (SELECT *, CASE WHEN x >= n THEN 1.0 ELSE list_sum(list_transform(range(0, x + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({risk}) + (n - k) * ln(1 - {risk})))) END AS p FROM lost),
-safe AS (SELECT *, min(CAST(p <= {quality.DELTA} / (SELECT m FROM tests) AS INT)) OVER (PARTITION BY lang, rule ORDER BY level) AS ok FROM tail),
-cuts AS (SELECT lang, idx, rule, min(cut) AS cut FROM safe WHERE ok = 1 GROUP BY ALL),
+safe AS (SELECT *, min(CAST(p <= {quality.DELTA} / (SELECT m FROM strata) AS INT)) OVER (PARTITION BY lang ORDER BY level) AS ok FROM tail),
+best AS (SELECT lang, max(level) AS level FROM safe WHERE ok = 1 GROUP BY lang),
+cuts AS (SELECT best.lang, idx, rule, cut FROM best JOIN rules USING (level)),
 bad AS (SELECT b.doc_id, string_agg(r.rule, ',' ORDER BY idx) AS rejected_by FROM b JOIN cuts r ON b.lang IS NOT DISTINCT FROM r.lang WHERE {score} > r.cut GROUP BY b.doc_id)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
 FROM b LEFT JOIN bad USING (doc_id)

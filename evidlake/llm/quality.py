@@ -1,16 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
 Fixed rules reject texts that are short or mostly repeat themselves. Beyond them, each rule in RULES
-is a score with cutoffs from lenient to strict. Labelled good documents are the holdout: per stratum
-(language) and rule, cutoffs are tested in that order, and the strictest is chosen before the first
-one whose exact binomial bound (Clopper-Pearson) on false rejection is above the rule's share of
-ALPHA. Testing in a fixed order spends no error on the number of cutoffs; Bonferroni's correction
-divides DELTA by strata times rules. So with probability 1 - DELTA, in every stratum at most ALPHA of
-good documents are lost to the chosen cutoffs. A stratum with too few labels keeps everything.
+is a score with cutoffs from lenient to strict; the rules' cutoffs of one place in that order are a
+level, applied together. Labelled good documents are the holdout: per stratum (language), levels are
+tested in order, and the strictest is chosen before the first one whose exact binomial bound
+(Clopper-Pearson) on false rejection, by any of its rules, is above ALPHA. Testing in a fixed order
+spends no error on the number of levels, and rejection by all rules together is one quantity, so
+Bonferroni's correction divides DELTA by the number of strata alone. So with probability 1 - DELTA, in
+every stratum at most ALPHA of good documents are lost to the chosen cutoffs. A stratum with too few
+labels for a proof keeps all that pass the base rules: `labels_needed` says how many that takes.
 
 Edge cases: null has no words and so fails the base rules; a null stratum is one of its own; labels
-of unknown or null ids are ignored, the best of several labels counts; ids that repeat are judged row
-by row (and their label counts for each row); empty tables give no rows or no cutoffs.
+of unknown or null ids are ignored, the best of several labels counts; ids and rows that repeat are
+judged row by row (and their label counts for each row); a score equal to its cutoff passes; a very
+long text is counted whole, by itself; empty tables give no rows or no cutoffs; other columns, whatever
+their names, are ignored by `judge` and returned unchanged by `keep_good`.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import plain, settle, stored
 from .wordhash import mixed, new_cache, windows
 
 ALPHA = 0.01
@@ -43,6 +47,8 @@ RULES = {
     "stuttered_words": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
 }
 
+LEVELS = 8
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_stutters")
 _SPACE = np.zeros(256, dtype=np.int64)
 _SPACE[[9, 10, 11, 12, 13, 32]] = 1
@@ -122,31 +128,53 @@ def scores(c: Column) -> dict[str, Column]:
 
 
 def binomial_at_most(x: int, n: int, p: float) -> float:
-    """P(X <= x) of a binomial: at most its level exactly when the upper exact bound on the rate is at most p."""
+    """P(X <= x) of a binomial: at most its level exactly when the upper exact bound on the rate is at most p.
+
+    Terms are added from x downwards until they no longer count, some multiple of their deviation many.
+    """
     if n == 0 or x >= n:
         return 1.0
-    i = np.arange(x + 1)
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in i]
-    return float(min(1.0, np.exp(np.array(logs) + i * math.log(p) + (n - i) * math.log1p(-p)).sum()))
+    k = min(x, math.ceil(n * p))  # the terms above the mean, if any, follow from the largest one
+    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    peak = term = math.exp(log)
+    total = peak
+    for j in range(k, 0, -1):
+        term *= j * (1 - p) / ((n - j + 1) * p)
+        total += term
+        if term < total * 1e-18:
+            break
+    term = peak
+    for j in range(k, x):
+        term *= (n - j) * p / ((j + 1) * (1 - p))
+        total += term
+        if term < total * 1e-18:
+            break
+    return min(1.0, total)
+
+
+def labels_needed(strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """The fewest labelled good documents of a stratum, none of them lost, that prove a level."""
+    return math.ceil(math.log(delta / strata) / math.log1p(-alpha))
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """measured: (doc_id, stratum, c) -> (stratum, cutoffs map of rule to cutoff); one row per stratum that has any."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("_l"))
     held = measured.join(good, measured.doc_id == good._l).where(~base_failed(F.col("c")))
-    sums = [F.sum((s > cut).cast("long")).alias(f"{rule}@{i}") for rule, s in scores(F.col("c")).items() for i, cut in enumerate(RULES[rule])]
-    per = settle(held.groupBy("stratum").agg(F.count("*").alias("n"), *sums))
-    tests = max(1, per.count()) * len(RULES)
+    of = scores(F.col("c"))
+    lost = [F.count_if(F.greatest(*[(of[rule] > cuts[i]).cast("int") for rule, cuts in RULES.items()]) == 1) for i in range(LEVELS)]
+    per = settle(held.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*lost).alias("lost")))
+    strata = max(1, per.count())
 
     @F.pandas_udf("double")
     def chance(x: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([binomial_at_most(int(a), int(b), alpha / len(RULES)) for a, b in zip(x, n, strict=True)], dtype="float64")
+        return pd.Series([binomial_at_most(int(a), int(b), alpha) for a, b in zip(x, n, strict=True)], dtype="float64")
 
-    stacked = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("level"), F.lit(cut).alias("cut"), F.col(f"`{rule}@{i}`").alias("x")) for rule, cuts in RULES.items() for i, cut in enumerate(cuts)]))
-    rows = per.select("stratum", "n", stacked.alias("t")).select("stratum", "n", "t.*").withColumn("safe", chance("x", "n") <= delta / tests)
-    upto = Window.partitionBy("stratum", "rule").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = rows.withColumn("safe", F.min("safe").over(upto)).where("safe").groupBy("stratum", "rule").agg(F.min("cut").alias("cut"))
-    return settle(chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cutoffs")))
+    rows = per.select("stratum", "n", F.posexplode("lost").alias("level", "x")).withColumn("safe", chance("x", "n") <= delta / strata)
+    first_off = rows.groupBy("stratum").agg(F.min(F.when(~F.col("safe"), F.col("level"))).alias("off"))
+    level = F.coalesce("off", F.lit(LEVELS)) - 1
+    cutoffs = F.create_map(*[x for rule, cuts in RULES.items() for x in (F.lit(rule), F.element_at(F.array(*map(F.lit, cuts)), level + 1))])
+    return settle(first_off.where(level >= 0).select("stratum", cutoffs.alias("cutoffs")))
 
 
 def verdict(rows: DataFrame, cutoffs: DataFrame, counted: str = "c", stratum: str = "stratum") -> DataFrame:
@@ -167,8 +195,13 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", stratum_col="lang", **risk) -> DataFrame:
-    """The documents that the rules keep, all columns; texts are read twice and never shuffled."""
-    measured = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), counts(F.col(text_col)).alias("c")))
-    cutoffs = thresholds(measured, labels, **risk)
-    judged = verdict(docs.withColumn("_counted", counts(F.col(text_col))), cutoffs, "_counted", stratum_col)
-    return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the rules keep, all columns.
+
+    Texts are counted once: documents are written with their counts, from which the cutoffs' pass reads
+    the counts alone; nothing but counts of labelled documents is shuffled.
+    """
+    rows, name = plain(docs)
+    counted = stored(rows.withColumn("counted", counts(F.col(name(text_col)))), "quality")
+    measured = counted.select(F.col(name(id_col)).alias("doc_id"), F.col(name(stratum_col)).alias("stratum"), F.col("counted").alias("c"))
+    judged = verdict(counted, thresholds(measured, labels, **risk), "counted", name(stratum_col))
+    return judged.where("kept").select(*rows.columns).toDF(*docs.columns)

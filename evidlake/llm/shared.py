@@ -8,6 +8,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,21 @@ from pyspark.sql import functions as F
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Most rows of a pair of keys that are sent to every executor; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def check_local(master: str) -> None:
+    """A folder of one machine will do only where driver and tasks are one process."""
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where a local session leaves it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        check_local(spark.sparkContext.master)
         found = "file://" + tempfile.mkdtemp(prefix="spark-evidlake-")
         spark.sparkContext.setCheckpointDir(found)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -38,6 +50,29 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A frame written once as Parquet in the shared folder and reread, so that later passes read the columns they need."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def few(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled frame of keys, for broadcast where its counted size is bounded, else as it is."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def plain(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """The frame with columns c0, c1, ..., which no name of the caller's can clash with, and the new name of a column."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+
+    def name(column: str) -> str:
+        exact = [n for n, c in zip(names, df.columns, strict=True) if c == column]
+        return (exact or [n for n, c in zip(names, df.columns, strict=True) if c.lower() == column.lower()])[0]
+
+    return df.toDF(*names), name
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files that a frame reads, from the scan's statistics; at least 1."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

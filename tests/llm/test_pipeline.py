@@ -27,12 +27,11 @@ def kept_by_rules(docs, labels):
     cutoffs = {}
     for s in strata:
         held = [scores(d["text"]) for d in fine if d["lang"] == s and d["doc_id"] in good]
-        for rule, cuts in quality.RULES.items():
-            for cut in cuts:
-                lost = sum(x[rule] > cut for x in held)
-                if quality.binomial_at_most(lost, len(held), quality.ALPHA / len(quality.RULES)) > quality.DELTA / (len(strata) * len(quality.RULES)):
-                    break
-                cutoffs[s, rule] = cut
+        for level in range(quality.LEVELS):
+            lost = sum(any(x[rule] > cuts[level] for rule, cuts in quality.RULES.items()) for x in held)
+            if quality.binomial_at_most(lost, len(held), quality.ALPHA) > quality.DELTA / len(strata):
+                break
+            cutoffs |= {(s, rule): cuts[level] for rule, cuts in quality.RULES.items()}
     return [d for d in fine if all(x <= cutoffs.get((d["lang"], r), 1e9) for r, x in scores(d["text"]).items())]
 
 

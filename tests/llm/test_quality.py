@@ -45,25 +45,46 @@ def test_binomial_bound():
     exact = sum(math.comb(300, k) * 0.01**k * 0.99 ** (300 - k) for k in range(3))
     assert abs(quality.binomial_at_most(2, 300, 0.01) - exact) < 1e-12
     assert quality.binomial_at_most(0, 0, 0.01) == 1.0 and quality.binomial_at_most(5, 5, 0.01) == 1.0
+    for x in (0, 1, 3, 7, 40, 299):
+        exact = sum(math.comb(300, k) * 0.01**k * 0.99 ** (300 - k) for k in range(x + 1))
+        assert abs(quality.binomial_at_most(x, 300, 0.01) - exact) < 1e-10
+    assert 0.4 < quality.binomial_at_most(1_000_000, 100_000_000, 0.01) < 0.6
+
+
+def test_labels_needed():
+    for strata in (1, 4, 100):
+        n = quality.labels_needed(strata)
+        assert quality.binomial_at_most(0, n, quality.ALPHA) <= quality.DELTA / strata < quality.binomial_at_most(0, n - 1, quality.ALPHA)
+
+
+CLASHING = ("kept", "base_failed", "rejected_by", "_counted", "counted", "_stratum", "_cutoffs", "stratum", "c0", "c")
+
+
+def test_columns_of_any_name_come_back_unchanged(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(30 * (i % 2))), "en") for i in range(20)]
+    df = spark.createDataFrame([(*r, *range(100, 100 + len(CLASHING))) for r in rows], ["doc_id", "text", "lang", *CLASHING])
+    kept = quality.keep_good(df, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [(*r, *range(100, 100 + len(CLASHING))) for r in rows if r[0] % 2]
 
 
 def test_cutoffs_are_the_strictest_safe_ones(spark):
     clean = " ".join(f"w{i}" for i in range(30))
     junk = " ".join(f"w{i}##" for i in range(30))
-    rows = [(i, f"{clean} {i}", "en") for i in range(3000)] + [(5000 + i, f"{junk} {i}", "en") for i in range(50)] + [(9000, junk, "xx")]
+    rows = [(i, f"{clean} {i}", "en") for i in range(2000)] + [(5000 + i, f"{junk} {i}", "en") for i in range(50)] + [(9000, junk, "xx")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(3000)] + [(5000 + i, 0, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(2000)] + [(5000 + i, 0, 0) for i in range(50)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.judge(df, labels).collect()}
-    assert all(got[i].kept for i in range(3000))
+    assert all(got[i].kept for i in range(2000))
     assert not any(got[5000 + i].kept for i in range(50)) and got[5000].rejected_by == ["symbols_per_word"]
     assert got[9000].kept  # a stratum without labels keeps everything
     # the fewest clean holdouts with which any cutoff can be proven, and one fewer
-    need = math.ceil(math.log(quality.DELTA / len(quality.RULES)) / math.log1p(-quality.ALPHA / len(quality.RULES)))
+    need = quality.labels_needed(1)
     for n, proven in ((need, True), (need - 1, False)):
         cut = quality.thresholds(df.where(f"doc_id < {n}").selectExpr("doc_id", "lang as stratum", "text").withColumn("c", quality.counts("text")), labels)
         assert bool(cut.count()) == proven
     kept = quality.keep_good(df, labels)
-    assert kept.columns == df.columns and kept.count() == 3001
+    assert kept.columns == df.columns and kept.count() == 2001
 
 
 def test_sql_agrees_where_cutoffs_are_chosen(spark, tmp_path):
