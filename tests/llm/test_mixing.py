@@ -95,3 +95,27 @@ def test_taken_words_come_near_the_target(spark):
 def test_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).collect() == [] and mixing.mixed(df).collect() == []
+
+
+def test_equal_rows_at_the_place_are_split(spark):
+    rows = [(5, "a b c", "s")] * 3000 + [(6, "d", "t"), (7, "e f", "t")] + [(None, "x y z", "u")] * 500 + [(8, "q " * 40, "u")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, _key int").repartition(13)
+    got = mixing.mix(df, max_epochs=2, weights=(3, 1, 1)).collect()
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 40 for s in target)
+    assert len({r.copies for r in got if r.source == "u"}) == 2
+    whole = mixing.mixed(df, max_epochs=2, weights=(3, 1, 1))
+    assert whole.columns == df.columns and whole.count() == sum(r.copies for r in got)
+
+
+CLASHING = ("size", "target", "copies", "_key", "_range", "_s", "_copy", "c0", "_q_id", "weight")
+
+
+def test_columns_of_any_name_come_back_unchanged(spark):
+    df = spark.createDataFrame([(i, "a b", "s", *range(100, 100 + len(CLASHING))) for i in range(9)], ["doc_id", "text", "source", *CLASHING])
+    whole = mixing.mixed(df, quality=spark.createDataFrame([(1, 2.0)], "doc_id long, weight double"))
+    assert whole.columns == df.columns and sorted(map(tuple, whole.collect())) == sorted(map(tuple, df.collect()))
+    assert len(mixing.mix(df).collect()) == 9
