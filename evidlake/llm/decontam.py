@@ -7,13 +7,15 @@ of SPAN words. A hit is then extended word by word on both sides; it counts when
 Items of fewer words are one passage each: their length is both K and span, and every hash is kept.
 
 Documents without a run of neighbouring words that items hold as neighbours can't share a passage and
-are passed over before hashing. Kept hashes of the items are put into the documents' scan as a set when there are at most
-INLINE_PRINTS of them; the joins that follow see only hits then. Above that the join does it all.
-No document text is shuffled.
+are passed over before hashing. Kept hashes of the items are put into the documents' scan as a set when
+there are at most INLINE_PRINTS of them; the joins that follow see only hits then. Above that the join
+does it all, with the words around every kept hash. No document text is shuffled as a whole.
 
 Edge cases: null and wordless texts have no words, no hits and are clean; wordless items are ignored;
 repeated document rows are judged one by one; items that repeat count by item_id; null item_ids are
-ignored; empty tables give clean documents or no rows; other columns are ignored.
+ignored; of equal hashes in a window the last is kept, in documents and items alike; very long texts are
+one row like others; empty tables give clean documents or no rows; other columns, whatever their names,
+are ignored by `contaminate` and returned unchanged by `clean`.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, settle
+from .shared import few, let, plain, settle
 
 #: Words are runs of anything else, in lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -112,7 +114,10 @@ def _hits(w: Column, gram: int, window: int, least: int, known: list[int] | None
 def contaminate(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", span: int = SPAN, k: int = K, carry: dict[str, Column] | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and `carry`."""
     extra = list(carry or {})
-    pool = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
+    if not carry:
+        docs, name = plain(docs.select(id_col, text_col))
+        id_col, text_col = name(id_col), name(text_col)
+    pool = settle(items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0))
     shorts = [r.n for r in pool.where(F.size("w") < span).select(F.size("w").alias("n")).distinct().orderBy("n").collect()]  # at most span - 1 lengths
     schemes = [(k, span - k + 1, span)] + [(n, 1, n) for n in shorts]
 
@@ -121,6 +126,7 @@ def contaminate(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col=
         fit = pool.where(F.size("w") >= span if least == span else F.size("w") == least)
         one = fit.select("item", "w", F.explode(kept(F.col("w"), gram, window, lambda h, at: F.struct(h.alias("hash"), at.alias("at")))).alias("p")).select("item", F.lit(least).alias("least"), F.col("p.hash").alias("hash"), around(F.col("w"), F.col("p.at"), gram, least - gram).alias("there"))
         prints = one if prints is None else prints.unionByName(one)
+    prints = settle(prints)
     sample = prints.select("least", "hash").limit(INLINE_PRINTS + 1).collect()
     inline = len(sample) <= INLINE_PRINTS
 
@@ -162,9 +168,13 @@ def contaminate(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col=
 
 
 def clean(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", **how) -> DataFrame:
-    """The documents that aren't contaminated, all columns. Rows are told apart by id and a hash of the text."""
-    known = {"_hash": F.xxhash64(text_col)}
-    bad = contaminate(docs, items, id_col=id_col, text_col=text_col, carry=known, **how).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_bad")).distinct()
-    rows = docs.withColumn("_hash", F.xxhash64(text_col))
-    kept = rows.join(settle(bad), rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_bad")), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that aren't contaminated, all columns. Rows are told apart by id and a hash of the text.
+
+    What is contaminated goes to the documents as (id, hash), by broadcast up to a counted bound.
+    """
+    rows, name = plain(docs)
+    mark = F.xxhash64(name(text_col))
+    judged = contaminate(rows, items, id_col=name(id_col), text_col=name(text_col), carry={"mark": mark}, **how)
+    bad = settle(judged.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct())
+    kept = rows.join(few(bad), F.col(name(id_col)).eqNullSafe(F.col("bad_id")) & (mark == F.col("bad_mark")), "left_anti")
+    return kept.toDF(*docs.columns)

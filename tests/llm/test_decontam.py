@@ -76,3 +76,14 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r) for r in decontam.contaminate(docs, none).collect()] == brute([(1, "a b c")], [])
     assert decontam.contaminate(docs.limit(0), none).collect() == []
+
+
+CLASHING = ('_hash', '_id', '_bad', 'bad_id', 'bad_mark', 'mark', '_row', 'hash', 'c0')
+
+
+def test_columns_of_any_name_come_back_unchanged(spark):
+    bad = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(i, bad if i == 3 else "clean text", *range(100, 100 + len(CLASHING))) for i in range(5)], ["doc_id", "text", *CLASHING])
+    bench = spark.createDataFrame([(1, bad)], "item_id long, text string")
+    kept = decontam.clean(df, bench)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in df.collect() if r.doc_id != 3)
