@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import settled, verdict
 from ..functions.text import let, markers
+from ..plans import numbered, settle
 
 HITS = 50
 RESAMPLES = 10_000
+#: Draws of a replicate that are listed together.
+DRAWS = 1000
+#: The quality metrics, in the order in which they are reported.
+QUALITY_METRICS = ("citation_recall", "citation_precision", "groundedness", "must_contain")
 
 
 def collapse(hits: Column, most: int = HITS) -> Column:
@@ -111,20 +116,24 @@ def bootstrap_exact(deltas: DataFrame, *, by: str = "comparison", order: str = "
     return deltas.groupBy(by).applyInPandas(run, f"{by} {deltas.schema[by].dataType.simpleString()}, n long, mean double, ci_low double, ci_high double")
 
 
-def bootstrap_hashed(deltas: DataFrame, *, order: str = "qid", value: str = "delta", resamples: int = 200, seed: int = 7) -> DataFrame:
-    """(n, mean, ci_low, ci_high) where draw j of replicate r is a hash of (seed, r, j): the same on any engine.
+def bootstrap_hashed(deltas: DataFrame, *, by: list[str] = (), order: str = "qid", value: str = "delta", resamples: int = 200, seed: int = 7) -> DataFrame:
+    """(by..., n, mean, ci_low, ci_high) where draw j of replicate r is a hash of (seed, r, j): the same on any engine.
 
-    The replicates are an aggregate over a grid of replicates and draws that joins the ranked deltas
-    on their rank, so it spreads over tasks.
+    The replicates are an aggregate over a grid of replicates and draws that joins the ranked deltas on
+    their rank; ranks, grid and join spread over tasks, however many deltas a group has.
     """
-    ranked = deltas.select(F.row_number().over(Window.orderBy(order)).alias("i"), F.col(value).alias("d"))  # the deltas of one comparison
-    n = deltas.agg(F.count("*").alias("n"))
-    grid = deltas.sparkSession.range(resamples).withColumnRenamed("id", "r").crossJoin(F.broadcast(n)).select("r", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("j"))
+    deltas = settle(deltas.select(*by, order, F.col(value).cast("double").alias("d")))
+    ranked = numbered(deltas, [order], by, "i").select(*by, "i", "d")
+    sizes = deltas.groupBy(*by).agg(F.count("*").alias("n"))
+    blocks = sizes.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {DRAWS}")))).where("n > 0")
+    draws = blocks.select(*by, "n", F.explode(F.sequence(F.col("lo") * DRAWS + 1, F.least("n", (F.col("lo") + 1) * DRAWS))).alias("j"))
+    grid = draws.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("r"))
     mixed = (F.col("r") * 7919 + F.col("j") * 104729 + seed) * 48271 % 2147483647
-    drawn = grid.withColumn("i", (mixed * 48271 % 2147483647 % F.col("n") + 1).cast("int")).join(ranked, "i")
-    means = drawn.groupBy("r").agg((F.sum("d") / F.max("n")).alias("m"))
-    ends = means.agg(settled(nearest_rank("m", 0.025)).alias("ci_low"), settled(nearest_rank("m", 0.975)).alias("ci_high"))
-    return deltas.agg(F.count("*").alias("n"), settled(F.avg(value)).alias("mean")).crossJoin(F.broadcast(ends))
+    drawn = grid.withColumn("i", mixed * 48271 % 2147483647 % F.col("n") + 1).join(ranked, [*by, "i"])
+    means = drawn.groupBy(*by, "r").agg((F.sum("d") / F.max("n")).alias("m"))
+    ends = means.groupBy(*by).agg(settled(nearest_rank("m", 0.025)).alias("ci_low"), settled(nearest_rank("m", 0.975)).alias("ci_high"))
+    figures = deltas.groupBy(*by).agg(F.count("*").alias("n"), settled(F.avg("d")).alias("mean"))
+    return figures.join(ends, list(by), "left") if by else figures.crossJoin(F.broadcast(ends))
 
 
 def with_verdict(intervals: DataFrame, threshold: float = 0.10) -> DataFrame:
@@ -199,17 +208,41 @@ def cost_per_1000(results: DataFrame, rates: DataFrame, *, not_sent: str = "no q
     return own.select("arm", (1000 * total / F.col("n")).alias("cost_per_1000"))
 
 
+def metric_scope(metric: str) -> Column:
+    """Whether a question has a metric: citations for what can be answered, required words where there are any."""
+    if metric in ("citation_recall", "citation_precision"):
+        return F.col("category") != "unanswerable"
+    if metric == "must_contain":
+        return F.size("must_contain") > 0
+    if metric == "groundedness":
+        return F.lit(True)
+    raise ValueError(f"unknown quality metric {metric!r}")
+
+
 def metric_value(metric: str) -> Column:
     """An outcome's value on a quality metric; null where it doesn't apply or the answer failed."""
-    if metric in ("citation_recall", "citation_precision"):
-        value, applies = F.col(metric), F.col("category") != "unanswerable"
-    elif metric == "must_contain":
-        value, applies = F.col("must_contain_satisfied").cast("double"), F.size("must_contain") > 0
-    elif metric == "groundedness":
-        value, applies = F.col("groundedness"), F.lit(True)
-    else:
-        raise ValueError(f"unknown quality metric {metric!r}")
-    return F.when(F.col("error").isNull() & applies, value)
+    value = F.col("must_contain_satisfied").cast("double") if metric == "must_contain" else F.col(metric).cast("double")
+    return F.when(F.col("error").isNull() & metric_scope(metric), value)
+
+
+def compare_metrics(outcomes: DataFrame, questions: DataFrame, x: str, y: str, passes: int, *, query="id", pass_="pass_index", threshold: float = 0.10, resamples: int = 200) -> DataFrame:
+    """Arm x against y on every quality metric: metric, nominal_k, nominal_pairs, k, pairs, mean_delta, ci_low, ci_high, verdict.
+
+    questions (query, category, must_contain) give the nominal size of a metric. One without a pair of
+    values has k = 0, no mean and interval, and the verdict "no data".
+    """
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), metric_value(m).alias("value")) for m in QUALITY_METRICS])).alias("v")
+    long = outcomes.select(F.col(query).alias("q"), F.col(pass_).alias("p"), "arm", values).select("q", "p", "arm", "v.*")
+    deltas = paired(long, x, y, key=["metric", "q", "p"]).groupBy("metric", "q").agg(F.count("*").alias("pairs"), F.avg("delta").alias("delta"))
+    deltas = settle(deltas)
+    intervals = bootstrap_hashed(deltas, by=["metric"], order="q", resamples=resamples).withColumnRenamed("n", "k").withColumnRenamed("mean", "mean_delta")
+    pairs = deltas.groupBy("metric").agg(F.sum("pairs").cast("long").alias("pairs"))
+    nominal = questions.agg(*[F.count_if(metric_scope(m)).alias(m) for m in QUALITY_METRICS])
+    listed = nominal.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("nominal_k")) for m in QUALITY_METRICS])).alias("m")).select("m.*")
+    out = listed.join(intervals, "metric", "left").join(pairs, "metric", "left")
+    said = F.when(F.col("k").isNull(), "no data").otherwise(verdict(F.col("mean_delta"), F.col("ci_low"), F.col("ci_high"), threshold))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("metric", "nominal_k", (F.col("nominal_k") * passes).alias("nominal_pairs"), zero("k"), zero("pairs"), "mean_delta", "ci_low", "ci_high", said.alias("verdict"))
 
 
 def summarise(outcomes: DataFrame) -> DataFrame:
@@ -249,6 +282,21 @@ def audit(kept: DataFrame, sheet: DataFrame, least: int = 200) -> DataFrame:
     return out.withColumn("sound", (F.col("unlisted") + F.col("unjudged") == 0) & (F.col("kept") >= least))
 
 
+def audit_by_type(questions: DataFrame, marks: DataFrame, last: DataFrame) -> DataFrame:
+    """(entity_type, questions, kept, unmarked, repeated, invalid, disagreeing) for every type of a set, kept or not.
+
+    questions (qid, entity_type); marks (qid, mark) of the audit; last (qid, mark) of the spot check that
+    the audit extends and must agree with. A question is kept if its one mark is "fine".
+    """
+    per = marks.groupBy("qid").agg(F.count("*").alias("n"), F.max("mark").alias("mark"))
+    agreed = last.select("qid", F.col("mark").alias("last"))
+    joined = questions.select("qid", "entity_type").join(per, "qid", "left").join(agreed, "qid", "left")
+    return joined.groupBy("entity_type").agg(
+        F.count("*").alias("questions"), F.count_if((F.col("mark") == "fine") & (F.col("n") == 1)).alias("kept"), F.count_if(F.col("n").isNull()).alias("unmarked"),
+        F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(~F.col("mark").isin("fine", "not fine")).alias("invalid"), F.count_if(F.col("mark") != F.col("last")).alias("disagreeing"),
+    )
+
+
 def spot_check(marks: dict[str, str], qids: list[str], *, size: int, seed: int, round_: int, most_bad: int = 3) -> dict:
     """Which questions a round samples, and whether their marks pass; marks of other questions, or missing ones, are errors."""
     sample = random.Random(seed + round_).sample(sorted(qids), min(size, len(qids)))

@@ -167,7 +167,11 @@ def link_edges(pulls: DataFrame, commits: DataFrame) -> DataFrame:
     return p.join(commits.select("tenant_id", "sha").distinct(), ["tenant_id", "sha"]).select(F.concat(F.lit("pull_request:"), F.col("number").cast("string")).alias("pull_request"), F.concat(F.lit("commit:"), "sha").alias("commit"))
 
 
+def neighbours(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(artefact, other): every link once from either side. This form has no row that grows with a hub's links."""
+    return edges.select(F.col(a).alias("artefact"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("artefact"), F.col(a).alias("other"))).distinct()
+
+
 def adjacency(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(artefact, linked): the sorted neighbours of every artefact, in both directions."""
-    both = edges.select(F.col(a).alias("artefact"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("artefact"), F.col(a).alias("other")))
-    return both.groupBy("artefact").agg(F.sort_array(F.collect_set("other")).alias("linked"))
+    """(artefact, linked): the sorted neighbours of every artefact, in both directions, for artefacts with few links."""
+    return neighbours(edges, a, b).groupBy("artefact").agg(F.sort_array(F.collect_list("other")).alias("linked"))

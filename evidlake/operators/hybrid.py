@@ -1,8 +1,9 @@
 """Hybrid retrieval: a vector pool and a text pool, blended by weight.
 
 Text scores are divided by the largest of the pool, against a floor of zero; rows that one arm alone
-found keep a zero for the other. The number of text matches is exact and has its own aggregate, so no
-window gathers all rows; both pools are bounded by `pool`, and so is what is broadcast.
+found keep a zero for the other. Texts are searched once: the matches, as (id, score), are settled, and
+the text pool, its largest score and the exact number of matches are read from them. No window gathers
+all rows; both pools are bounded by `pool`, and so is what is broadcast.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
+from ..plans import settle
 from . import text, windows
 
 ALPHA = 0.6
@@ -72,6 +74,7 @@ def retrieve(chunks: DataFrame, embeddings: DataFrame, request: Request, *, comm
         found = text.ranked(inside, request.query)
     else:
         found = text.matching(inside, sorted(set(request.query.lower().split()))).select("chunk_id", "text_score")
+    found = settle(found)
     pool = found.orderBy(F.desc("text_score"), "chunk_id").limit(request.pool)
     best = blend(near, pool, request.alpha).orderBy(F.desc("blended"), "chunk_id").limit(request.k)
     total = found.agg(F.count("*").alias("text_match_count"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,25 +26,24 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
-def occurrences(ws: Column, term: str) -> Column:
-    """How often a term occurs among words."""
-    return F.size(F.filter(ws, lambda x: x == F.lit(term))).cast("long")
+def occurrences(low: Column, term: str) -> Column:
+    """How often a term is a word of a lower-case text. A term with other characters than those of words never is."""
+    if not re.fullmatch(r"[^\W_]+", term):
+        return F.lit(0).cast("long")
+    # The term comes first and what is before it is looked at afterwards, so that the search skips to it.
+    return F.regexp_count(low, F.lit(rf"{term}(?<![\p{{L}}\p{{N}}]{term})(?![\p{{L}}\p{{N}}])")).cast("long")
 
 
 def matching(chunks: DataFrame, terms: list[str], *, text_col="content") -> DataFrame:
     """Chunks that hold every term, with text_score, the number of occurrences of all.
 
-    The cheap test for a term as a part of the text passes over most rows before they are split.
+    Terms are counted in place, without splitting the text into words, and once: what counts rows also drops them.
     """
     if not terms:
         return chunks.withColumn("text_score", F.lit(0).cast("long")).where(F.lit(False))
-    out = chunks
-    for t in terms:
-        out = out.where(F.contains(F.lower(text_col), F.lit(t)))
-    ws = words(F.col(text_col))
-    tally = let(ws, lambda w: F.array(*[occurrences(w, t) for t in terms]))
-    out = out.withColumn("_tf", tally).where(F.forall("_tf", lambda n: n > 0))
-    return out.withColumn("text_score", F.aggregate("_tf", F.lit(0).cast("long"), lambda a, n: a + n)).drop("_tf")
+    total = lambda tf: F.when(F.forall(tf, lambda n: n > 0), F.array(F.aggregate(tf, F.lit(0).cast("long"), lambda a, n: a + n)))
+    tally = let(F.lower(text_col), lambda low: let(F.array(*[occurrences(low, t) for t in terms]), total))
+    return chunks.select("*", F.explode(tally).alias("text_score"))
 
 
 @dataclass
@@ -77,10 +78,11 @@ def read_search(query: str) -> Search:
     return out
 
 
-def postings(chunks: DataFrame, *, id_col="chunk_id", text_col="content") -> DataFrame:
-    """(id, term, positions from 1) of every chunk: words are stemmed, stop words leave gaps."""
-    ws = chunks.select(id_col, words(F.col(text_col)).alias("w")).select(id_col, stems(F.col("w")).alias("s"), "w")
-    each = ws.select(id_col, F.posexplode(F.arrays_zip("w", "s")).alias("at", "x")).where(~F.col("x.w").isin(*sorted(STOP)))
+def postings(chunks: DataFrame, *, id_col="chunk_id", text_col="content", stemmed: bool = True, stop: frozenset[str] = STOP) -> DataFrame:
+    """(id, term, positions from 1) of every chunk: words are stemmed unless told otherwise, stop words leave gaps."""
+    ws = chunks.select(id_col, words(F.col(text_col)).alias("w"))
+    ws = ws.select(id_col, (stems(F.col("w")) if stemmed else F.col("w")).alias("s"), "w")
+    each = ws.select(id_col, F.posexplode(F.arrays_zip("w", "s")).alias("at", "x")).where(~F.col("x.w").isin(*sorted(stop)) if stop else F.lit(True))
     return each.groupBy(id_col, F.col("x.s").alias("term")).agg(F.sort_array(F.collect_list((F.col("at") + 1).cast("int"))).alias("positions"))
 
 
@@ -115,6 +117,13 @@ def _phrase_at(index: dict[str, list[int]], phrase: tuple[str, ...]) -> list[int
     return [p for p in index.get(phrase[0], ()) if all(p + i in later[i] for i in range(1, len(phrase)))]
 
 
+def _judge(search: Search, index: dict[str, list[int]]) -> tuple[bool, float]:
+    """Whether a text with these positions of terms matches a search, and its score."""
+    ways = [c for c in search.any_of if all(_phrase_at(index, p) for p in c)]
+    good = bool(ways or not search.any_of) and bool(search.any_of or search.none_of) and not any(_phrase_at(index, p) for p in search.none_of)
+    return good, max((cover_density([_phrase_at(index, p) for p in c]) for c in ways), default=0.0)
+
+
 def ranked(chunks: DataFrame, query: str, *, id_col="chunk_id", text_col="content") -> DataFrame:
     """(id, text_score) of chunks that match a web-style search, scored by cover density over stems.
 
@@ -131,26 +140,33 @@ def ranked(chunks: DataFrame, query: str, *, id_col="chunk_id", text_col="conten
         may = may | all_in
     spelled = chunks.where(F.coalesce(may, F.lit(False)) if search.any_of else F.lit(True)).select(F.col(id_col), words(F.col(text_col)).alias("w"))
 
-    @F.pandas_udf("struct<matched:boolean,text_score:double>")
-    def score(ws: pd.Series) -> pd.DataFrame:
-        rows = []
-        for w in ws:
-            index: dict[str, list[int]] = {}
-            for at, x in enumerate(w if w is not None else (), 1):
-                s = stem(x)
-                if s in keep and x not in STOP:
-                    index.setdefault(s, []).append(at)
-            ways = [c for c in search.any_of if all(_phrase_at(index, p) for p in c)]
-            good = bool(ways or not search.any_of) and bool(search.any_of or search.none_of) and not any(_phrase_at(index, p) for p in search.none_of)
-            rows.append((good, max((cover_density([_phrase_at(index, p) for p in c]) for c in ways), default=0.0)))
-        return pd.DataFrame(rows, columns=["matched", "text_score"])
-
+    begins = tuple({t[:-1] for t in keep})
+    names = sorted(keep)
+    none = _judge(search, {})
+
+    def run(ws: pa.Array) -> pa.Array:
+        flat, sizes = ws.flatten().dictionary_encode(), pc.list_value_length(ws).fill_null(0).to_numpy(zero_copy_only=False)
+        # Only distinct words that begin like a wanted stem are stemmed; the others can't have it.
+        code = {t: i for i, t in enumerate(names)}
+        wanted = np.array([code.get(stem(w), -1) if w.startswith(begins) and w not in STOP else -1 for w in flat.dictionary.to_pylist()] or [-1])
+        term = wanted[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+        hits, ends = np.flatnonzero(term >= 0), np.cumsum(sizes)
+        owner = np.searchsorted(ends, hits, side="right")
+        out, cuts = [none] * len(ws), np.flatnonzero(np.diff(owner)) + 1
+        for at in np.split(np.arange(len(hits)), cuts) if len(hits) else ():
+            i, index = int(owner[at[0]]), {}
+            for p, t in zip((hits[at] - (ends[i] - sizes[i]) + 1).tolist(), term[hits[at]].tolist(), strict=True):
+                index.setdefault(names[t], []).append(p)
+            out[i] = _judge(search, index)
+        return pa.StructArray.from_arrays([pa.array([m for m, _ in out], pa.bool_()), pa.array([x for _, x in out], pa.float64())], names=["matched", "text_score"])
+
+    score = F.arrow_udf(run, "struct<matched:boolean,text_score:double>")
     score = score.asNondeterministic()  # else the filter would evaluate it once more
     return spelled.withColumn("r", score("w")).where("r.matched").select(id_col, "r.text_score")
 
 
-def search_postings(index: DataFrame, terms: list[str], *, id_col="chunk_id") -> DataFrame:
+def search_postings(index: DataFrame, terms: list[str], *, id_col="chunk_id", stemmed: bool = True) -> DataFrame:
     """(id, text_score) of chunks that hold all terms, from a stored index: the filter reaches the scan."""
-    wanted = sorted({stem(t) for t in terms})
+    wanted = sorted({stem(t) if stemmed else t for t in terms})
     hit = index.where(F.col("term").isin(*wanted)).groupBy(id_col).agg(F.count("*").alias("n"), F.sum(F.size("positions")).alias("text_score"))
     return hit.where(F.col("n") == len(wanted)).drop("n")

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
-from ..plans import small
+from ..plans import new_folder, small
 
 #: Queries held by a task at once; more are searched in blocks of as many.
 QUERY_BLOCK = 4096
@@ -73,12 +71,6 @@ def batch_topk(queries: DataFrame, rows: DataFrame, k: int, *, query_id="qid", i
     return ranked.select(F.col("q").alias(query_id), F.col("id").alias(id_col), "score", "rank")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-evidlake-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def _read_block(uri: str) -> pa.Table:
     from pyarrow import fs
 

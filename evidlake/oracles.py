@@ -64,12 +64,13 @@ SQL = {
     "batch_vector_topk": "SELECT qid, chunk_id, round(score, 9) AS score, CAST(rank AS INT) AS rank FROM (SELECT q.vec_id AS qid, e.vec_id AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE rank <= 5",
     "text_match_count": f"WITH {_tf(['the', 'and', 'tion'])} SELECT count(*) AS n FROM m",
     "text_topk_tf": f"WITH {_tf(['the', 'and', 'tion'])} SELECT * FROM m ORDER BY text_score DESC, chunk_id LIMIT 20",
+    "text_index_topk": f"WITH {_tf(['the', 'and', 'tion'])} SELECT * FROM m ORDER BY text_score DESC, chunk_id LIMIT 20",
     "hybrid_topk": _blend("SELECT doc_id AS chunk_id FROM documents") + " SELECT chunk_id, lang AS entity_type, round(vector_score, 9) AS vector_score, text_score, round(blended, 9) AS blended, text_match_count FROM k JOIN documents ON chunk_id = doc_id, n",
     "hybrid_filtered": _blend("SELECT doc_id AS chunk_id FROM documents WHERE lang = 'en' AND doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN '1996-01-01' AND '1998-01-01') AND doc_id IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name ILIKE '%RED%')") + " SELECT chunk_id, round(vector_score, 9) AS vector_score, text_score, round(blended, 9) AS blended, text_match_count FROM k, n",
     "rrf_fusion": f"WITH {_tf(['the'])}, l AS (SELECT chunk_id, row_number() OVER (ORDER BY s DESC, chunk_id) AS r FROM (SELECT vec_id AS chunk_id, {COSINE} AS s FROM embeddings ORDER BY 2 DESC, 1 LIMIT 50) UNION ALL SELECT chunk_id, row_number() OVER (ORDER BY text_score DESC, chunk_id) FROM (SELECT * FROM m ORDER BY text_score DESC, chunk_id LIMIT 50)) SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS fused FROM l GROUP BY 1",
     "unembedded_chunks": "SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "normalise_text": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g')) AS normal FROM documents""",
-    "strip_comments": "SELECT page_id, length(regexp_replace(html, '<!--.*?-->', '', 'gs')) AS n FROM pages",
+    "strip_comments": "SELECT page_id, md5(regexp_replace(html, '<!--.*?-->', '', 'gs')) AS stripped FROM pages",
     "artefact_keys": """WITH a AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'issue' WHEN 1 THEN 'commit' ELSE 'thing' END AS k, o_orderkey AS v FROM orders),
         g AS (SELECT *, CASE WHEN k = 'commit' OR (k = 'issue' AND v > 0) THEN k END AS kind FROM a)
         SELECT o_orderkey, kind, CASE WHEN kind IS NOT NULL THEN CAST(v AS VARCHAR) END AS value, k AS artefact_type, rtrim(translate(base64(encode(k || ':' || v)), '+/', '-_'), '=') || '-' || (v % 4) AS chunk_key, CASE kind WHEN 'commit' THEN 'commit/' || v WHEN 'issue' THEN 'issues/' || v END AS fragment FROM g""",
@@ -165,6 +166,46 @@ SQL |= {
     "verdicts": f"WITH {OUTCOMES}, {DELTAS}, {BOOTSTRAP} SELECT t::DOUBLE AS threshold, CASE WHEN abs(mean) >= t AND (ci_low > 0 OR ci_high < 0) THEN 'difference' ELSE 'inconclusive' END AS verdict FROM ci, (VALUES (0.05), (0.10)) v(t)",
 }
 
+SCOPE = "CASE m WHEN 'groundedness' THEN true WHEN 'must_contain' THEN {must} ELSE {kind} END"
+METRICS = "(VALUES ('citation_recall'), ('citation_precision'), ('groundedness'), ('must_contain')) ms(m)"
+CALLS = SQL["call_cost_dated"]
+
+SQL |= {
+    "link_neighbours": f"WITH {PULLS}, e AS ({LINKS}) SELECT pull_request AS artefact, commit AS other FROM e UNION SELECT commit, pull_request FROM e",
+    "unembedded_page": "SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) ORDER BY 1 LIMIT 50",
+    "dead_letter_chunks": "SELECT event_id AS chunk_id, CAST(event_id % 7 AS INT) AS attempts, lang AS entity_type, ts AS next_attempt_at FROM events JOIN documents ON event_id = doc_id WHERE event_id % 7 < 5 AND ts <= '2024-01-10' ORDER BY ts, event_id LIMIT 100",
+    "compare_metrics": f"""WITH {OUTCOMES},
+        qs AS (SELECT DISTINCT id // 8 AS q FROM o),
+        nk AS (SELECT m, count(*) FILTER ({SCOPE.format(must="q % 4 <> 0", kind="q % 7 <> 0")}) AS nominal_k FROM qs, {METRICS} GROUP BY 1),
+        v AS (SELECT m, arm, id // 8 AS q, (id // 2) % 4 AS p, CASE WHEN fine AND {SCOPE.format(must="false", kind="category <> 'unanswerable'")} THEN CASE m WHEN 'citation_recall' THEN recall WHEN 'citation_precision' THEN prec ELSE grounded END END AS value FROM o, {METRICS}),
+        pr AS (SELECT m, q, p, max(CASE WHEN arm = 'arm0' THEN value END) AS x, max(CASE WHEN arm = 'arm1' THEN value END) AS y FROM v GROUP BY 1, 2, 3),
+        dl AS (SELECT m, q, count(*) AS pairs, avg(x - y) AS d FROM pr WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2),
+        k AS (SELECT m, d, row_number() OVER (PARTITION BY m ORDER BY q) AS i FROM dl),
+        n AS (SELECT m, count(*) AS n, sum(pairs) AS pairs, avg(d) AS mean FROM dl GROUP BY 1),
+        dr AS (SELECT m, r, n, ((r * 7919 + j * 104729 + 7) * 48271 % 2147483647) * 48271 % 2147483647 % n + 1 AS i FROM range(200) a(r), n, range(1, n + 1) b(j)),
+        mn AS (SELECT m, r, sum(d) / max(n) AS x FROM dr JOIN k USING (m, i) GROUP BY 1, 2),
+        ci AS (SELECT m, quantile_disc(x, 0.025) AS low, quantile_disc(x, 0.975) AS high FROM mn GROUP BY 1)
+        SELECT m AS metric, nominal_k, 4 * nominal_k AS nominal_pairs, coalesce(n, 0) AS k, CAST(coalesce(pairs, 0) AS BIGINT) AS pairs, round(mean, 9) AS mean_delta, round(low, 9) AS ci_low, round(high, 9) AS ci_high,
+               CASE WHEN n IS NULL THEN 'no data' WHEN abs(mean) >= 0.10 AND (low > 0 OR high < 0) THEN 'difference' ELSE 'inconclusive' END AS verdict
+        FROM nk LEFT JOIN n USING (m) LEFT JOIN ci USING (m)""",
+    "run_faults": """WITH q AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 10 = 0),
+        r AS (SELECT 'E1' AS arm, qid FROM q WHERE qid % 60 <> 0 UNION ALL SELECT 'E2', qid FROM q UNION ALL SELECT 'E2', qid FROM q WHERE qid % 90 = 0 UNION ALL SELECT 'E2', -qid FROM q WHERE qid % 200 = 10),
+        c AS (SELECT arm, qid, count(*) AS n FROM r GROUP BY 1, 2), w AS (SELECT qid, arm FROM q, (VALUES ('E1'), ('E2')) a(arm))
+        SELECT coalesce(w.arm, c.arm) AS arm, coalesce(w.qid, c.qid) AS qid, CASE WHEN w.qid IS NULL THEN 'unknown' WHEN n IS NULL THEN 'missing' ELSE 'repeated' END AS fault FROM w FULL JOIN c ON w.arm = c.arm AND w.qid = c.qid WHERE w.qid IS NULL OR n IS NULL OR n > 1""",
+    "worker_faults": """WITH q AS (SELECT vec_id, label, vec_id + CAST(vec_id % 130 = 0 AS INT) AS qid FROM embeddings WHERE vec_id % 10 = 0)
+        SELECT 'arm' AS fault, qid FROM q WHERE vec_id % 70 = 0 UNION ALL SELECT 'order', qid FROM q WHERE vec_id % 130 = 0 UNION ALL SELECT 'hit', qid FROM q WHERE vec_id + 1 NOT IN (SELECT vec_id FROM embeddings WHERE label = 0)""",
+    "search_vectors": "SELECT vec_id AS qid, CASE WHEN vec_id % 30 <> 0 THEN len(embedding) END AS dim, CASE WHEN vec_id % 30 = 0 THEN 'no query vector' END AS error FROM embeddings WHERE vec_id % 10 = 0",
+    "draw_questions": """WITH c AS (SELECT doc_id, n_chars // 4 AS t, CASE lang WHEN 'en' THEN 'commit' WHEN 'de' THEN 'issue' WHEN 'fr' THEN 'release' ELSE 'pull_request' END AS entity_type, 'document:' || doc_id AS artefact FROM documents),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY entity_type ORDER BY md5('5|' || artefact), artefact) AS INT) AS place FROM c WHERE t >= 40 AND NOT (entity_type IN ('commit', 'pull_request') AND doc_id % 9 = 0))
+        SELECT entity_type, artefact, place FROM r WHERE place <= CASE entity_type WHEN 'commit' THEN 12 ELSE 5 END""",
+    "audit_by_type": """WITH l AS (SELECT doc_id AS qid, doc_id % 3 AS entity_type, CASE WHEN doc_id % 77 = 0 THEN 'odd' WHEN quality = 1 THEN 'fine' ELSE 'not fine' END AS mark, doc_id % 50 <> 0 AS seen FROM labels)
+        SELECT entity_type, count(*) AS questions, count(*) FILTER (seen AND qid % 35 <> 0 AND mark = 'fine') AS kept, count(*) FILTER (NOT seen) AS unmarked, count(*) FILTER (seen AND qid % 35 = 0) AS repeated,
+               count(*) FILTER (seen AND mark = 'odd') AS invalid, count(*) FILTER (seen AND qid % 20 = 0 AND mark <> 'fine') AS disagreeing FROM l GROUP BY 1""",
+    "cost_faults": f"SELECT event_id FROM ({CALLS}) WHERE cost_usd IS NOT NULL AND event_id % 100 = 0",
+    "order_overlaps": """WITH i AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INT) AS b FROM orders), s AS (SELECT *, max(b) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM i)
+        SELECT o_custkey, count(*) AS intervals, count(*) FILTER (a < seen) AS overlapping, count(*) FILTER (b < seen) = 0 AS monotone FROM s GROUP BY 1""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import numbers, text
-from .operators import evaluation, evidence, hybrid, usage
+from .operators import evaluation, evidence, hybrid, runs, usage
 from .operators import text as search
 from .operators import vector as vectors
+from .plans import new_folder
 
 SINCE, UNTIL = datetime(1996, 1, 1), datetime(1998, 1, 1)
 TERMS = ["the", "and", "tion"]
@@ -136,6 +137,10 @@ def link_adjacency(spark, d):
     return evidence.adjacency(export_links(spark, d), "pull_request", "commit").select("artefact", F.array_join("linked", ",").alias("linked"))
 
 
+def link_neighbours(spark, d):
+    return evidence.neighbours(export_links(spark, d), "pull_request", "commit")
+
+
 def tenant_scoped_count(spark, d):
     from .scope import TenantScope
 
@@ -170,6 +175,14 @@ def text_topk_tf(spark, d):
     return search.matching(chunks(spark, d), TERMS).orderBy(F.desc("text_score"), "chunk_id").limit(20).select("chunk_id", "text_score")
 
 
+def text_index_topk(spark, d):
+    """The index is written once, with plain words as terms, and searched by the same terms."""
+    folder = new_folder(spark, "postings")
+    search.postings(chunks(spark, d), stemmed=False, stop=frozenset()).write.parquet(folder)
+    found = search.search_postings(spark.read.parquet(folder), TERMS, stemmed=False)
+    return found.orderBy(F.desc("text_score"), "chunk_id").limit(20).select("chunk_id", F.col("text_score").cast("long").alias("text_score"))
+
+
 def _request(spark, d, **more):
     return hybrid.Request("the and", list(_query_vector(spark, d)), k=15, **more)
 
@@ -207,6 +220,10 @@ def unembedded_chunks(spark, d):
     return chunks(spark, d).join(embedded(spark, d), "chunk_id", "left_anti").select("chunk_id")
 
 
+def unembedded_page(spark, d):
+    return unembedded_chunks(spark, d).orderBy("chunk_id").limit(50)
+
+
 # texts
 
 
@@ -215,7 +232,7 @@ def normalise_text(spark, d):
 
 
 def strip_comments(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.length(text.strip_comments(F.col("html"))).cast("long").alias("n"))
+    return _t(spark, d, "pages").select("page_id", F.md5(text.strip_comments(F.col("html")).cast("binary")).alias("stripped"))
 
 
 def chunk_documents(spark, d):
@@ -370,6 +387,58 @@ def gate_grade(spark, d):
     return evaluation.gate(_results(spark, d).where("arm = 'E1' and qid % 50 <> 0"), _questions(spark, d), arm="E1", least=20)
 
 
+def compare_metrics(spark, d):
+    """The deltas' questions on every metric; no outcome has required words, so that metric has no data."""
+    o = _outcomes(spark, d).withColumn("q", F.expr("id div 8")).withColumn("p", F.expr("(id div 2) % 4")).withColumn("must_contain", F.array().cast("array<string>"))
+    kinds = o.select("q").distinct().select("q", F.when(F.col("q") % 7 == 0, "unanswerable").otherwise("factual").alias("category"), F.when(F.col("q") % 4 == 0, F.array()).otherwise(F.array(F.lit("x"))).alias("must_contain"))
+    out = evaluation.compare_metrics(o, kinds, "arm0", "arm1", 4, query="q", pass_="p")
+    return out.select("metric", "nominal_k", "nominal_pairs", "k", "pairs", *[F.round(c, 9).alias(c) for c in ("mean_delta", "ci_low", "ci_high")], "verdict")
+
+
+def _qids(spark, d):
+    return embedded(spark, d).where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("qid"))
+
+
+def run_faults(spark, d):
+    """Two arms' answers with some left out, given twice or given to no question."""
+    q = _qids(spark, d)
+    answers = lambda arm, rows: rows.select(F.lit(arm).alias("arm"), "qid")
+    results = answers("E1", q.where("qid % 60 <> 0")).unionByName(answers("E2", q)).unionByName(answers("E2", q.where("qid % 90 = 0"))).unionByName(answers("E2", q.where("qid % 200 = 10").select((-F.col("qid")).alias("qid"))))
+    return runs.incomplete(results, q, ["E1", "E2"])
+
+
+def worker_faults(spark, d):
+    """Answers with another arm, out of order, or with chunks filed under another artefact."""
+    artefact = F.concat(F.lit("label:"), F.col("label").cast("string"))
+    corpus = embedded(spark, d).select("chunk_id", artefact.alias("artefact"))
+    questions = _qids(spark, d).select(F.expr("qid div 10").alias("place"), "qid")
+    hits = F.array(F.struct("chunk_id", artefact.alias("artefact")), F.struct((F.col("chunk_id") + 1).alias("chunk_id"), F.lit("label:0").alias("artefact")))
+    rows = embedded(spark, d).where("chunk_id % 10 = 0").select(F.expr("chunk_id div 10").alias("place"), (F.col("chunk_id") + (F.col("chunk_id") % 130 == 0).cast("int")).alias("qid"), F.when(F.col("chunk_id") % 70 == 0, "E2").otherwise("E1").alias("arm"), hits.alias("hits"), F.lit(None).cast("string").alias("error"))
+    return runs.worker_faults(rows, "E1", questions, corpus)
+
+
+def search_vectors(spark, d):
+    vectors_of = embedded(spark, d).where("chunk_id % 10 = 0 and chunk_id % 30 <> 0").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
+    return runs.with_vectors(_qids(spark, d), vectors_of).select("qid", F.array_size("vector").cast("long").alias("dim"), "error")
+
+
+def draw_questions(spark, d):
+    """Documents as artefacts by language; every ninth is a routine change."""
+    kind = F.when(F.col("lang") == "en", "commit").when(F.col("lang") == "de", "issue").when(F.col("lang") == "fr", "release").otherwise("pull_request")
+    said = F.when(F.col("doc_id") % 9 == 0, "Bump a library from 1 to 2").otherwise("Mend a fault")
+    c = _t(spark, d, "documents").select(kind.alias("entity_type"), F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("artefact"), F.expr("n_chars div 4").alias("token_count"), said.alias("text"))
+    return runs.draw(c, {"commit": 12, "issue": 5, "release": 5, "pull_request": 5}, 5)
+
+
+def audit_by_type(spark, d):
+    j = _t(spark, d, "labels")
+    q = j.select(F.col("doc_id").alias("qid"), (F.col("doc_id") % 3).alias("entity_type"))
+    mark = F.when(F.col("doc_id") % 77 == 0, "odd").when(F.col("quality") == 1, "fine").otherwise("not fine")
+    m = j.where("doc_id % 50 <> 0").select(F.col("doc_id").alias("qid"), mark.alias("mark"))
+    last = j.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.lit("fine").alias("mark"))
+    return evaluation.audit_by_type(q, m.unionByName(m.where("qid % 35 = 0")), last)
+
+
 # usage and order
 
 
@@ -413,6 +482,17 @@ def call_cost_dated(spark, d):
     return usage.call_cost(e, rates, on=["event_type"], at="ts").select("event_id", "cost_usd")
 
 
+def cost_faults(spark, d):
+    recorded = F.when(F.col("event_id") % 100 == 0, F.col("cost_usd") + F.lit(0.01).cast("decimal(18,9)")).otherwise(F.col("cost_usd"))
+    return runs.cost_faults(call_cost_dated(spark, d).withColumn("recorded_usd", recorded)).select("event_id")
+
+
+def order_overlaps(spark, d):
+    """An order of a customer lasts some days; another one may begin before."""
+    o = _t(spark, d, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("start"), F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 90).cast("int")).alias("end"))
+    return runs.overlaps(o, key=["o_custkey"], start="start", end="end")
+
+
 def error_streaks(spark, d):
     e = _t(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type").isin("error", "click"), F.col("event_type")).alias("kind"))
     return usage.streaks(e, key=["user_id"], order=["ts", "event_id"], value="kind").where("length >= 3").select("user_id", F.col("kind"), "first", "length")
@@ -447,6 +527,10 @@ def dead_letter_due(spark, d):
     return due(e, F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(10), F.lit(0), F.lit(0), F.lit(0))).select("chunk_id", "attempts")
 
 
+def dead_letter_chunks(spark, d):
+    return dead_letter_due(spark, d).join(chunks(spark, d), "chunk_id").join(_t(spark, d, "events").select(F.col("event_id").alias("chunk_id"), F.col("ts").alias("next_attempt_at")), "chunk_id").orderBy("next_attempt_at", "chunk_id").limit(100).select("chunk_id", "attempts", "entity_type", "next_attempt_at")
+
+
 def backoff_schedule(spark, d):
     return _t(spark, d, "events").select("event_id", numbers.backoff_minutes(F.col("event_id") % 6).alias("minutes"))
 
@@ -507,11 +591,12 @@ def assembled_texts(spark, d):
 def queries() -> dict:
     names = (
         count_window, count_merged, count_labels, coverage_by_field, count_with_coverage, list_releases_prefix, list_releases_total, release_diff, release_diff_total,
-        find_regressions, regressions_total, issue_fixes, export_links, link_adjacency, tenant_scoped_count, exact_vector_topk, batch_vector_topk, text_match_count, text_topk_tf,
+        find_regressions, regressions_total, issue_fixes, export_links, link_adjacency, tenant_scoped_count, exact_vector_topk, batch_vector_topk, text_match_count, text_topk_tf, text_index_topk,
         hybrid_topk, hybrid_topk_cd, hybrid_filtered, rrf_fusion, unembedded_chunks, normalise_text, strip_comments, chunk_documents, artefact_keys, citation_markers, unresolved_markers,
         content_words_overlap, declined_answers, citation_metrics, collapse_first_appearance, arm_scores, mrr_by_type, latency_percentiles, arm_summary, paired_deltas, bootstrap_ci_hash,
         bootstrap_ci_exact, verdicts, largest_remainder, stratified_first_n, determinism_changes, exploratory_pairs, gate_grade, failover_verdict, usage_totals, usage_reconcile, daily_budget,
         running_budget, call_cost_dated, error_streaks, gap_checks, cursor_watermark, deadline_seen, poison_within, dead_letter_due, backoff_schedule, stale_keys, multiset_equal, upsert_latest,
         minute_usage, sliding_usage, session_usage, verdict_conjunction, exact_cover, type_arm_rollup, assembled_texts,
+        link_neighbours, unembedded_page, dead_letter_chunks, compare_metrics, run_faults, worker_faults, search_vectors, draw_questions, audit_by_type, cost_faults, order_overlaps,
     )
     return {f.__name__: f for f in names}

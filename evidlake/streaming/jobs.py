@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans import settle
 from .state import VersionedTable, upserted
 
 #: Fixed value: the order in which evidence is ingested.
@@ -17,17 +18,44 @@ INGEST_ORDER = ("release", "pull_request", "issue", "commit")
 MOST_TRIES = 3
 
 
-def ingest(stream: DataFrame, table: VersionedTable, key: list[str], order: list[str], checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Upserts a stream's rows into a table, the last of each key winning; the checkpoint holds the cursor."""
+def ingest(stream: DataFrame, table: VersionedTable, key: list[str], order: list[str], checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, report: Callable[[int], None] = lambda n: None) -> StreamingQuery:
+    """Upserts a stream's rows into a table, the last of each key winning; the checkpoint holds the cursor.
+
+    A batch is computed once, into the shared folder; report() is told the number of its rows.
+    """
 
     def apply(batch: DataFrame, _: int) -> None:
-        rows = prepare(batch)
-        if not rows.isEmpty():
+        rows = settle(prepare(batch))
+        n = rows.count()
+        if n:
             table.replace(upserted(table.read(), rows, key=key, order=order))
+        report(n)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_in_order(sources: dict[str, tuple[DataFrame, VersionedTable, list[str], list[str]]], checkpoints: str) -> dict[str, int]:
+    """Ingests each type of evidence to its end, cheap ones first, and returns the rows of each.
+
+    sources: by type, (stream, table, key, order). A run that stopped is run again: what its batches
+    have written stays, and each type goes on from its own checkpoint.
+    """
+    unknown = sources.keys() - set(INGEST_ORDER)
+    if unknown:
+        raise ValueError(f"no such evidence: {sorted(unknown)}")
+    totals: dict[str, int] = {}
+    for kind in INGEST_ORDER:
+        if kind in sources:
+            stream, table, key, order = sources[kind]
+            totals[kind] = 0
+
+            def add(n: int, kind: str = kind) -> None:
+                totals[kind] += n
+
+            ingest(stream, table, key, order, f"{checkpoints}/{kind}", report=add).awaitTermination()
+    return totals
+
+
 def reindex(batch: DataFrame, index: VersionedTable, embed: Callable[[DataFrame], DataFrame]) -> None:
     """Replaces the index rows of the batch's artefacts with those that embed() makes of its chunks.
 

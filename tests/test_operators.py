@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidlake import plans, queries, schemas
-from evidlake.operators import evaluation, evidence, hybrid, usage, vector, windows
+from evidlake.operators import evaluation, evidence, hybrid, runs, usage, vector, windows
 from evidlake.operators import text as search
 from evidlake.scope import TenantScope
 
@@ -281,3 +281,67 @@ def test_results_hold_for_any_number_of_partitions(spark, n):
         assert {x: sorted(map(str, queries.queries()[x](spark, SF).collect())) for x in names} == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_places_in_an_order_of_any_size(spark):
+    df = spark.createDataFrame([(i % 3, (i * 37) % 101, i) for i in range(100)] + [(None, 5, 1), (None, 4, 1)], "g int, o int, x int").repartition(5)
+    got = plans.numbered(df, ["o"], ["g"]).collect()
+    want = {(g, o): n for g in (None, 0, 1, 2) for n, o in enumerate(sorted(r.o for r in got if r.g == g), 1)}
+    assert len(got) == 102 and all(want[r.g, r.o] == r.place for r in got)
+    assert sorted(r.place for r in plans.numbered(df, ["o", "x"]).collect()) == list(range(1, 103))
+    assert plans.numbered(df.where("o > 999"), ["o"]).collect() == []
+
+
+def test_runs_are_refused_and_questions_drawn(spark):
+    faults = runs.incomplete(spark.createDataFrame([("E1", 1), ("E1", 1), ("E1", 9)], "arm string, qid int"), spark.createDataFrame([(1,), (2,)], "qid int"), ["E1"])
+    assert rows(faults) == [("E1", 1, "repeated"), ("E1", 2, "missing"), ("E1", 9, "unknown")]
+    with pytest.raises(ValueError, match="the run: .*fault="):
+        runs.refuse(faults, "the run")
+    runs.refuse(faults.where("qid > 99"), "the run")
+    hits = "array<struct<chunk_id:int,artefact:string>>"
+    out = spark.createDataFrame([(0, 1, "E1", [(1, "a")], "x"), (1, 2, "E1", None, "y")], f"place int, qid int, arm string, hits {hits}, error string")
+    frozen, corpus = spark.createDataFrame([(0, 1), (1, 2)], "place int, qid int"), spark.createDataFrame([(1, "a")], "chunk_id int, artefact string")
+    assert [tuple(r) for r in runs.worker_faults(out, "E1", frozen, corpus).collect()] == [("all errors", None)]
+    assert runs.worker_faults(out.where("qid > 9"), "E1", frozen.limit(0), corpus).collect() == []
+    kinds = spark.createDataFrame([("commit", "c1", 39, "t"), ("commit", "c2", 40, "Bump x from 1 to 2"), ("commit", "c3", 40, "Mend"), ("issue", "i1", 50, "Bump")], "entity_type string, artefact string, token_count int, text string")
+    assert rows(runs.draw(kinds, {"commit": 1, "issue": 1}, 3)) == [("commit", "c3", 1), ("issue", "i1", 1)]
+    with pytest.raises(LookupError, match="commit"):
+        runs.draw(kinds, {"commit": 2}, 3)
+    assert sorted(runs.schedule({"a": 2, "b": 1}, 4)) == ["a", "a", "b"] and runs.schedule({"a": 2, "b": 1}, 4) == runs.schedule({"a": 2, "b": 1}, 4)
+
+
+def test_words_are_counted_as_if_texts_were_split(spark):
+    texts = ["the cat, The-the thethe 7the the7 \u00e9the the", "", None, "cat", "the\u0301 the"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_id int, content string")
+    split = df.select("chunk_id", F.expr(r"size(filter(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+', 0), x -> x = 'the'))").cast("long").alias("n")).where("n > 0")
+    assert rows(search.matching(df, ["the"]).select("chunk_id", "text_score")) == rows(split)
+    assert rows(search.matching(df, ["the", "c++"])) == [] and rows(search.matching(df, ["the", "cat"]).select("chunk_id", "text_score")) == [(0, 5)]
+
+
+def test_cover_density_search_of_the_whole_table(spark):
+    """The registered query against words split, stemmed and judged one by one."""
+    import pyarrow.parquet as pq
+
+    from evidlake.functions.stem import stem
+
+    t = pq.read_table(f"{SF}/documents.parquet").to_pydict()
+    wanted = search.read_search('ing or "en er" or tion er -xyzzy')
+    score = {}
+    for i, text in zip(t["doc_id"], t["text"], strict=True):
+        index, at, word = {}, 0, ""
+        for ch in (text or "").lower() + " ":
+            if ch.isalpha() or ch.isnumeric():
+                word += ch
+            elif word:
+                at += 1
+                if word not in search.STOP:
+                    index.setdefault(stem(word), []).append(at)
+                word = ""
+        found = lambda p, index=index: [x for x in index.get(p[0], []) if all(x + n in index.get(w, []) for n, w in enumerate(p))]
+        ways = [c for c in wanted.any_of if all(found(p) for p in c)]
+        if ways and not any(found(p) for p in wanted.none_of):
+            score[i] = max(search.cover_density([found(p) for p in c]) for c in ways)
+    got = queries.hybrid_topk_cd(spark, SF).collect()
+    assert score and {r.text_match_count for r in got} == {len(score)}
+    pool = sorted(score, key=lambda i: (-score[i], i))[:60]
+    assert all(abs(r.text_score - (score[r.chunk_id] if r.chunk_id in pool else 0.0)) < 1e-9 for r in got)

@@ -1,4 +1,6 @@
 import json
+
+import pytest
 import os
 from datetime import datetime
 
@@ -121,3 +123,18 @@ def test_three_failures_poison(spark, tmp_path):
 def test_repeated_events_count_once(spark, tmp_path):
     s = _stream(spark, tmp_path, "id string, ts timestamp", [[{"id": "a", "ts": "2026-01-01T00:00:00"}], [{"id": "a", "ts": "2026-01-01T00:00:01"}, {"id": "b", "ts": "2026-01-01T00:00:02"}]])
     assert sorted(r.id for r in _run(spark, jobs.once_only(s, ["id"]), "once", "append", tmp_path)) == ["a", "b"]
+
+
+def test_evidence_is_ingested_in_order_with_totals(spark, tmp_path):
+    seen, sources = [], {}
+    for kind, n in (("commit", 3), ("release", 2)):
+        spark.range(n).selectExpr("id as k", "1 as v").write.parquet(f"{tmp_path}/in/{kind}")
+        table = state.VersionedTable(spark, f"file://{tmp_path}/{kind}", "k long, v int")
+        put = table.replace
+        table.replace = lambda df, kind=kind, put=put: (seen.append(kind), put(df))
+        sources[kind] = (spark.readStream.schema("k long, v int").parquet(f"{tmp_path}/in/{kind}"), table, ["k"], ["v"])
+    assert jobs.ingest_in_order(sources, f"{tmp_path}/c") == {"release": 2, "commit": 3}
+    assert seen == sorted(seen, key=jobs.INGEST_ORDER.index) and set(seen) == {"release", "commit"}
+    assert jobs.ingest_in_order(sources, f"{tmp_path}/c") == {"release": 0, "commit": 0}
+    with pytest.raises(ValueError, match="tag"):
+        jobs.ingest_in_order({"tag": sources["commit"]}, f"{tmp_path}/c")
