@@ -2,15 +2,18 @@
 
 A text becomes counts of 1- to 3-grams of its letters (lower case, other characters one blank),
 hashed into DIMENSIONS buckets, times the inverse document frequency of the sample, of length 1. Each
-language's sample is clustered into CENTROIDS by cosine; a text takes the language of the nearest
-centroid, and its score is that cosine. Farther away than REJECT of the sample's own texts of that
-centroid, it is marked rejected; the nearest language is given all the same.
+language's sample is clustered into CENTROIDS by cosine, all but every HELD-th text of it; a text takes
+the language of the nearest centroid, and its score is that cosine. The texts left out tell how far own
+texts are: farther away than REJECT of those nearest to that centroid (of all, where that one has none),
+a text is marked rejected; the nearest language is given all the same.
 
 The model is fitted on at most SAMPLE texts of each of the MOST_LANGUAGES most frequent languages,
 chosen by hash; grouping by language is bounded by that. It holds no text and is a few hundred KB.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; so is everything when no
-row can be learned from; null languages are not learned; ties go to the language first in order.
+row can be learned from; null languages are not learned; ties go to the language first in order; rows
+that repeat, null ids too, are predicted one by one; a very long text is counted whole, as a slice of
+its own; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ CENTROIDS = 4
 SAMPLE = 1000
 MOST_LANGUAGES = 1000
 REJECT = 0.995
+HELD = 4
 SLICE_CHARS = 1 << 20
 ROUNDS = 12
 
@@ -78,6 +82,18 @@ def cluster(v: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def centroids_of(v: np.ndarray, k: int) -> tuple[np.ndarray, list[float]]:
+    """Centroids of a language's vectors, and the least cosine that isn't rejected, from the texts that the fit left out."""
+    v = v[np.linalg.norm(v, axis=1) > 0]
+    if not len(v):
+        return v, []
+    out = np.arange(len(v)) % HELD == HELD - 1
+    c = cluster(v[~out], k)
+    cosine = (v[out] if out.any() else v) @ c.T
+    near, own = cosine.argmax(axis=1), cosine.max(axis=1)
+    return c, [float(np.quantile(own[near == i] if (near == i).any() else own, 1 - REJECT)) for i in range(len(c))]
+
+
 @dataclass
 class Model:
     languages: list[str]  # of each centroid
@@ -130,12 +146,7 @@ def fit(rows: DataFrame, *, text_col="text", lang_col="lang", sample: int = SAMP
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
     def centres(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        v = weighted(_all_counts(sorted(table.column("text").to_pylist())), idf)
-        v = v[np.linalg.norm(v, axis=1) > 0]
-        c = cluster(v, centroids) if len(v) else v
-        cosine = v @ c.T if len(v) else np.zeros((0, 0))
-        near, own = (cosine.argmax(axis=1), cosine.max(axis=1)) if len(v) else (np.zeros(0), np.zeros(0))
-        least = [float(np.quantile(own[near == i], 1 - REJECT)) if (near == i).any() else 0.0 for i in range(len(c))]
+        c, least = centroids_of(weighted(_all_counts(sorted(table.column("text").to_pylist())), idf), centroids)
         return pa.table({"lang": [key[0].as_py()] * len(c), "i": pa.array(range(len(c)), pa.int32()), "c": pa.array([x.tolist() for x in c], pa.list_(pa.float32())), "least": pa.array(least, pa.float64())})
 
     parts = sorted(some.groupBy("lang").applyInArrow(centres, "lang string, i int, c array<float>, least double").collect(), key=lambda r: (r.lang, r.i))

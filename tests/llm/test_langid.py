@@ -57,3 +57,39 @@ def test_far_texts_are_rejected():
     m = langid.Model(["en", "en"], c, np.ones(langid.DIMENSIONS, np.float32), np.array([0.9, 0.9]))
     assert m.classify(["the cat and the dog ran", "zzz qqq"])[0][2] is False
     assert m.classify(["zzz qqq"])[0][2] is True
+
+
+def test_the_query_against_a_plain_fit(spark):
+    """The same steps over the whole table with numpy alone."""
+    t = pq.read_table(f"{SF}/documents.parquet")
+    ids, texts, langs = (t.column(c).to_pylist() for c in ("doc_id", "text", "lang"))
+    train: dict = {}
+    for i, x, g in zip(ids, texts, langs, strict=True):
+        if zlib.crc32(str(i).encode()) % 4 != 2 and x is not None and g is not None:
+            train.setdefault(g, []).append(x)
+    assert all(len(x) <= langid.SAMPLE for x in train.values())  # so that every row is in the sample
+    counts = {g: langid.vectors(sorted(x))[0] for g, x in train.items()}
+    n, df = sum(map(len, counts.values())), sum((c > 0).sum(axis=0) for c in counts.values())
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    centroids, names, least = [], [], []
+    for g in sorted(counts):
+        c, low = langid.centroids_of(langid.weighted(counts[g], idf), langid.CENTROIDS)
+        centroids, names, least = [*centroids, *c], names + [g] * len(c), least + low
+    model, got = np.array(centroids), {r.doc_id: r for r in queries.op1_language_id(spark, SF).collect()}
+    for i, x in zip(ids, texts, strict=True):
+        own, has = langid.vectors([x or ""])
+        cosine = (langid.weighted(own, idf) @ model.T)[0]
+        best = int(cosine.argmax())
+        want = (names[best], float(cosine[best])) if has[0] else ("und", 0.0)
+        assert got[i].lang_pred == want[0] and abs(got[i].score - want[1]) < 1e-4
+        assert not has[0] or abs(want[1] - least[best]) < 1e-4 or got[i].rejected == (want[1] < least[best])
+
+
+def test_texts_of_a_language_that_was_not_learned_are_rejected(spark):
+    rng = np.random.default_rng(4)
+    make = lambda letters, k: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(k))
+    rows = [(4 * i, make("abcdefgh", 60), "a") for i in range(200)] + [(4 * i + 1, make("klmnopqr", 60), "b") for i in range(200)] + [(4 * i + 2, make("stuvwxyz", 60), None) for i in range(40)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    rejected = lambda part: np.mean([r.rejected for r in got if r.doc_id % 4 == part])
+    # A dozen texts a centroid are left out here; beyond the farthest of n lies one of n + 1.
+    assert rejected(2) == 1.0 and rejected(0) < 0.15 and rejected(1) < 0.15
