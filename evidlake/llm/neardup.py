@@ -4,17 +4,23 @@ A document is the set of its SHINGLE-word windows (all its words, if fewer). Doc
 become one node with a count. Bands of minima are chosen for the target recall: documents at the
 threshold meet in some band with that probability, more similar ones nearly always. Nodes that meet
 are joined to the least node of their band, never in pairs; the connected pieces then hold every pair
-that met. Each piece is verified on full shingle sets, all pairs, within one task; a piece above
-BLOCK_NODES or BLOCK_SHINGLES is cut into blocks, and each pair of blocks is a task's work, so a task
-is bounded. Tasks return a count of links and a root per node, not pairs. Links are weighted by copies.
+that met. A piece of up to BLOCK_NODES is verified on full shingle sets, all pairs, within one task. A
+larger one is verified as a whole or band by band, whichever has fewer pairs: near copies of one text
+meet in nearly every band, while a long chain of pieces has small bands. Band by band, a pair counts in
+the first band in which it met. What is above BLOCK_NODES or BLOCK_SHINGLES is cut into blocks, and each
+pair of blocks is a task's work, so a task is bounded. Tasks return a count of links and a root per node,
+not pairs. Links are weighted by copies.
 
 Result: class_id is the least doc_id of the documents connected by links, n_links the number of other
 documents linked directly (copies counted).
 
 Edge cases: null and wordless texts have no shingles and link to nothing (their class is their own
 id); rows that repeat count as separate documents; a null id still counts in links and classes, and
-a class of null ids only has a null id; an empty table gives no rows; other columns are ignored.
-Nodes are named by 64 bits of a hash of their shingle sets.
+a class of null ids only has a null id; a pair exactly at the threshold is linked; of several rows with
+the least id of a class the one with the least hash is its keeper; a very long text is one set like
+others, by itself in its task's slice; an empty table gives no rows; other columns, whatever their names,
+are ignored by `jaccard_classes` and returned unchanged by `one_of_each`. Nodes are named by 64 bits of a
+hash of their shingle sets.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import settle
+from .shared import few, plain, settle
 from .wordhash import mixed, new_cache, windows
 
 SHINGLE = 5
@@ -147,14 +153,23 @@ def _shared(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
-def verify(node: np.ndarray, copies: np.ndarray, block: np.ndarray, a: int, b: int, texts: list[bytes], shingle: int, threshold: float, cache: dict):
-    """All pairs between blocks a and b of a piece: (links, root) of each node, links weighted by copies."""
+def first_met(bands: np.ndarray, band: int) -> np.ndarray:
+    """Which two nodes share this band and none before it: (n, n)."""
+    at = int(np.flatnonzero(bands[0] == band)[0])
+    met = bands[:, None, at] == bands[None, :, at]
+    for before in range(at):
+        met &= bands[:, None, before] != bands[None, :, before]
+    return met
+
+
+def verify(node: np.ndarray, copies: np.ndarray, block: np.ndarray, a: int, b: int, texts: list[bytes], shingle: int, threshold: float, cache: dict, among: np.ndarray | bool = True):
+    """Pairs between blocks a and b of a piece, of those in `among`: (links, root) of each node, links weighted by copies."""
     values, sizes = shingle_sets(texts, shingle, cache)
     n = len(node)
     inter = _shared(values, np.repeat(np.arange(n), sizes), n)
     union = sizes[:, None] + sizes[None, :] - inter
     linked = inter >= threshold * union - 1e-9
-    linked &= (block[:, None] != block[None, :]) if a != b else ~np.eye(n, dtype=bool)
+    linked &= ((block[:, None] != block[None, :]) if a != b else ~np.eye(n, dtype=bool)) & among
     links = linked.astype(np.float64) @ copies
     root = np.arange(n)
     while True:  # least label among linked ones, until nothing changes
@@ -167,23 +182,28 @@ def verify(node: np.ndarray, copies: np.ndarray, block: np.ndarray, a: int, b: i
 
 
 def _matched(docs: DataFrame, pieces_of: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, groups: int) -> DataFrame:
-    """(node, links, root) from every task that holds a node; pieces_of: (row, node, copies, comp, k)."""
+    """(node, links, root) from every task that holds a node; pieces_of: (row, node, copies, comp, k, band, bands), band null for whole pieces."""
     text = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).cast("binary").alias("text"))
+    # Only texts of pieces are shuffled; rows that repeat are cut to one before that.
+    text = text.join(few(pieces_of.select("row")), "row", "left_semi").groupBy("row").agg(F.any_value("text").alias("text"))
     block = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(j, F.col("block")).cast("int").alias("a"), F.greatest(j, F.col("block")).cast("int").alias("b")))
-    dealt = text.join(pieces_of.withColumn("block", block), "row").withColumn("pair", F.explode(pairs)).select("node", "copies", "comp", "block", "pair.a", "pair.b", "text")
-    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("comp", "a", "b"), F.lit(groups)).cast("int"))
+    dealt = text.join(pieces_of.withColumn("block", block), "row").withColumn("pair", F.explode(pairs)).select("node", "copies", "comp", "block", "pair.a", "pair.b", "band", "bands", "text")
+    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("comp", "band", "a", "b"), F.lit(groups)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         col = {c: np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("node", "copies", "comp", "block", "a", "b")}
-        texts, cache, out = table.column("text"), new_cache(), ([], [], [])
-        order = np.lexsort((col["node"], col["b"], col["a"], col["comp"]))
-        keys = np.stack([col["comp"], col["a"], col["b"]], axis=1)[order]
+        texts, bands, cache, out = table.column("text"), table.column("bands"), new_cache(), ([], [], [])
+        whole = np.asarray(table.column("band").is_null())
+        col["band"] = np.array(table.column("band").fill_null(0).to_pylist(), dtype=np.int64)
+        order = np.lexsort((col["node"], col["b"], col["a"], col["band"], whole, col["comp"]))
+        keys = np.stack([col["comp"], whole, col["band"], col["a"], col["b"]], axis=1)[order]
         cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         for at in np.split(order, cuts) if len(order) else []:
             at = at[np.r_[True, np.diff(col["node"][at]) != 0]]  # a row that repeats is one node
             if len(at) > 1:
-                links, root = verify(col["node"][at], col["copies"][at].astype(np.float64), col["block"][at], col["a"][at[0]], col["b"][at[0]], texts.take(pa.array(at)).to_pylist(), shingle, threshold, cache)
+                among = True if whole[at[0]] else first_met(np.array(bands.take(pa.array(at)).to_pylist(), dtype=np.int64), col["band"][at[0]])
+                links, root = verify(col["node"][at], col["copies"][at].astype(np.float64), col["block"][at], col["a"][at[0]], col["b"][at[0]], texts.take(pa.array(at)).to_pylist(), shingle, threshold, cache, among)
                 some = links > 0
                 for to, x in zip(out, (col["node"][at][some], links[some], root[some]), strict=True):
                     to.append(x)
@@ -192,6 +212,17 @@ def _matched(docs: DataFrame, pieces_of: DataFrame, id_col: str, text_col: str,
     return dealt.groupBy("g").applyInArrow(run, "node bigint, links bigint, root bigint")
 
 
+def cheaper_by_band(sized: DataFrame, comps: DataFrame, block_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """Pieces above a block with fewer pairs in their bands than in all, (root), and their bands, (root, band, nodes, total); settled."""
+    large = comps.where(F.col("nodes") > block_nodes).select("root", F.col("nodes").alias("all"))
+    bands = sized.join(few(large.select("root")), "root").select("root", "n", F.explode("bands").alias("band"))
+    bands = settle(bands.groupBy("root", "band").agg(F.count("*").alias("nodes"), F.sum("n").alias("total")).where("nodes > 1"))
+    square = lambda c: F.col(c).cast("double") * F.col(c)
+    met = bands.groupBy("root").agg(F.sum(square("nodes")).alias("met")).join(large, "root")
+    by_band = settle(met.where(F.col("met") < square("all")).select("root"))
+    return by_band, bands.join(few(by_band), "root", "left_semi")
+
+
 def jaccard_classes(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=SHINGLE, threshold=THRESHOLD, recall=RECALL, block_nodes=BLOCK_NODES) -> DataFrame:
     """One row per document: row (hash of id and text), doc_id, class_id, n_links, n_shingles, keeper.
 
@@ -205,13 +236,22 @@ def jaccard_classes(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     met = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select("band", "least")
     pieces = components(banded.join(met, "band").where("node <> least").select("node", "least"), "node", "least")
 
-    sized = nodes.select("node", "copies", "row", "n").join(pieces, "node")
-    comps = sized.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("n").alias("total"))
+    sized = settle(nodes.select("node", "copies", "row", "n", "bands").join(pieces, "node"))
     k = F.greatest(F.ceil(F.col("nodes") / block_nodes), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    comps = settle(comps.select("root", "total", k.alias("k")))
-    work = comps.agg(F.sum(F.col("total") * F.col("k"))).first()[0] or 0
+    summed = [F.count("*").alias("nodes"), F.sum("n").alias("total")]
+    comps = settle(sized.groupBy("root").agg(*summed).withColumn("k", k))
+    held = sized.join(comps.select("root", "k"), "root").select("row", "node", "copies", F.col("root").alias("comp"), "k", F.lit(None).cast("long").alias("band"), F.lit(None).cast("array<long>").alias("bands"))
+    work = [comps.select("total", "k")]
+    if comps.where(F.col("nodes") > block_nodes).limit(1).count():
+        by_band, bands_of = cheaper_by_band(sized, comps, block_nodes)
+        bands_of = settle(bands_of.withColumn("k", k))
+        held = held.join(few(by_band.select(F.col("root").alias("comp"))), "comp", "left_anti")
+        each = sized.join(few(by_band), "root").select("root", "row", "node", "copies", "bands", F.explode("bands").alias("band")).join(bands_of.select("root", "band", "k"), ["root", "band"])
+        held = held.unionByName(each.select("row", "node", "copies", F.col("root").alias("comp"), "k", "band", "bands"))
+        work = [comps.join(by_band, "root", "left_anti").select("total", "k"), bands_of.select("total", "k")]
+    held = settle(held)
+    work = sum(w.agg(F.sum(F.col("total") * F.col("k"))).first()[0] or 0 for w in work)
     groups = max(8, math.ceil(work / GROUP_SHINGLES))
-    held = settle(sized.join(comps.select("root", "k"), "root").select("row", "node", "copies", F.col("root").alias("comp"), "k"))
     found = settle(_matched(docs, held, id_col, text_col, shingle, threshold, groups))
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -229,11 +269,15 @@ def jaccard_classes(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
 def one_of_each(docs: DataFrame, *, id_col="doc_id", text_col="text", **how) -> DataFrame:
     """Documents without their near copies, all columns: of each class the keeper stays, once.
 
-    Rows that repeat with the same id and text stay once, wordless ones too.
+    Rows that repeat with the same id and text stay once, wordless ones too. What goes is sent to the
+    documents as hashes of rows, by broadcast up to a counted bound.
     """
-    judged = jaccard_classes(docs, id_col=id_col, text_col=text_col, **how)
-    keep = settle(judged.where("row = keeper").groupBy("row").agg(F.count("*").alias("times")))
-    kept = docs.withColumn("_row", F.xxhash64(id_col, text_col)).join(keep.select(F.col("row").alias("_row")), "_row", "left_semi")
-    if keep.where("times > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_row"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, name = plain(docs)
+    judged = jaccard_classes(rows, id_col=name(id_col), text_col=name(text_col), **how)
+    gone = settle(judged.where("row <> keeper").select("row").distinct())
+    twice = settle(judged.where("row = keeper").groupBy("row").agg(F.count("*").alias("times")).where("times > 1").select("row"))
+    marked = rows.withColumn("row", F.xxhash64(name(id_col), name(text_col)))
+    kept = marked.join(few(gone), "row", "left_anti")
+    if twice.limit(1).count():
+        kept = kept.join(few(twice), "row", "left_anti").unionByName(marked.join(few(twice), "row", "left_semi").dropDuplicates(["row"]))
+    return kept.select(*rows.columns).toDF(*docs.columns)

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from evidlake.llm import neardup, queries
 from evidlake.llm.components import components
@@ -87,3 +89,45 @@ def test_components(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.jaccard_classes(df).collect() == [] and neardup.one_of_each(df).collect() == []
+
+
+CLASHING = ("_row", "row", "node", "keeper", "class_id", "c0", "times", "text_")
+
+
+def test_columns_of_any_name_come_back_unchanged(spark):
+    text = [" ".join(f"w{i}" for i in range(40)), "some other words that stand alone here"]
+    df = spark.createDataFrame([(i, text[i == 4], *range(100, 100 + len(CLASHING))) for i in range(5)], ["doc_id", "text", *CLASHING])
+    kept = neardup.one_of_each(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in df.collect() if r.doc_id in (0, 4))
+
+
+def test_very_many_equal_rows(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    df = spark.range(0, 100_000, 1, 8).selectExpr("7L as doc_id", f"'{words}' as text").union(spark.createDataFrame([(9, words + " x"), (3, "a b")], "doc_id long, text string"))
+    got = neardup.jaccard_classes(df).groupBy("doc_id", "class_id", "n_links").count().collect()
+    assert sorted(map(tuple, got)) == [(3, 3, 0, 1), (7, 7, 100_000, 100_000), (9, 7, 100_000, 1)]
+    assert sorted(r.doc_id for r in neardup.one_of_each(df).collect()) == [3, 7]
+
+
+def test_a_long_chain_is_verified_band_by_band(spark):
+    """Every text shares nine tenths with the next one and nothing with those far away."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    line = [word() for _ in range(200 + 8 * 500)]
+    rows = [(i, " ".join(line[8 * i : 8 * i + 200])) for i in range(500)] + [(i, "") for i in range(1000, 1003)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r)[1:4] for r in neardup.jaccard_classes(df, block_nodes=4).collect()), key=str)
+    assert got == brute(rows) and {c for d, c, _ in got if d < 500} == {0}
+    bands, per_band = neardup.choose_bands()
+    nodes = neardup.sketches(df, "doc_id", "text", 5, bands, per_band).where("node is not null").withColumn("root", F.lit(1).cast("long"))
+    comps = nodes.groupBy("root").agg(F.count("*").alias("nodes"))
+    by_band, bands_of = neardup.cheaper_by_band(nodes, comps, 4)
+    assert [r.root for r in by_band.collect()] == [1] and 1 < bands_of.agg(F.max("nodes")).first()[0] < 30
+    whole, _ = neardup.cheaper_by_band(nodes.withColumn("bands", F.sequence(F.lit(1).cast("long"), F.lit(30).cast("long"))), comps, 4)
+    assert whole.collect() == []
+
+
+def test_first_met():
+    bands = np.array([[1, 5, 9], [1, 5, 8], [2, 5, 9], [3, 6, 9]])
+    pairs = lambda band: {(i, j) for i, j in zip(*np.nonzero(neardup.first_met(bands[(bands == band).any(axis=1)], band)), strict=True) if i < j}
+    assert pairs(1) == {(0, 1)} and pairs(5) == {(0, 2), (1, 2)} and pairs(9) == {(0, 2), (1, 2)}
