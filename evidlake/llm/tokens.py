@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WORD_BYTES = 32 << 20
-CORE_BYTES = 16 << 20
-CHUNK = 4000
+WORD_BYTES = 16 << 20
+CORE_BYTES = 8 << 20
+CHUNK = 1000
 END = 2
 BYTES = pa.large_binary()
 AS_TEXT = pc.CastOptions(pa.large_string(), allow_invalid_utf8=True)
@@ -95,7 +95,10 @@ class WordTokens:
             self.merge.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for at in range(0, len(texts), CHUNK):  # what the library returns is far larger than the ids
+            out += [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts[at : at + CHUNK], add_special_tokens=False)]
+        return out
 
     def _plain(self, words: pa.Array) -> pa.Array:
         return pa.array(self._encode([w.decode("utf-8", "replace") for w in words.to_pylist()]), BYTES)
@@ -140,4 +143,7 @@ class WordTokens:
         starts = np.frombuffer(offsets, dtype=np.int64)[laid.offset :]
         at = starts[split.offsets.to_numpy()].tolist() if len(laid) else [0] * (len(texts) + 1)
         data = data.to_pybytes() if data is not None else b""
-        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        out = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        del split, coded, laid, starts, offsets
+        pa.default_memory_pool().release_unused()  # a worker lives on after its task, and so would what it has freed
+        return out
