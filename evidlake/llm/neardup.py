@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import few, plain, settle
+from .shared import few, give_back, plain, settle
 from .wordhash import mixed, new_cache, windows
 
 SHINGLE = 5
@@ -130,6 +130,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
                     [part.column("row"), part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
                     names=["row", "doc_id", "node", "n", "bands"],
                 )
+            del texts
+            give_back()
 
     source = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()

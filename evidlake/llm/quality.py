@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import plain, settle, stored
+from .shared import give_back, plain, settle, stored
 from .wordhash import mixed, new_cache, windows
 
 ALPHA = 0.01
@@ -104,6 +104,7 @@ def _count_array(text: pa.Array) -> pa.Array:
         parts.append(count_texts([t or b"" for t in text.slice(at, end - at).to_pylist()], cache))
         at = end
     cols = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in COUNTS]
+    give_back()
     return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in cols], names=list(COUNTS))
 
 

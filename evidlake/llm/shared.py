@@ -97,6 +97,13 @@ def memo(name: str, make):
     return getattr(store, name)
 
 
+def give_back() -> None:
+    """Returns what Arrow has freed to the system: a Python worker outlives its tasks, and so would its peak."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def open_fs(uri: str):
     """(filesystem, path) for a URI in the shared folder; a plain path is a local one."""
     from pyarrow import fs
