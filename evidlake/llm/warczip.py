@@ -8,9 +8,15 @@ by range; nothing is extracted.
 Payloads of at least `least_bytes` that are equal are written once: the record with the largest page
 id is the response, the others are revisits that name it and carry its digest and length.
 
+A task writes packages of about PACKAGE_BYTES one after another, so a package and its index are bounded
+whatever a partition holds. A task that is tried again writes files of other names; only the rows of the
+attempt that succeeded name their packages.
+
 Edge cases: null html is an empty payload; null url leaves the target out; control characters in a
 url are percent-encoded; pages with equal ids and payloads that are the largest are all responses;
-equal payloads whose ids are all null are all responses; an empty table writes nothing.
+rows that repeat are records of their own; equal payloads whose ids are all null are all responses; a
+very long page is a record like others, and a task holds one batch of them; an empty table writes
+nothing; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, open_fs, settle
+from .shared import few, new_folder, open_fs, settle
 
 LEAST_BYTES = 1000
+PACKAGE_BYTES = 64 << 20
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.jsonl"
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -129,7 +136,7 @@ def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("bigint").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
     repeated = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("_top"), F.count("*").alias("_n")).where("_n > 1").select(F.col("payload_digest").alias("_d"), "_top")
-    joined = rows.join(repeated, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") >= least_bytes), "left")
+    joined = rows.join(few(settle(repeated)), (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") >= least_bytes), "left")
     revisit = F.col("_top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_top"))
     return joined.select(
         "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
@@ -137,36 +144,55 @@ def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     )
 
 
-def write_packages(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """One package per partition of the planned records; (package, path, records), settled."""
+class PackageWriter:
+    """Writes records to one package and indexes them."""
+
+    def __init__(self, stream):
+        self.stream, self.index, self.at = stream, [], 0
+        self.package = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED, allowZip64=True)
+        self.member = self.package.open(zipfile.ZipInfo(WARC_MEMBER), "w", force_zip64=True)
+
+    def add(self, r: dict) -> None:
+        data = record(r["record_type"], r["page_id"], len(self.index), r["url"], r["payload_digest"], r["payload_bytes"], r["refers_to"], r["payload"] or b"")
+        packed = gzip.compress(data, 6, mtime=0)
+        self.member.write(packed)
+        self.index.append(json.dumps({"page": None if r["page_id"] is None else str(r["page_id"]), "offset": self.at, "length": len(packed)}))
+        self.at += len(packed)
+
+    def close(self) -> int:
+        """The number of records."""
+        self.member.close()
+        with self.package.open(zipfile.ZipInfo(INDEX_MEMBER), "w", force_zip64=True) as member:
+            member.write("\n".join(self.index).encode())
+        self.package.close()
+        self.stream.close()
+        return len(self.index)
+
+
+def write_packages(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """Writes the planned records to packages; (package, path, records), one row per package, settled."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
+        task, n, writer = TaskContext.get(), 0, None
         part, attempt = task.partitionId(), task.taskAttemptId()
-        fs, base = open_fs(folder)
-        temp, stream, index, at = f"{base}/_temporary/pages-{part:06d}.{attempt}", None, [], 0
+
+        def done():
+            return pa.RecordBatch.from_pydict({"package": [(part << 32) + n], "path": [folder.rstrip("/") + f"/{name}"], "records": [writer.close()]})
+
         for batch in batches:
-            if stream is None and batch.num_rows:
-                fs.create_dir(f"{base}/_temporary", recursive=True)
-                stream = fs.open_output_stream(temp)
-                package = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED, allowZip64=True)
-                member = package.open(zipfile.ZipInfo(WARC_MEMBER), "w", force_zip64=True)
             for lo in range(0, batch.num_rows, 256):
                 for r in batch.slice(lo, 256).to_pylist():
-                    data = record(r["record_type"], r["page_id"], len(index), r["url"], r["payload_digest"], r["payload_bytes"], r["refers_to"], r["payload"] or b"")
-                    packed = gzip.compress(data, 6, mtime=0)
-                    member.write(packed)
-                    index.append(json.dumps({"page": None if r["page_id"] is None else str(r["page_id"]), "offset": at, "length": len(packed)}))
-                    at += len(packed)
-        if stream is not None:
-            member.close()
-            with package.open(zipfile.ZipInfo(INDEX_MEMBER), "w", force_zip64=True) as member:
-                member.write("\n".join(index).encode())
-            package.close()
-            stream.close()
-            fs.move(temp, f"{base}/pages-{part:06d}.zip")
-            path = folder.rstrip("/") + f"/pages-{part:06d}.zip"
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([path]), pa.array([len(index)], pa.int64())], names=["package", "path", "records"])
+                    if writer is None:
+                        fs, base = open_fs(folder)
+                        fs.create_dir(base, recursive=True)
+                        name = f"pages-{part:06d}-{n:06d}.{attempt}.zip"
+                        writer = PackageWriter(fs.open_output_stream(f"{base}/{name}"))
+                    writer.add(r)
+                    if writer.at >= package_bytes:
+                        yield done()
+                        n, writer = n + 1, None
+        if writer is not None:
+            yield done()
 
     return settle(plan_records(pages, least_bytes).mapInArrow(write, "package bigint, path string, records bigint"))
 

@@ -62,3 +62,14 @@ def test_round_trip(spark, tmp_path):
         with fs.open_input_file(name) as f:
             assert zipfile.ZipFile(f).testzip() is None
     assert warczip.archive_pages(df.where("page_id > 99"), folder=f"file://{tmp_path}/e").collect() == []
+
+
+def test_packages_are_bounded_and_long_or_equal_pages_kept(spark, tmp_path):
+    page = "<p>" + "words and more words " * 60
+    df = spark.range(0, 3000, 1, 2).selectExpr("id as page_id", "'u' as url", f"case when id % 2 = 0 then '{page}' else concat('<p>', id) end as html")
+    df = df.union(spark.createDataFrame([(5000, "u", "long " * 1_000_000)], "page_id long, url string, html string"))
+    packages = warczip.write_packages(df, f"file://{tmp_path}/w", package_bytes=20_000)
+    written = packages.collect()
+    assert len(written) > 20 and sum(p.records for p in written) == 3001 and len({p.package for p in written}) == len(written)
+    got = warczip.read_packages(packages).groupBy("record_type").count().collect()
+    assert sorted(map(tuple, got)) == [("response", 1502), ("revisit", 1499)]
