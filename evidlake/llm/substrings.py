@@ -3,17 +3,20 @@
 Each text is cut into blocks of BLOCK words from its start, the last partial one left out. Any SPAN =
 2 * BLOCK - 1 words in a row hold a whole block, so when they also stand elsewhere, that block equals
 a rolling window there. Blocks are indexed by hash, every rolling window of BLOCK words probes the
-index, and a hit is extended to the windows of SPAN words around it, which count by a hash of about
-80 bits; windows that occur twice or more, joined, are the maximal exact repeats.
+index, and a hit is extended to the windows of SPAN words around it, which are compared by two hashes
+of 95 bits together, over 64-bit hashes of their words; windows that occur twice or more, joined, are
+the maximal exact repeats.
 
-Documents are dealt to groups by hash and stay there (one shuffle of text, which Spark reuses for
+Documents are dealt to groups by a hash of the row and its place in the input, so that rows that
+repeat are spread, and stay there (one shuffle of text, which Spark reuses for
 all three passes); only hashes travel. A group sends each distinct hash once, with a mark when it
 occurs there more than once, so a passage shared by a third of all documents costs each group one
 entry. Groups and hash buckets hold a bounded share of the input. No pairs are made.
 
 Edge cases: null has no words; a text shorter than SPAN keeps all its words; repeats within one
 document count, overlapping ones too; rows that repeat are separate texts, so each loses what they
-share; an empty table gives no rows; other columns are ignored.
+share; null and repeated ids are kept as they are; a very long text is one group's work by itself; there
+are no ties to decide; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,41 @@ SPAN = 35
 GROUP_BYTES = 2 << 20
 MAX_GROUPS = 1 << 18
 TAIL = np.uint64((1 << 30) - 1)
+#: Two hashes of a window; the last bit of the second is a mark.
+PAIR = np.dtype([("a", "<u8"), ("o", "<u4")])
+
+
+def _pairs(a: np.ndarray, other: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), dtype=PAIR)
+    out["a"], out["o"] = a, (other >> np.uint64(32)).astype(np.uint32) & ~np.uint32(1)
+    return out
+
+
+def _groups(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct pair, and which of them each pair is."""
+    a, o = np.ascontiguousarray(pairs["a"]), np.ascontiguousarray(pairs["o"])
+    order = np.argsort(a, kind="stable")
+    if ((a[order][1:] == a[order][:-1]) & (o[order][1:] != o[order][:-1])).any():  # first hashes alone won't tell
+        order = np.lexsort((o, a))
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (o[order][1:] != o[order][:-1])
+    place = np.empty(len(a), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
+def _among(pairs: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each pair is among the known ones."""
+    known = known[np.argsort(known["a"], kind="stable")]
+    ka, ko = np.ascontiguousarray(known["a"]), np.ascontiguousarray(known["o"])
+    at, found = np.searchsorted(ka, pairs["a"]), np.zeros(len(pairs), dtype=bool)
+    open_ = np.arange(len(pairs))
+    while len(open_):  # as often as a first hash repeats among the known ones
+        open_ = open_[at[open_] < len(ka)]
+        open_ = open_[ka[at[open_]] == pairs["a"][open_]]
+        found[open_] |= ko[at[open_]] == pairs["o"][open_]
+        at[open_] += 1
+    return found
 
 
 def _texts(table: pa.Table, span: int):
@@ -88,34 +126,32 @@ def cut_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", span: int
         a, start = windows(h, lengths, span)
         near = hits[start + span - block + 1] > hits[start]
         a, start = a[near], start[near]
-        other = windows(h, lengths, span, OTHER)[0][near]
-        a, first, count = np.unique(a | np.uint64(1), return_index=True, return_counts=True)
-        b = (other[first] >> np.uint64(20)) % np.uint64(n)
-        value = a & ~np.uint64(1) | (count > 1).astype(np.uint64)
+        pair = _pairs(a, windows(h, lengths, span, OTHER)[0][near])
+        first, place = _groups(pair)
+        pair, count = pair[first], np.bincount(place, minlength=len(first))
+        b = (pair["a"] >> np.uint64(20)) % np.uint64(n)
+        pair["o"] |= (count > 1).astype(np.uint32)
         order = np.argsort(b, kind="stable")
-        rows = _dealt(b[order], value[order].astype("<u8"))
+        rows = _dealt(b[order], pair[order])
         return pa.table({"b": pa.array([x for x, _ in rows], pa.int32()), "g": pa.array([key[0].as_py()] * len(rows), pa.int32()), "v": pa.array([x for _, x in rows], pa.binary())})
 
     def answer_windows(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(v, dtype="<u8") for v in table.column("v").to_pylist()]
+        parts = [np.frombuffer(v, dtype=PAIR) for v in table.column("v").to_pylist()]
         v = np.concatenate(parts)
-        _, place = np.unique(v >> np.uint64(1), return_inverse=True)
-        twice = (np.bincount(place, weights=1 + (v & np.uint64(1)).astype(np.int64)) >= 2)[place]
+        more = (v["o"] & np.uint32(1)).astype(np.int64)
+        v["o"] &= ~np.uint32(1)
+        _, place = _groups(v)
+        twice = (np.bincount(place, weights=1 + more) >= 2)[place]
         ends = np.cumsum([len(p) for p in parts])
-        out = [(g, (v[e - len(p) : e][twice[e - len(p) : e]] | np.uint64(1)).tobytes()) for g, p, e in zip(table.column("g").to_pylist(), parts, ends, strict=True)]
+        out = [(g, v[e - len(p) : e][twice[e - len(p) : e]].tobytes()) for g, p, e in zip(table.column("g").to_pylist(), parts, ends, strict=True)]
         out = [(g, x) for g, x in out if x]
         return pa.table({"g": pa.array([g for g, _ in out], pa.int32()), "v": pa.array([x for _, x in out], pa.binary())})
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         words, long, h, lengths = _texts(left, span)
-        repeated = np.sort(np.concatenate([np.frombuffer(v, dtype="<u8") for v in right.column("v").to_pylist()] or [np.zeros(0, np.uint64)]))
+        repeated = np.concatenate([np.frombuffer(v, dtype=PAIR) for v in right.column("v").to_pylist()] or [np.zeros(0, PAIR)])
         a, start = windows(h, lengths, span)
-        a = a | np.uint64(1)
-        if len(repeated):
-            where = np.minimum(np.searchsorted(repeated, a), len(repeated) - 1)
-            start = start[repeated[where] == a]
-        else:
-            start = start[:0]
+        start = start[_among(_pairs(a, windows(h, lengths, span, OTHER)[0]), repeated)] if len(repeated) else start[:0]
         edge = np.zeros(len(h) + 1, dtype=np.int64)
         np.add.at(edge, start, 1)
         np.add.at(edge, start + span, -1)
@@ -139,7 +175,8 @@ def cut_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", span: int
         )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    g = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int")
+    # The place is the same whenever the same files are read, so that a task that is tried again finds the same groups.
+    g = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.monotonically_increasing_id()), F.lit(n)).cast("int")
     dealt = docs.select(g.alias("g"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     sent = "b int, g int, v binary"
     hits = dealt.groupBy("g").applyInArrow(send_probes, sent).groupBy("b").applyInArrow(answer_probes, "g int, b int, v binary")

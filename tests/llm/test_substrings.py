@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -48,3 +49,20 @@ def test_spans_and_empty_table(spark):
     spans = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in substrings.cut_repeats(df, span=5, groups=2).collect()}
     assert spans == {1: [(0, 5)], 2: [(1, 6)]}
     assert substrings.cut_repeats(df.where("doc_id > 9"), span=5, groups=2).collect() == []
+
+
+def test_pairs_of_hashes_are_compared_whole():
+    p = np.array([(7, 2), (5, 4), (7, 4), (7, 2), (5, 4), (9, 0)], dtype=substrings.PAIR)
+    first, place = substrings._groups(p)
+    assert [tuple(x) for x in p[first].tolist()] == [(5, 4), (7, 2), (7, 4), (9, 0)] and place.tolist() == [1, 0, 2, 1, 0, 3]
+    known = np.array([(7, 4), (7, 6), (5, 4)], dtype=substrings.PAIR)
+    assert substrings._among(p, known).tolist() == [False, True, True, False, True, False]
+    assert substrings._among(p[:0], known).tolist() == [] and not substrings._among(p, known[:0]).any()
+    assert substrings._groups(p[:0])[0].tolist() == []
+
+
+def test_very_many_equal_rows_are_spread(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.range(0, 20_000, 1, 8).selectExpr("7L as doc_id", f"'{text}' as text")
+    got = substrings.cut_repeats(df, groups=16).groupBy("doc_id", "n_words", "n_removed", "text").count().collect()
+    assert [tuple(r) for r in got] == [(7, 40, 40, "", 20_000)]
