@@ -1,3 +1,5 @@
+import pytest
+
 from evidlake.llm import shared
 
 SF = "/root/testdata"
@@ -8,3 +10,11 @@ def test_parts_follow_the_size_of_the_files(spark):
     assert 5 < shared.input_bytes(large) / shared.input_bytes(small) < 20
     assert shared.pieces(large, 1 << 20) > shared.pieces(small, 1 << 20) >= 8
     assert shared.pieces(small, 1 << 40) == 8
+
+
+def test_a_cluster_needs_a_shared_folder():
+    shared.check_local("local[8]")
+    shared.check_local("local")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared.check_local(master)
