@@ -118,5 +118,32 @@ FROM b LEFT JOIN bad USING (doc_id)
 """
 
 
+def codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    nearest = """
+        SELECT p.rid, p.part, min(CAST(list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, b.v) + list_dot_product(b.v, b.v) AS BIGINT) * 256 + b.entry) AS k
+        FROM p JOIN b{n} b ON p.part = b.part GROUP BY p.rid, p.part"""
+    moved = """
+        SELECT part, entry, coalesce(m.v, b{n}.v) AS v FROM b{n} LEFT JOIN (
+            SELECT part, entry, list(floored ORDER BY place) AS v FROM (
+                SELECT part, entry, place, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS DOUBLE) AS floored FROM (
+                    SELECT p.part, a{n}.k % 256 AS entry, unnest(range(len(p.v))) AS place, CAST(unnest(p.v) AS BIGINT) AS x FROM p JOIN a{n} USING (rid, part))
+                GROUP BY part, entry, place)
+            GROUP BY part, entry) m USING (part, entry)"""
+    steps = ",\n".join(f"a{n} AS MATERIALIZED ({nearest.format(n=n)}),\nb{n + 1} AS MATERIALIZED ({moved.format(n=n)})" for n in range(rounds))
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS MATERIALIZED (SELECT rid, part, list_slice(x, part * len(x) // {parts} + 1, (part + 1) * len(x) // {parts}) AS v FROM e, (SELECT unnest(range({parts})) AS part)),
+b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, v FROM p WHERE rid <= {entries}),
+{steps},
+f AS ({nearest.format(n=rounds)}),
+c AS (SELECT rid, lower(string_agg(printf('%02x', CAST(k % 256 AS INT)), '' ORDER BY part)) AS code, CAST(sum(k // 256) AS BIGINT) AS error FROM f GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, label,
+       (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda z: CAST(z AS BIGINT)), ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM c JOIN e USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": MIX, "op5_decontaminate": DECONTAMINATE, "op6_page_archives": ARCHIVES, "op7_substring_dedup": SUBSTRINGS, "op9_quality_rules": quality_sql(), "op10_jaccard_join": JACCARD}
+    return {"op3_source_mix": MIX, "op5_decontaminate": DECONTAMINATE, "op6_page_archives": ARCHIVES, "op7_substring_dedup": SUBSTRINGS, "op9_quality_rules": quality_sql(), "op11_vector_codes": codes_sql(), "op10_jaccard_join": JACCARD}

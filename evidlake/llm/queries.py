@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, mixing, neardup, quality, sstable, substrings, warczip, wordpiece
+from . import codes, decontam, langid, licenses, mixing, neardup, quality, sstable, substrings, warczip, wordpiece
+from .shared import few, settle
 
 
 def _table(spark, sf_dir, name):
@@ -65,5 +66,12 @@ def op8_license_scan(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), "path", "license", "score", "origin", F.array_join("licenses", ",").alias("licenses"), "from_folder")
 
 
+def op11_vector_codes(spark, sf_dir):
+    out = codes.compress(_table(spark, sf_dir, "embeddings"))
+    totals = out.codes.groupBy(F.col("label").alias("l")).agg(F.sum("error").alias("label_error"))
+    rows = out.codes.join(few(settle(totals)), F.col("label").eqNullSafe(F.col("l")))
+    return rows.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(out.digest()).alias("codebooks_sha256"), "label")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_source_mix, op4_token_counts, op5_decontaminate, op6_page_archives, op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_source_mix, op4_token_counts, op5_decontaminate, op6_page_archives, op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_jaccard_join, op11_vector_codes)}

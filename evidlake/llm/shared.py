@@ -57,6 +57,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate files that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def few(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A settled frame of keys, for broadcast where its counted size is bounded, else as it is."""
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
