@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import codes, decontam, langid, licenses, mixing, neardup, quality, sstable, substrings, warczip, wordpiece
+from . import codes, decontam, langid, licenses, mixing, neardup, quality, sstable, substrings, warczip, whitening, wordpiece
 from .shared import few, settle
 
 
@@ -73,5 +73,10 @@ def op11_vector_codes(spark, sf_dir):
     return rows.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(out.digest()).alias("codebooks_sha256"), "label")
 
 
+def op12_embedding_whitening(spark, sf_dir):
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)")).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_source_mix, op4_token_counts, op5_decontaminate, op6_page_archives, op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_jaccard_join, op11_vector_codes)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_source_mix, op4_token_counts, op5_decontaminate, op6_page_archives, op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_jaccard_join, op11_vector_codes, op12_embedding_whitening)}
