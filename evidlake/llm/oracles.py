@@ -118,6 +118,16 @@ FROM b LEFT JOIN bad USING (doc_id)
 """
 
 
+#: All candidates: the walk meets every cell of a table of up to LEAST_EFFORT rows.
+NEIGHBOURS = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, e.vec_id, sqrt(list_sum(list_transform(list_zip(q.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INT) AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
     nearest = """
         SELECT p.rid, p.part, min(CAST(list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, b.v) + list_dot_product(b.v, b.v) AS BIGINT) * 256 + b.entry) AS k
@@ -146,4 +156,4 @@ FROM c JOIN e USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": MIX, "op5_decontaminate": DECONTAMINATE, "op6_page_archives": ARCHIVES, "op7_substring_dedup": SUBSTRINGS, "op9_quality_rules": quality_sql(), "op11_vector_codes": codes_sql(), "op10_jaccard_join": JACCARD}
+    return {"op3_source_mix": MIX, "op5_decontaminate": DECONTAMINATE, "op6_page_archives": ARCHIVES, "op7_substring_dedup": SUBSTRINGS, "op9_quality_rules": quality_sql(), "op11_vector_codes": codes_sql(), "op13_nearest_neighbours": NEIGHBOURS, "op10_jaccard_join": JACCARD}

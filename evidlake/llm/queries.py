@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import codes, decontam, langid, licenses, mixing, neardup, quality, sstable, substrings, warczip, whitening, wordpiece
+from . import codes, decontam, langid, licenses, mixing, multiindex, neardup, quality, sstable, substrings, warczip, whitening, wordpiece
 from .shared import few, settle
 
 
@@ -78,5 +78,10 @@ def op12_embedding_whitening(spark, sf_dir):
     return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)")).withColumnRenamed("id", "vec_id")
 
 
+def op13_nearest_neighbours(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings")
+    return multiindex.search(rows, rows.where("vec_id % 100 = 0"), 10).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_source_mix, op4_token_counts, op5_decontaminate, op6_page_archives, op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_jaccard_join, op11_vector_codes, op12_embedding_whitening)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_source_mix, op4_token_counts, op5_decontaminate, op6_page_archives, op7_substring_dedup, op8_license_scan, op9_quality_rules, op10_jaccard_join, op11_vector_codes, op12_embedding_whitening, op13_nearest_neighbours)}
