@@ -4,12 +4,12 @@ A document is the set of its SHINGLE-word windows (all its words, if fewer). Doc
 become one node with a count. Bands of minima are chosen for the target recall: documents at the
 threshold meet in some band with that probability, more similar ones nearly always. Nodes that meet
 are joined to the least node of their band, never in pairs; the connected pieces then hold every pair
-that met. A piece of up to BLOCK_NODES is verified on full shingle sets, all pairs, within one task. A
-larger one is verified as a whole or band by band, whichever has fewer pairs: near copies of one text
-meet in nearly every band, while a long chain of pieces has small bands. Band by band, a pair counts in
-the first band in which it met. What is above BLOCK_NODES or BLOCK_SHINGLES is cut into blocks, and each
-pair of blocks is a task's work, so a task is bounded. Tasks return a count of links and a root per node,
-not pairs. Links are weighted by copies.
+that met. Two nodes are linked if they met in some band and their full shingle sets reach the threshold,
+however a piece is verified: one of up to BLOCK_NODES within one task, a larger one as a whole or band by
+band, whichever has fewer pairs: near copies of one text meet in nearly every band, while a long chain of
+pieces has small bands. Band by band, a pair counts in the first band in which it met. What is above
+BLOCK_NODES or BLOCK_SHINGLES is cut into blocks, and each pair of blocks is a task's work, so a task is
+bounded. Tasks return a count of links and a root per node, not pairs. Links are weighted by copies.
 
 Result: class_id is the least doc_id of the documents connected by links, n_links the number of other
 documents linked directly (copies counted).
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import few, give_back, plain, settle
+from .shared import few, give_back, picked, plain, settle
 from .wordhash import mixed, new_cache, windows
 
 SHINGLE = 5
@@ -47,6 +47,8 @@ BLOCK_SHINGLES = 1 << 20
 GROUP_SHINGLES = 1 << 18
 SLICE_BYTES = 4 << 20
 COLUMNS = 2048
+#: Pairs whose bands are compared at once.
+PAIRS = 1 << 15
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -155,23 +157,27 @@ def _shared(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
-def first_met(bands: np.ndarray, band: int) -> np.ndarray:
-    """Which two nodes share this band and none before it: (n, n)."""
-    at = int(np.flatnonzero(bands[0] == band)[0])
-    met = bands[:, None, at] == bands[None, :, at]
-    for before in range(at):
-        met &= bands[:, None, before] != bands[None, :, before]
-    return met
+def first_met(bands: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The place of the first band that the nodes of each pair share; as many as there are bands where they share none."""
+    out = np.full(len(left), bands.shape[1])
+    for i in range(0, len(left), PAIRS):
+        same = bands[left[i : i + PAIRS]] == bands[right[i : i + PAIRS]]
+        out[i : i + PAIRS] = np.where(same.any(axis=1), same.argmax(axis=1), bands.shape[1])
+    return out
 
 
-def verify(node: np.ndarray, copies: np.ndarray, block: np.ndarray, a: int, b: int, texts: list[bytes], shingle: int, threshold: float, cache: dict, among: np.ndarray | bool = True):
-    """Pairs between blocks a and b of a piece, of those in `among`: (links, root) of each node, links weighted by copies."""
+def verify(node: np.ndarray, copies: np.ndarray, block: np.ndarray, a: int, b: int, texts: list[bytes], shingle: int, threshold: float, cache: dict, bands: np.ndarray, band: int | None = None):
+    """Pairs between blocks a and b of a piece that met, first in `band` if one is given: (links, root) of each node, links weighted by copies."""
     values, sizes = shingle_sets(texts, shingle, cache)
     n = len(node)
     inter = _shared(values, np.repeat(np.arange(n), sizes), n)
     union = sizes[:, None] + sizes[None, :] - inter
     linked = inter >= threshold * union - 1e-9
-    linked &= ((block[:, None] != block[None, :]) if a != b else ~np.eye(n, dtype=bool)) & among
+    linked &= (block[:, None] != block[None, :]) if a != b else ~np.eye(n, dtype=bool)
+    left, right = np.nonzero(linked)
+    first = first_met(bands, left, right)
+    met = first < bands.shape[1] if band is None else first == band
+    linked[left[~met], right[~met]] = False
     links = linked.astype(np.float64) @ copies
     root = np.arange(n)
     while True:  # least label among linked ones, until nothing changes
@@ -204,8 +210,9 @@ def _matched(docs: DataFrame, pieces_of: DataFrame, id_col: str, text_col: str,
         for at in np.split(order, cuts) if len(order) else []:
             at = at[np.r_[True, np.diff(col["node"][at]) != 0]]  # a row that repeats is one node
             if len(at) > 1:
-                among = True if whole[at[0]] else first_met(np.array(bands.take(pa.array(at)).to_pylist(), dtype=np.int64), col["band"][at[0]])
-                links, root = verify(col["node"][at], col["copies"][at].astype(np.float64), col["block"][at], col["a"][at[0]], col["b"][at[0]], texts.take(pa.array(at)).to_pylist(), shingle, threshold, cache, among)
+                own = np.array(bands.take(pa.array(at)).to_pylist(), dtype=np.int64)
+                band = None if whole[at[0]] else int(np.flatnonzero(own[0] == col["band"][at[0]])[0])
+                links, root = verify(col["node"][at], col["copies"][at].astype(np.float64), col["block"][at], col["a"][at[0]], col["b"][at[0]], texts.take(pa.array(at)).to_pylist(), shingle, threshold, cache, own, band)
                 some = links > 0
                 for to, x in zip(out, (col["node"][at][some], links[some], root[some]), strict=True):
                     to.append(x)
@@ -230,6 +237,7 @@ def jaccard_classes(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
 
     keeper is the row hash of the class's document with the least id (least hash on ties, nulls last).
     """
+    docs, id_col, text_col = picked(docs, doc_id=id_col, text=text_col), "doc_id", "text"
     bands, rows = choose_bands(threshold, recall)
     sk = settle(sketches(docs, id_col, text_col, shingle, bands, rows))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("first")
@@ -242,7 +250,7 @@ def jaccard_classes(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     k = F.greatest(F.ceil(F.col("nodes") / block_nodes), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     summed = [F.count("*").alias("nodes"), F.sum("n").alias("total")]
     comps = settle(sized.groupBy("root").agg(*summed).withColumn("k", k))
-    held = sized.join(comps.select("root", "k"), "root").select("row", "node", "copies", F.col("root").alias("comp"), "k", F.lit(None).cast("long").alias("band"), F.lit(None).cast("array<long>").alias("bands"))
+    held = sized.join(comps.select("root", "k"), "root").select("row", "node", "copies", F.col("root").alias("comp"), "k", F.lit(None).cast("long").alias("band"), "bands")
     work = [comps.select("total", "k")]
     if comps.where(F.col("nodes") > block_nodes).limit(1).count():
         by_band, bands_of = cheaper_by_band(sized, comps, block_nodes)

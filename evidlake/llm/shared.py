@@ -19,6 +19,8 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 #: Most rows of a pair of keys that are sent to every executor; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Most bytes that strings among them may have.
+BROADCAST_BYTES = 64 << 20
 
 
 def check_local(master: str) -> None:
@@ -63,9 +65,12 @@ def discard(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def few(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A settled frame of keys, for broadcast where its counted size is bounded, else as it is."""
-    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+def few(keys: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A settled frame of keys, for broadcast where its counted rows and the bytes of its strings and binaries are bounded, else as it is."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c, kind in keys.dtypes if kind in ("string", "binary")]
+    size = sum(texts[1:], texts[0]) if texts else F.lit(0).cast("long")
+    n, held = keys.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(keys) if n <= most and held <= most_bytes else keys
 
 
 def plain(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
@@ -79,6 +84,12 @@ def plain(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
     return df.toDF(*names), name
 
 
+def picked(df: DataFrame, **columns: str) -> DataFrame:
+    """The columns asked for under new names, whatever other columns are called: no name of theirs can clash."""
+    rows, name = plain(df)
+    return rows.select(*[F.col(name(c)).alias(n) for n, c in columns.items()])
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files that a frame reads, from the scan's statistics; at least 1."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -128,6 +128,25 @@ def test_a_long_chain_is_verified_band_by_band(spark):
 
 
 def test_first_met():
-    bands = np.array([[1, 5, 9], [1, 5, 8], [2, 5, 9], [3, 6, 9]])
-    pairs = lambda band: {(i, j) for i, j in zip(*np.nonzero(neardup.first_met(bands[(bands == band).any(axis=1)], band)), strict=True) if i < j}
-    assert pairs(1) == {(0, 1)} and pairs(5) == {(0, 2), (1, 2)} and pairs(9) == {(0, 2), (1, 2)}
+    bands = np.array([[1, 5, 9], [1, 5, 8], [2, 5, 9], [3, 6, 9], [4, 7, 0]])
+    left, right = np.array([0, 0, 1, 2, 0, 1, 3]), np.array([1, 2, 2, 3, 3, 3, 4])
+    assert neardup.first_met(bands, left, right).tolist() == [0, 1, 1, 2, 2, 3, 3]
+
+
+@pytest.mark.parametrize("recall", [0.9, 0.999])
+def test_links_do_not_depend_on_how_a_piece_is_verified(spark, recall):
+    """Near copies around the threshold in one piece; at a recall of 0.9 some pairs above it never meet."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(200):
+        text = list(base)
+        for j in rng.sample(range(120), rng.choice([1, 1, 2, 3])):
+            text[j] = f"x{rng.randrange(3)}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(tuple(r)[1:5] for r in neardup.jaccard_classes(df, recall=recall, block_nodes=n).collect()) for n in (16, 64, 512)]
+    assert got[0] == got[1] == got[2]
+    true = {i: n for i, _, n in brute(rows)}
+    met, all_ = sum(n for _, _, n, _ in got[0]), sum(true.values())
+    assert recall * all_ * 0.98 <= met <= all_ and all(n <= true[i] for i, _, n, _ in got[0])
