@@ -88,9 +88,14 @@ FROM d LEFT JOIN n USING (doc_id)
 
 def quality_sql() -> str:
     """The rules' counts, their cutoffs by exact binomial tails, and the verdicts."""
-    rules = ", ".join(f"({i}, '{rule}', {level}, {cut}::DOUBLE)" for i, (rule, cuts) in enumerate(quality.RULES.items()) for level, cut in enumerate(cuts))
     risk = f"{quality.ALPHA}::DOUBLE"
-    score = "CASE r.rule WHEN 'symbols_per_word' THEN n_symbols / greatest(n_words, 1) WHEN 'duplicate_lines' THEN n_dup_lines / greatest(n_lines, 1) WHEN 'repeated_words' THEN n_repeat_words / greatest(n_words, 1) WHEN 'capital_letters' THEN n_capitals / greatest(word_chars, 1) ELSE n_stutters / greatest(n_words, 1) END"
+    score = ["n_symbols / greatest(n_words, 1)", "n_dup_lines / greatest(n_lines, 1)", "n_repeat_words / greatest(n_words, 1)", "n_capitals / greatest(word_chars, 1)", "n_stutters / greatest(n_words, 1)"]
+    passed = ", ".join("(" + " + ".join(f"CAST({of} <= {cut}::DOUBLE AS INT)" for cut in cuts) + f") AS t{i}" for i, (of, cuts) in enumerate(zip(score, quality.RULES.values(), strict=True)))
+    declared = [(p, step, share, s) for p, (path, share) in enumerate(zip(quality.PATHS, quality.SHARES, strict=True)) for step, s in enumerate(path)]
+    sets = ", ".join(f"({idx}, {p}, {step}, {share * quality.DELTA}::DOUBLE, {', '.join(map(str, s))})" for idx, (p, step, share, s) in enumerate(declared))
+    rejects = " OR ".join(f"s{i} > t{i}" for i in range(len(score)))
+    least = ", ".join(f"min(t{i}) AS t{i}" for i in range(len(score)))
+    said = ", ".join(f"CASE WHEN s{i} > t{i} THEN '{rule}' END" for i, rule in enumerate(quality.RULES))
     return rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 x AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
@@ -101,20 +106,20 @@ c AS (SELECT l.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(li
              CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(regexp_extract_all(t, '[A-Z]')) AS n_capitals,
              len(list_filter(list_zip(w[2:], w[:-2]), lambda z: z[1] = z[2])) AS n_stutters
       FROM l LEFT JOIN rep USING (doc_id)),
-b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
-rules AS (SELECT * FROM (VALUES {rules}) v(idx, rule, level, cut)),
+b AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {passed} FROM c),
+sets AS (SELECT * FROM (VALUES {sets}) v(idx, path, step, share, s0, s1, s2, s3, s4)),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
-held AS (SELECT b.* FROM b SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
+held AS (SELECT lang, doc_id, {least} FROM b SEMI JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY lang, doc_id),
 strata AS (SELECT greatest(1, count(*)) AS m FROM (SELECT DISTINCT lang FROM held)),
-over AS (SELECT lang, doc_id, level, bool_or({score} > cut) AS gone FROM held, rules r GROUP BY ALL),
-lost AS (SELECT lang, level, count(*) AS n, count(*) FILTER (gone) AS x FROM over GROUP BY ALL),
+lost AS (SELECT lang, idx, path, step, share, count(*) AS n, count(*) FILTER ({rejects}) AS x FROM held, sets GROUP BY ALL),
 tail AS (SELECT *, CASE WHEN x >= n THEN 1.0 ELSE list_sum(list_transform(range(0, x + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({risk}) + (n - k) * ln(1 - {risk})))) END AS p FROM lost),
-safe AS (SELECT *, min(CAST(p <= {quality.DELTA} / (SELECT m FROM strata) AS INT)) OVER (PARTITION BY lang ORDER BY level) AS ok FROM tail),
-best AS (SELECT lang, max(level) AS level FROM safe WHERE ok = 1 GROUP BY lang),
-cuts AS (SELECT best.lang, idx, rule, cut FROM best JOIN rules USING (level)),
-bad AS (SELECT b.doc_id, string_agg(r.rule, ',' ORDER BY idx) AS rejected_by FROM b JOIN cuts r ON b.lang IS NOT DISTINCT FROM r.lang WHERE {score} > r.cut GROUP BY b.doc_id)
-SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
-FROM b LEFT JOIN bad USING (doc_id)
+safe AS (SELECT *, min(CAST(p <= share / (SELECT m FROM strata) AS INT)) OVER (PARTITION BY lang, path ORDER BY step) AS ok FROM tail),
+gone AS (SELECT lang, idx, count(*) FILTER ({rejects}) AS gone FROM b, sets WHERE NOT base_failed GROUP BY ALL),
+best AS (SELECT safe.lang, arg_max(safe.idx, (gone, -safe.idx)) AS idx FROM safe JOIN gone ON safe.lang IS NOT DISTINCT FROM gone.lang AND safe.idx = gone.idx WHERE ok = 1 GROUP BY safe.lang),
+used AS (SELECT best.lang, sets.* FROM best JOIN sets USING (idx))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (used.idx IS NULL OR NOT ({rejects})) AS kept,
+       coalesce(array_to_string(list_filter([{said}], lambda z: z IS NOT NULL), ','), '') AS rejected_by
+FROM b LEFT JOIN used ON b.lang IS NOT DISTINCT FROM used.lang
 """
 
 

@@ -1,20 +1,24 @@
 """Quality rules with risk-controlled thresholds.
 
 Fixed rules reject texts that are short or mostly repeat themselves. Beyond them, each rule in RULES
-is a score with cutoffs from lenient to strict; the rules' cutoffs of one place in that order are a
-level, applied together. Labelled good documents are the holdout: per stratum (language), levels are
-tested in order, and the strictest is chosen before the first one whose exact binomial bound
-(Clopper-Pearson) on false rejection, by any of its rules, is above ALPHA. Testing in a fixed order
-spends no error on the number of levels, and rejection by all rules together is one quantity, so
-Bonferroni's correction divides DELTA by the number of strata alone. So with probability 1 - DELTA, in
-every stratum at most ALPHA of good documents are lost to the chosen cutoffs. A stratum with too few
-labels for a proof keeps all that pass the base rules: `labels_needed` says how many that takes.
+is a score with cutoffs from lenient to strict, and a set of cutoffs has at most one for each rule.
+PATHS are sequences of sets, declared before any label is seen: all rules together, each rule alone, and
+all rules but one; from set to set one rule is tightened by one cutoff. Labelled good documents are the
+holdout: per stratum (language) the sets of a path are tested in order, until the first whose exact
+binomial bound (Clopper-Pearson) on false rejection, by any of its rules, is above ALPHA. Testing in a
+fixed order spends no error on the length of a path; Bonferroni's correction divides DELTA by the number
+of strata and shares it among the paths (JOINT_SHARE for all rules together, the rest in equal parts).
+So with probability 1 - DELTA, every set that was proven, in every stratum, loses at most ALPHA of the
+good documents, and any of them may be used: the one that rejects most documents of the stratum is.
+A stratum with too few labels for a proof keeps all that pass the base rules: `labels_needed` says how
+many that takes.
 
 Edge cases: null has no words and so fails the base rules; a null stratum is one of its own; labels
 of unknown or null ids are ignored, the best of several labels counts; ids and rows that repeat are
-judged row by row (and their label counts for each row); a score equal to its cutoff passes; a very
-long text is counted whole, by itself; empty tables give no rows or no cutoffs; other columns, whatever
-their names, are ignored by `judge` and returned unchanged by `keep_good`.
+judged row by row, but a labelled id is one trial in a stratum, lost if any of its rows is, however often
+it repeats; a score equal to its cutoff passes; a very long text is counted whole, by itself; of sets that
+reject as many documents the one declared first is used; empty tables give no rows or no cutoffs; other
+columns, whatever their names, are ignored by `judge` and returned unchanged by `keep_good`.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import give_back, plain, settle, stored
+from .shared import give_back, picked, plain, settle, stored
 from .wordhash import mixed, new_cache, windows
 
 ALPHA = 0.01
@@ -47,7 +51,23 @@ RULES = {
     "stuttered_words": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
 }
 
-LEVELS = 8
+#: Share of a stratum's error for the path of all rules together; the other paths have the rest in equal parts.
+JOINT_SHARE = 0.9
+
+
+def path_of(rules: list[str]) -> list[tuple[int, ...]]:
+    """Sets of cutoffs, as so many cutoffs of each of RULES as are passed over (0: the rule isn't used), each rule tightened in turn."""
+    sets, now = [], dict.fromkeys(RULES, 0)
+    for step in range(max(map(len, RULES.values()))):
+        for rule in rules:
+            if step < len(RULES[rule]):
+                now[rule] += 1
+                sets.append(tuple(now.values()))
+    return sets
+
+
+PATHS = [path_of(list(RULES)), *[path_of([r]) for r in RULES], *[path_of([r for r in RULES if r != left]) for left in RULES]]
+SHARES = [JOINT_SHARE] + [(1 - JOINT_SHARE) / (len(PATHS) - 1)] * (len(PATHS) - 1)
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_stutters")
 _SPACE = np.zeros(256, dtype=np.int64)
@@ -153,29 +173,62 @@ def binomial_at_most(x: int, n: int, p: float) -> float:
     return min(1.0, total)
 
 
+#: All declared sets in order, as an array of arrays in SQL.
+SETS = "array(" + ", ".join("array(" + ", ".join(map(str, s)) + ")" for path in PATHS for s in path) + ")"
+
+
 def labels_needed(strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
-    """The fewest labelled good documents of a stratum, none of them lost, that prove a level."""
-    return math.ceil(math.log(delta / strata) / math.log1p(-alpha))
+    """The fewest labelled good documents of a stratum, none of them lost, that prove a set of all rules together."""
+    return math.ceil(math.log(JOINT_SHARE * delta / strata) / math.log1p(-alpha))
+
+
+def passed(c: Column) -> list[Column]:
+    """How many cutoffs of each rule a document passes, from the lenient ones on."""
+    of = scores(c)
+    return [sum(((of[rule] <= cut).cast("int") for cut in cuts[1:]), (of[rule] <= cuts[0]).cast("int")) for rule, cuts in RULES.items()]
+
+
+def by_set(profiles: DataFrame, count: str) -> DataFrame:
+    """(stratum, idx, count) of (stratum, t0, t1, ..., n): for each declared set, how many of n it rejects."""
+    over = " OR ".join(f"s[{i}] > t{i}" for i in range(len(RULES)))
+    rejects = F.expr(f"transform({SETS}, s -> cast({over} AS int))")
+    each = profiles.select("stratum", "n", F.posexplode(rejects).alias("idx", "gone"))
+    return each.groupBy("stratum", "idx").agg(F.sum(F.col("n") * F.col("gone")).alias(count))
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """measured: (doc_id, stratum, c) -> (stratum, cutoffs map of rule to cutoff); one row per stratum that has any."""
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("_l"))
-    held = measured.join(good, measured.doc_id == good._l).where(~base_failed(F.col("c")))
-    of = scores(F.col("c"))
-    lost = [F.count_if(F.greatest(*[(of[rule] > cuts[i]).cast("int") for rule, cuts in RULES.items()]) == 1) for i in range(LEVELS)]
-    per = settle(held.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*lost).alias("lost")))
-    strata = max(1, per.count())
+    """measured: (doc_id, stratum, c) -> (stratum, cutoffs map of rule to cutoff); one row per stratum that has any.
+
+    Documents are counted by the cutoffs that they pass (at most 9 to the power of the rules, for each
+    stratum, whatever the input); sets are then tried on these counts.
+    """
+    t = [f"t{i}" for i in range(len(RULES))]
+    labels = picked(labels, _l="doc_id", quality="quality")
+    good = labels.where("_l is not null").groupBy("_l").agg(F.max("quality").alias("q")).where("q = 1").select("_l")
+    rows = measured.where(~base_failed(F.col("c"))).select("doc_id", "stratum", *[x.alias(n) for n, x in zip(t, passed(F.col("c")), strict=True)])
+    held = rows.join(good, rows.doc_id == good._l).groupBy("stratum", "doc_id").agg(*[F.min(n).alias(n) for n in t])
+    held, every = (settle(x.groupBy("stratum", *t).agg(F.count("*").alias("n"))) for x in (held, rows))
+    trials = settle(held.groupBy("stratum").agg(F.sum("n").alias("n")))
+    strata = max(1, trials.count())
 
     @F.pandas_udf("double")
     def chance(x: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([binomial_at_most(int(a), int(b), alpha) for a, b in zip(x, n, strict=True)], dtype="float64")
 
-    rows = per.select("stratum", "n", F.posexplode("lost").alias("level", "x")).withColumn("safe", chance("x", "n") <= delta / strata)
-    first_off = rows.groupBy("stratum").agg(F.min(F.when(~F.col("safe"), F.col("level"))).alias("off"))
-    level = F.coalesce("off", F.lit(LEVELS)) - 1
-    cutoffs = F.create_map(*[x for rule, cuts in RULES.items() for x in (F.lit(rule), F.element_at(F.array(*map(F.lit, cuts)), level + 1))])
-    return settle(first_off.where(level >= 0).select("stratum", cutoffs.alias("cutoffs")))
+    declared = [(idx, p, i, share * delta / strata) for idx, (p, i, share) in enumerate((p, i, share) for p, (path, share) in enumerate(zip(PATHS, SHARES, strict=True)) for i in range(len(path)))]
+    sets = measured.sparkSession.createDataFrame(declared, "idx int, path int, step int, level double")
+    same = lambda a: F.col("stratum").eqNullSafe(F.col(a))
+    lost = by_set(held, "x").join(trials.select(F.col("stratum").alias("_s"), "n"), same("_s")).join(F.broadcast(sets), "idx")
+    tested = lost.withColumn("safe", (chance("x", "n") <= F.col("level")).cast("int"))
+    w = Window.partitionBy("stratum", "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # a path of a stratum: some tens of rows
+    proven = tested.withColumn("ok", F.min("safe").over(w)).where("ok = 1").select("stratum", "idx")
+    gone = by_set(every, "gone").select(F.col("stratum").alias("_s"), F.col("idx").alias("_i"), "gone")
+    best = proven.join(gone, same("_s") & (F.col("idx") == F.col("_i"))).groupBy("stratum").agg(F.max(F.struct("gone", -F.col("idx"))).alias("b"))
+    chosen = F.element_at(F.expr(SETS), (1 - F.col("b.col2")).cast("int"))
+    cuts = F.array(*[F.array(*map(F.lit, cuts)) for cuts in RULES.values()])
+    names = F.array(*map(F.lit, RULES))
+    used = F.filter(F.transform(chosen, lambda s, i: F.struct(names[i].alias("rule"), F.when(s > 0, cuts[i][F.greatest(s - 1, F.lit(0))]).alias("cut"))), lambda e: e["cut"].isNotNull())
+    return settle(best.select("stratum", F.map_from_entries(used).alias("cutoffs")))
 
 
 def verdict(rows: DataFrame, cutoffs: DataFrame, counted: str = "c", stratum: str = "stratum") -> DataFrame:
@@ -190,7 +243,8 @@ def verdict(rows: DataFrame, cutoffs: DataFrame, counted: str = "c", stratum: st
 
 def judge(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", stratum_col="lang", **risk) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, rejected_by, kept."""
-    measured = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), counts(F.col(text_col)).alias("c")))
+    docs = picked(docs, doc_id=id_col, stratum=stratum_col, text=text_col)
+    measured = settle(docs.select("doc_id", "stratum", counts(F.col("text")).alias("c")))
     out = verdict(measured, thresholds(measured, labels, **risk))
     return out.select("doc_id", "c.*", "base_failed", "rejected_by", "kept")
 

@@ -54,7 +54,33 @@ def test_binomial_bound():
 def test_labels_needed():
     for strata in (1, 4, 100):
         n = quality.labels_needed(strata)
-        assert quality.binomial_at_most(0, n, quality.ALPHA) <= quality.DELTA / strata < quality.binomial_at_most(0, n - 1, quality.ALPHA)
+        level = quality.JOINT_SHARE * quality.DELTA / strata
+        assert quality.binomial_at_most(0, n, quality.ALPHA) <= level < quality.binomial_at_most(0, n - 1, quality.ALPHA)
+
+
+def test_paths_tighten_one_rule_a_step_and_share_the_error():
+    assert abs(sum(quality.SHARES) - 1) < 1e-12 and len(quality.SHARES) == len(quality.PATHS)
+    for path in quality.PATHS:
+        for before, now in zip([(0,) * 5, *path], path, strict=False):
+            assert sorted(b - a for a, b in zip(before, now, strict=True)) == [0, 0, 0, 0, 1]
+    assert quality.PATHS[0][-1] == tuple(map(len, quality.RULES.values()))
+
+
+def test_repeats_of_a_labelled_document_prove_nothing(spark):
+    clean, junk = " ".join(f"w{i}" for i in range(30)), " ".join(f"w{i}##" for i in range(30))
+    df = spark.createDataFrame([(1, clean, "en")] * 2000 + [(2, junk, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1, 0)] * 3, "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.kept for r in quality.judge(df, labels).collect()} == {1: True, 2: True}
+
+
+def test_a_rule_that_loses_good_documents_does_not_hold_back_the_others(spark):
+    """Good documents are full of symbols: all rules together stop there, the path without that rule goes on."""
+    rows = [(i, " ".join(f"w{j}" + "#" * (3 * (i % 2)) for j in range(30)) + f" {i}", "en") for i in range(3000)]
+    rows += [(9000 + i, " ".join(x for j in range(15) for x in (f"v{j}", f"v{j}")) + f" {i}", "en") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(df, spark.createDataFrame([(i, 1, 0) for i in range(3000)], "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[i].kept for i in range(3000))
+    assert all(got[9000 + i].rejected_by == ["stuttered_words"] for i in range(40))
 
 
 CLASHING = ("kept", "base_failed", "rejected_by", "_counted", "counted", "_stratum", "_cutoffs", "stratum", "c0", "c")
