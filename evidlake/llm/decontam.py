@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import few, let, plain, settle
+from .shared import few, let, picked, plain, settle
 
 #: Words are runs of anything else, in lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -115,9 +115,9 @@ def contaminate(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col=
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and `carry`."""
     extra = list(carry or {})
     if not carry:
-        docs, name = plain(docs.select(id_col, text_col))
+        docs, name = plain(docs)
         id_col, text_col = name(id_col), name(text_col)
-    pool = settle(items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0))
+    pool = settle(picked(items, item=item_col, text=item_text).where("item is not null").select("item", words(F.col("text")).alias("w")).where(F.size("w") > 0))
     shorts = [r.n for r in pool.where(F.size("w") < span).select(F.size("w").alias("n")).distinct().orderBy("n").collect()]  # at most span - 1 lengths
     schemes = [(k, span - k + 1, span)] + [(n, 1, n) for n in shorts]
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import memo, settle
+from .shared import memo, picked, settle
 
 THRESHOLD = 0.8
 FILE_NAME = r"(?i)^(licen[sc]e|copying|unlicense)([-._].*)?$"
@@ -161,6 +161,7 @@ def notices(text: Column) -> Column:
 
 def scan(files: DataFrame, *, id_col="doc_id", path_col="path", text_col="text") -> DataFrame:
     """One row per file: id, path, license, score, origin (header, file, inherited, none), licenses, from_folder."""
+    files, id_col, path_col, text_col = picked(files, id=id_col, path=path_col, text=text_col), "id", "path", "text"
     parts = F.filter(F.split(F.coalesce(F.col(path_col), F.lit("")), "/"), lambda x: (x != "") & (x != "."))
     folder = F.when(F.size(parts) > 0, F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/"))
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), folder.alias("folder"), F.element_at(F.when(F.size(parts) > 0, parts), -1).alias("base"), notices(F.col(text_col)).alias("n"))

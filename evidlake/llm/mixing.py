@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE_WORD, few, plain, settle, stored
+from .shared import SPACE_WORD, few, picked, plain, settle, stored
 
 KEY_BUCKETS = 4096
 SOURCE_WEIGHTS = (5, 2, 1)
@@ -139,7 +139,7 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
 
     quality: (doc_id, weight double > 0), at most one row per id; documents without one weigh 1.
     """
-    rows, name = plain(docs.select(id_col, text_col, source_col))
+    rows, name = plain(docs)
     base = settle(_keyed(rows, name(id_col), name(text_col), name(source_col), quality, seed).select("doc_id", "source", "size", "_key", "_range"))
     out = _with_copies(base, _places(base, weights, max_epochs))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -147,7 +147,7 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
 
 def label_weights(labels: DataFrame) -> DataFrame:
     """Quality weights from labels: 2 for good, 0.5 for bad; several labels of an id count as the best."""
-    best = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("q"))
+    best = picked(labels, doc_id="doc_id", quality="quality").where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("q"))
     return best.select("doc_id", F.when(F.col("q") == 1, 2.0).when(F.col("q") == 0, 0.5).otherwise(1.0).alias("weight"))
 
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import memo, new_folder, open_fs, pieces, settle
+from .shared import memo, new_folder, open_fs, picked, pieces, settle
 from .tokens import END, WordTokens
 
 BLOCK_BYTES = 64 << 10
@@ -200,7 +200,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, id_col="doc_id
     """Writes all documents to shards in a folder; (shard, path, entries, tokens), one row per shard, settled."""
     n = shards or pieces(docs, SHARD_BYTES)
     # The hash splits an identifier that repeats very often over several ranges, the input's part rows that repeat.
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.spark_partition_id().alias("part"), F.col(text_col).cast("binary").alias("text"))
+    docs = picked(docs, doc_id=id_col, text=text_col)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("part"), F.col("text").cast("binary").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("part")]
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("part")
 

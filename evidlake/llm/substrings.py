@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces
+from .shared import picked, pieces
 from .wordhash import BASE, OTHER, hash_words, mixed, windows
 
 SPAN = 35
@@ -97,6 +97,7 @@ def cut_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", span: int
     """One row per document: doc_id, text (kept words, one space between), n_words, n_removed, spans of removed words."""
     block = (span + 1) // 2
     n = groups or pieces(docs, GROUP_BYTES, most=MAX_GROUPS)
+    docs, id_col, text_col = picked(docs, doc_id=id_col, text=text_col), "doc_id", "text"
 
     def send_probes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, _, h, lengths = _texts(table, span)

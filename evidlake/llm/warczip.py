@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import few, new_folder, open_fs, settle
+from .shared import few, new_folder, open_fs, picked, settle
 
 LEAST_BYTES = 1000
 PACKAGE_BYTES = 64 << 20
@@ -233,5 +233,6 @@ def _row(package: StoredZip, start: int, entry: dict) -> dict:
 
 def archive_pages(pages: DataFrame, *, folder: str | None = None, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Writes the packages and reads every record back."""
+    pages = picked(pages, page_id="page_id", url="url", html="html")
     packages = write_packages(pages, folder or new_folder(pages.sparkSession, "page-packages"), least_bytes)
     return read_packages(packages, pages.schema["page_id"].dataType.simpleString())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import memo
+from .shared import memo, picked
 
 END_SYMBOL = 256
 CACHE_WORDS = 300_000
@@ -157,4 +157,4 @@ def token_counts(text: Column, path: str) -> Column:
 
 
 def count_tokens(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), token_counts(F.col(text_col), path).alias("c")).select("doc_id", "c.*")
+    return picked(docs, doc_id=id_col, text=text_col).select("doc_id", token_counts(F.col("text"), path).alias("c")).select("doc_id", "c.*")
