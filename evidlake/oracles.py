@@ -208,4 +208,4 @@ SQL |= {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {"indexed_vector_topk": SQL["batch_vector_topk"]}

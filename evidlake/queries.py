@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import numbers, text
-from .operators import evaluation, evidence, hybrid, runs, usage
+from .operators import evaluation, evidence, hybrid, ivf, runs, usage
 from .operators import text as search
 from .operators import vector as vectors
 from .plans import new_folder
@@ -167,6 +167,14 @@ def batch_vector_topk(spark, d):
     return vectors.batch_topk(q, e, 5).select("qid", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
+def indexed_vector_topk(spark, d):
+    """The same neighbours as batch_vector_topk, from a stored index."""
+    e = embedded(spark, d)
+    index = ivf.build(e, new_folder(spark, "vector-index"))
+    q = e.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("qid"), "embedding")
+    return ivf.topk(index, q, 5).select("qid", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
 def text_match_count(spark, d):
     return search.matching(chunks(spark, d), TERMS).agg(F.count("*").alias("n"))
 
@@ -591,7 +599,7 @@ def assembled_texts(spark, d):
 def queries() -> dict:
     names = (
         count_window, count_merged, count_labels, coverage_by_field, count_with_coverage, list_releases_prefix, list_releases_total, release_diff, release_diff_total,
-        find_regressions, regressions_total, issue_fixes, export_links, link_adjacency, tenant_scoped_count, exact_vector_topk, batch_vector_topk, text_match_count, text_topk_tf, text_index_topk,
+        find_regressions, regressions_total, issue_fixes, export_links, link_adjacency, tenant_scoped_count, exact_vector_topk, batch_vector_topk, indexed_vector_topk, text_match_count, text_topk_tf, text_index_topk,
         hybrid_topk, hybrid_topk_cd, hybrid_filtered, rrf_fusion, unembedded_chunks, normalise_text, strip_comments, chunk_documents, artefact_keys, citation_markers, unresolved_markers,
         content_words_overlap, declined_answers, citation_metrics, collapse_first_appearance, arm_scores, mrr_by_type, latency_percentiles, arm_summary, paired_deltas, bootstrap_ci_hash,
         bootstrap_ci_exact, verdicts, largest_remainder, stratified_first_n, determinism_changes, exploratory_pairs, gate_grade, failover_verdict, usage_totals, usage_reconcile, daily_budget,
