@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import routine_bump
+from ..plans.scan import Ranges
 
 LEAST_TOKENS = 40
 
@@ -65,7 +66,9 @@ def draw(candidates: DataFrame, quotas: dict[str, int], seed: int, *, least_toke
     fit = candidates.where((F.col("token_count") >= least_tokens) & ~F.coalesce(routine, F.lit(False))).select("entity_type", "artefact").distinct()
     quota = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])[F.col("entity_type")]
     w = Window.partitionBy("entity_type").orderBy("_o", "artefact")
-    drawn = fit.withColumn("_o", digest_order(F.col("artefact"), seed)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= quota).drop("_o")
+    most = max(quotas.values(), default=0)  # a bound that is a literal, so that each task sends so many rows of a type at most
+    placed = fit.withColumn("_o", digest_order(F.col("artefact"), seed)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    drawn = placed.where(F.col("place") <= quota).drop("_o")
     wanted = candidates.sparkSession.createDataFrame(list(quotas.items()) or [("", 0)], "entity_type string, quota int")
     dry = drawn.groupBy("entity_type").agg(F.count("*").alias("n")).join(F.broadcast(wanted), "entity_type", "right").where(F.coalesce("n", F.lit(0)) < F.col("quota")).select("entity_type").collect()
     if dry:
@@ -90,7 +93,7 @@ def cost_faults(calls: DataFrame, recorded: str = "recorded_usd", computed: str
 
 def overlaps(intervals: DataFrame, *, key: list[str], start: str, end: str) -> DataFrame:
     """(key..., intervals, overlapping, monotone): how many intervals begin before an earlier one ended, and whether ends rise too."""
-    w = Window.partitionBy(*key).orderBy(start, end)
-    seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = intervals.withColumn("_over", F.coalesce(F.col(start) < seen, F.lit(False))).withColumn("_back", F.coalesce(F.col(end) < seen, F.lit(False)))
-    return rows.groupBy(*key).agg(F.count("*").alias("intervals"), F.count_if("_over").alias("overlapping"), (F.count_if("_back") == 0).alias("monotone"))
+    cut = Ranges(intervals.select(*key, start, end), key, [start, end])
+    rows = cut.largest(cut.rows, end, "_seen", before=True)
+    over, back = (F.coalesce(F.col(c) < F.col("_seen"), F.lit(False)) for c in (start, end))
+    return rows.groupBy(*key).agg(F.count("*").alias("intervals"), F.count_if(over).alias("overlapping"), (F.count_if(back) == 0).alias("monotone"))

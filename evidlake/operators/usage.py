@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vector import new_folder
+from ..plans.scan import Ranges
 
 
 def totals_by_label(rows: DataFrame, labels: DataFrame, *, key="caller", value="total", other="other") -> DataFrame:
@@ -29,8 +29,9 @@ def daily_budget(usage: DataFrame, budget: int | Column, *, tenant="tenant_id",
 
 def running_budget(usage: DataFrame, budget: int, *, key: list[str], order: list[str], tokens="tokens") -> DataFrame:
     """Each request with what was used before it, and whether it was let through: the check comes before the spending."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return usage.withColumn("used_before", F.coalesce(F.sum(tokens).over(w), F.lit(0)).cast("long")).withColumn("allowed", F.col("used_before") < budget)
+    cut = Ranges(usage, key, order)
+    out = cut.summed(cut.rows, tokens, "used_before", before=True).withColumn("used_before", F.col("used_before").cast("long"))
+    return out.withColumn("allowed", F.col("used_before") < budget).select(*usage.columns, "used_before", "allowed")
 
 
 def call_cost(calls: DataFrame, rates: DataFrame, *, on: list[str], at: str) -> DataFrame:
@@ -60,41 +61,25 @@ def failover(runs: DataFrame, *, least_failures: int = 14, least_successes: int
 
 def streaks(rows: DataFrame, *, key: list[str], order: list[str], value: str) -> DataFrame:
     """(key..., value, first, last, length): runs of equal neighbours by order; nulls end a run and make none."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    changed = (~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int")
-    marked = rows.withColumn("_new", changed).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.where(F.col(value).isNotNull()).groupBy(*key, "_run", value).agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("length")).drop("_run")
+    cut = Ranges(rows, key, order)
+    marked = cut.lagged(cut.rows, F.col(value), "_before")
+    marked = marked.withColumn("_new", (F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col("_before.v"))).cast("int"))
+    runs = cut.summed(marked, "_new", "_run")
+    return runs.where(F.col(value).isNotNull()).groupBy(*key, "_run", value).agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("length")).drop("_run")
 
 
 def gaps(rows: DataFrame, *, key: list[str], at: str, least_seconds: float) -> DataFrame:
     """(key..., samples, least_gap, spaced): the smallest gap between ordered samples, in seconds."""
-    w = Window.partitionBy(*key).orderBy(at)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    g = rows.withColumn("_g", (micros(at) - F.lag(micros(at)).over(w)) / 1e6)
+    cut = Ranges(rows.select(*key, at), key, [at])
+    g = cut.lagged(cut.rows, F.col(at), "_before").withColumn("_g", (micros(at) - micros("_before.v")) / 1e6)
     return g.groupBy(*key).agg(F.count("*").alias("samples"), F.min("_g").alias("least_gap")).withColumn("spaced", F.coalesce(F.col("least_gap") >= least_seconds, F.lit(True)))
 
 
 def running_max(rows: DataFrame, *, key: list[str], order: list[str], value: str) -> DataFrame:
-    """A cursor that never goes back: the largest value so far.
-
-    Rows are cut into ranges of (key, order), written once into the shared folder; the largest values of
-    the ranges before are one row per key and range, so that a window sorts a range only and a hot key
-    is spread over tasks.
-    """
-    spark = rows.sparkSession
-    folder = new_folder(spark, "ranges")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows.repartitionByRange(parts, *key, *order).withColumn("_range", F.spark_partition_id()).write.parquet(folder)
-    cut = spark.read.parquet(folder)
-    most = cut.groupBy(*key, "_range").agg(F.max(value).alias("_most"))
-    earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = most.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_range").alias("_r"), F.max("_most").over(earlier).alias("_before"))
-    same = F.col("_range") == F.col("_r")
-    for i, k in enumerate(key):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    upto = Window.partitionBy(*key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    within = cut.withColumn("cursor", F.max(value).over(upto))
-    return within.join(before, same, "left").withColumn("cursor", F.greatest("cursor", "_before")).select(*rows.columns, "cursor")
+    """A cursor that never goes back: the largest value so far."""
+    cut = Ranges(rows, key, order)
+    return cut.largest(cut.rows, value, "cursor").select(*rows.columns, "cursor")
 
 
 def seen_within(uploads: DataFrame, observed: DataFrame, seconds: int, *, key: str, at: str = "ts", seen: str = "ts") -> DataFrame:

@@ -102,6 +102,8 @@ SQL = {
         SELECT user_id, kind, min(ts) AS first, count(*) AS length FROM r WHERE kind IS NOT NULL GROUP BY user_id, run, kind HAVING count(*) >= 3""",
     "gap_checks": "SELECT user_id, count(*) AS samples, round(min(g), 6) AS least_gap, coalesce(min(g) >= 30, true) AS spaced FROM (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS g FROM events) GROUP BY 1",
     "cursor_watermark": "SELECT event_id, max(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS cursor FROM events",
+    "keyed_state": """WITH b AS (SELECT user_id, event_id % 4 AS b, max(event_id) FILTER (event_type <> 'error') AS last FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY b DESC) AS n FROM b)
+        SELECT e.user_id, e.event_id, e.value FROM r JOIN events e ON r.last = e.event_id WHERE n = 1""",
     "deadline_seen": "SELECT u.event_id, min(o.ts) AS first_seen, min(o.ts) IS NOT NULL AS in_time FROM events u LEFT JOIN events o ON o.event_type = 'view' AND o.user_id = u.user_id AND o.ts >= u.ts AND o.ts <= u.ts + INTERVAL 7200 SECOND WHERE u.event_type = 'click' GROUP BY 1",
     "poison_within": "SELECT count(*) AS uploads, count(s) AS in_time FROM (SELECT u.event_id, min(o.ts) AS s FROM events u LEFT JOIN events o ON o.event_type = 'view' AND o.user_id = u.user_id AND o.ts >= u.ts AND o.ts <= u.ts + INTERVAL 36000 SECOND WHERE u.event_type = 'click' GROUP BY 1)",
     "dead_letter_due": "SELECT event_id AS chunk_id, CAST(event_id % 7 AS INT) AS attempts FROM events WHERE event_id % 7 < 5 AND ts <= '2024-01-10'",

@@ -17,6 +17,7 @@ from .operators import evaluation, evidence, hybrid, ivf, runs, usage
 from .operators import text as search
 from .operators import vector as vectors
 from .plans import new_folder
+from .streaming import keyed
 
 SINCE, UNTIL = datetime(1996, 1, 1), datetime(1998, 1, 1)
 TERMS = ["the", "and", "tion"]
@@ -514,6 +515,16 @@ def cursor_watermark(spark, d):
     return usage.running_max(_t(spark, d, "events"), key=["event_type"], order=["event_id"], value="value").select("event_id", "cursor")
 
 
+def keyed_state(spark, d):
+    """Four batches of events by user: the last event of a batch is kept, a user with errors alone is deleted by it."""
+    e = _t(spark, d, "events")
+    table = keyed.KeyedTable(spark, new_folder(spark, "keyed"), "user_id long, event_id long, value double", ["user_id"], ["event_id"])
+    for b in range(4):
+        part = e.where(F.col("event_id") % 4 == b)
+        table.apply(f"batch {b}", part.where("event_type <> 'error'"), part.where("event_type = 'error'"))
+    return table.read()
+
+
 def _seen(spark, d, seconds):
     e = _t(spark, d, "events")
     up = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
@@ -603,7 +614,7 @@ def queries() -> dict:
         hybrid_topk, hybrid_topk_cd, hybrid_filtered, rrf_fusion, unembedded_chunks, normalise_text, strip_comments, chunk_documents, artefact_keys, citation_markers, unresolved_markers,
         content_words_overlap, declined_answers, citation_metrics, collapse_first_appearance, arm_scores, mrr_by_type, latency_percentiles, arm_summary, paired_deltas, bootstrap_ci_hash,
         bootstrap_ci_exact, verdicts, largest_remainder, stratified_first_n, determinism_changes, exploratory_pairs, gate_grade, failover_verdict, usage_totals, usage_reconcile, daily_budget,
-        running_budget, call_cost_dated, error_streaks, gap_checks, cursor_watermark, deadline_seen, poison_within, dead_letter_due, backoff_schedule, stale_keys, multiset_equal, upsert_latest,
+        running_budget, call_cost_dated, error_streaks, gap_checks, cursor_watermark, keyed_state, deadline_seen, poison_within, dead_letter_due, backoff_schedule, stale_keys, multiset_equal, upsert_latest,
         minute_usage, sliding_usage, session_usage, verdict_conjunction, exact_cover, type_arm_rollup, assembled_texts,
         link_neighbours, unembedded_page, dead_letter_chunks, compare_metrics, run_faults, worker_faults, search_vectors, draw_questions, audit_by_type, cost_faults, order_overlaps,
     )
