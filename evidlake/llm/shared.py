@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import posixpath
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Most rows of a batch that goes to Python.
+BATCH_ROWS = 2000
+
 #: Most rows of a pair of keys that are sent to every executor; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Most bytes that strings among them may have.
@@ -46,16 +50,30 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is computed inside goes to Python in batches of BATCH_ROWS rows at most: whole texts make large ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Computes a frame once, into the shared folder, so that lost executors don't cost its lineage."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A frame written once as Parquet in the shared folder and reread, so that later passes read the columns they need."""
     folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    with small_batches(df.sparkSession):
+        df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
 
 
