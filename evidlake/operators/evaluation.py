@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import settled, verdict
 from ..functions.text import let, markers
 from ..plans import numbered, settle
+from ..plans.ranks import at_ranks, middle, nearest
 
 HITS = 50
 RESAMPLES = 10_000
@@ -55,13 +56,29 @@ def nearest_rank(col: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY {col})")
 
 
+def arm_means(scores: DataFrame, *by: str) -> DataFrame:
+    """n, errors and means per arm (and more groups)."""
+    return scores.groupBy("arm", *by).agg(F.count("top1").alias("n"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.avg("top1").alias("top1"), F.avg("rr").alias("mrr"), F.avg("lenient_top1").alias("lenient_top1"), F.count("margin").alias("margin_n"))
+
+
 def arm_figures(scores: DataFrame, *by: str) -> DataFrame:
     """n, means, errors, median margin and latency percentiles per arm (and more groups)."""
-    return scores.groupBy("arm", *by).agg(
-        F.count("top1").alias("n"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.avg("top1").alias("top1"), F.avg("rr").alias("mrr"), F.avg("lenient_top1").alias("lenient_top1"),
-        F.median("margin").alias("median_margin"), F.count("margin").alias("margin_n"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ms) FILTER (WHERE error IS NULL)").alias("p50_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ms) FILTER (WHERE error IS NULL)").alias("p95_ms"),
-    )
+    keys = ["arm", *by]
+    scores = settle(scores)
+    means = arm_means(scores, *by)
+    lower, upper = middle()
+    margin = at_ranks(scores, "margin", {"_lower": lower, "_upper": upper}, keys).select(*keys, ((F.col("_lower") + F.col("_upper")) / 2).alias("median_margin"))
+    ms = at_ranks(scores.where("error is null"), "ms", {"p50_ms": nearest(50), "p95_ms": nearest(95)}, keys).drop("n")
+    return beside(beside(means, margin, keys), ms, keys).select(*keys, "n", "errors", "top1", "mrr", "lenient_top1", "median_margin", "margin_n", "p50_ms", "p95_ms")
+
+
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join on keys that may be null."""
+    r = right.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_r{i}"))
+    return left.join(r, same, "left").drop(*[f"_r{i}" for i in range(len(keys))])
 
 
 def paired(values: DataFrame, x: str, y: str, *, key: list[str], value: str = "value", arm: str = "arm") -> DataFrame:
@@ -251,14 +268,16 @@ def summarise(outcomes: DataFrame) -> DataFrame:
     un = fine & (F.col("category") == "unanswerable")
     metrics = ("citation_recall", "citation_precision", "groundedness", "must_contain")
     seen = F.when(fine & F.col("filtered_stage").isNull(), F.col("model"))
-    return outcomes.groupBy("arm").agg(
+    outcomes = settle(outcomes)
+    figures = outcomes.groupBy("arm").agg(
         F.count("*").alias("outcome_count"), F.count_if(~fine).alias("error_count"), F.count_if("no_reply").alias("no_reply_count"), F.count_if(F.col("filtered_stage").isNotNull()).alias("filtered_count"),
         *[F.avg(metric_value(m)).alias(f"mean_{m}") for m in metrics], *[F.count(metric_value(m)).alias(f"{m}_count") for m in metrics],
         F.count_if(fine & F.col("groundedness").isNull() & F.col("groundedness_reason").isNotNull()).alias("judge_failure_count"),
         F.count_if(un & F.col("unanswerable_handled")).alias("unanswerable_handled"), F.count_if(un).alias("unanswerable_total"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms) FILTER (WHERE error IS NULL)").alias("p50_latency_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms) FILTER (WHERE error IS NULL)").alias("p95_latency_ms"),
         F.avg(F.when(fine, F.col("cost_usd"))).alias("mean_cost_usd_per_query"), F.sum("cost_usd").alias("total_cost_usd"), F.sort_array(F.collect_set(seen)).alias("models_seen"),
     )
+    latency = at_ranks(outcomes.where(fine), "latency_ms", {"p50_latency_ms": nearest(50), "p95_latency_ms": nearest(95)}, ["arm"]).drop("n")
+    return beside(figures, latency, ["arm"])
 
 
 def admissible(outcomes: DataFrame, expected: dict[str, str]) -> DataFrame:

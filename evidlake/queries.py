@@ -16,7 +16,7 @@ from .functions import numbers, text
 from .operators import evaluation, evidence, hybrid, ivf, runs, usage
 from .operators import text as search
 from .operators import vector as vectors
-from .plans import new_folder
+from .plans import new_folder, ranks
 from .streaming import keyed
 
 SINCE, UNTIL = datetime(1996, 1, 1), datetime(1998, 1, 1)
@@ -323,13 +323,13 @@ def arm_scores(spark, d):
 
 def mrr_by_type(spark, d):
     s = _scores(spark, d).join(_questions(spark, d).select("qid", "entity_type"), "qid")
-    out = evaluation.arm_figures(s, "entity_type")
+    out = evaluation.arm_means(s, "entity_type")
     return out.select("arm", "entity_type", "n", "errors", F.round("top1", 9).alias("top1"), F.round("mrr", 9).alias("mrr"))
 
 
 def latency_percentiles(spark, d):
     e = _t(spark, d, "events").withColumn("ms", F.col("value"))
-    return e.groupBy("event_type").agg(evaluation.nearest_rank("ms", 0.5).alias("p50"), evaluation.nearest_rank("ms", 0.95).alias("p95"), F.count("*").alias("n"))
+    return ranks.at_ranks(e, "ms", {"p50": ranks.nearest(50), "p95": ranks.nearest(95)}, ["event_type"]).select("event_type", "p50", "p95", "n")
 
 
 def _outcomes(spark, d):
