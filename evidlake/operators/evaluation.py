@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import twister
 from ..functions.numbers import settled, verdict
 from ..functions.text import let, markers
 from ..plans import numbered, settle
@@ -23,6 +26,8 @@ HITS = 50
 RESAMPLES = 10_000
 #: Draws of a replicate that are listed together.
 DRAWS = 1000
+#: Tasks that share the replicates of an exact interval.
+TASKS = 32
 #: The quality metrics, in the order in which they are reported.
 QUALITY_METRICS = ("citation_recall", "citation_precision", "groundedness", "must_contain")
 
@@ -117,20 +122,42 @@ def determinism(first: DataFrame, repeat: DataFrame, limit: int = 3) -> DataFram
     return out.withColumn("caveat", F.col("changed") > limit)
 
 
-def bootstrap_exact(deltas: DataFrame, *, by: str = "comparison", order: str = "qid", value: str = "delta", resamples: int = RESAMPLES, seed: int = 20261002) -> DataFrame:
-    """(by, n, mean, ci_low, ci_high) with the standard library's generator, draw for draw.
+def bootstrap_exact(deltas: DataFrame, *, by: str = "comparison", order: str = "qid", value: str = "delta", resamples: int = RESAMPLES, seed: int = 20261002, tasks: int = TASKS) -> DataFrame:
+    """(by, n, mean, ci_low, ci_high) with the standard library's generator, draw for draw, replicates spread over tasks.
 
-    A group is one comparison's per-question deltas (hundreds); for larger ones use bootstrap_hashed.
+    Every comparison draws from the seed anew. Tasks start at their own replicate: the generator's state
+    there is found by a jump (see functions.twister). A task holds the deltas of one comparison, 8 bytes
+    each; for comparisons beyond that use bootstrap_hashed. Comparisons are few: their sizes reach the driver.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        values = group.sort_values(order)[value].tolist()
-        rng, n = random.Random(seed), len(values)
-        means = sorted(math.fsum(rng.choices(values, k=n)) / n for _ in range(resamples))
-        at = lambda p: round(means[min(resamples - 1, max(0, math.ceil(p * resamples / 1000) - 1))], 12) + 0.0
-        return pd.DataFrame({by: [group[by].iloc[0]], "n": [n], "mean": [round(math.fsum(values) / n, 12) + 0.0], "ci_low": [at(25)], "ci_high": [at(975)]})
-
-    return deltas.groupBy(by).applyInPandas(run, f"{by} {deltas.schema[by].dataType.simpleString()}, n long, mean double, ci_low double, ci_high double")
+    spark, kind = deltas.sparkSession, deltas.schema[by].dataType
+    packed = deltas.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("d")))), lambda x: x["d"]).alias("d"))
+    packed = settle(packed)
+    sizes = packed.select("k", F.size("d").alias("n")).collect()
+    if not sizes:
+        return spark.createDataFrame([], f"{by} {kind.simpleString()}, n long, mean double, ci_low double, ci_high double")
+    each = -(-resamples // max(1, min(tasks, resamples)))
+    starts = range(0, resamples, each)
+    parts = []
+    for n in sorted({r.n for r in sizes}):
+        parts += [(n, first, min(each, resamples - first), bytearray(s.tobytes())) for first, s in zip(starts, twister.states(seed, 2 * n * each, len(starts)), strict=True)]
+    chunks = spark.createDataFrame(parts, "n int, first int, count int, state binary")
+    work = packed.join(chunks, F.size("d") == F.col("n")).repartition(len(parts), "k", "first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                r = {c: batch.column(c)[row] for c in ("k", "d", "count", "state")}
+                d = r["d"].values.to_numpy()
+                g = twister.generator(np.frombuffer(r["state"].as_py(), dtype=np.uint32))
+                means = [math.fsum(d[np.floor(g.random_sample(len(d)) * float(len(d))).astype(np.int64)].tolist()) / len(d) for _ in range(r["count"].as_py())]
+                yield pa.RecordBatch.from_arrays([pa.array([r["k"].as_py()], batch.schema.field("k").type), pa.array([means], pa.list_(pa.float64()))], names=["k", "means"])
+
+    drawn = work.select("k", "d", "count", "state").mapInArrow(run, f"k {kind.simpleString()}, means array<double>")
+    ends = drawn.groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("means"))).alias("m"))  # as many numbers as there are replicates
+    at = lambda p: F.round(F.element_at("m", min(resamples - 1, max(0, math.ceil(p * resamples / 1000) - 1)) + 1), 12) + 0.0
+    exact = F.udf(lambda d: round(math.fsum(d) / len(d), 12) + 0.0, "double")
+    means = packed.select(F.col("k").alias("_k"), F.size("d").cast("long").alias("n"), exact("d").alias("mean"))
+    return means.join(ends, F.col("_k").eqNullSafe(F.col("k"))).select(F.col("_k").alias(by), "n", "mean", at(25).alias("ci_low"), at(975).alias("ci_high"))
 
 
 def bootstrap_hashed(deltas: DataFrame, *, by: list[str] = (), order: str = "qid", value: str = "delta", resamples: int = 200, seed: int = 7) -> DataFrame:

@@ -56,8 +56,8 @@ def test_bumps_and_leaks(spark):
     df = spark.createDataFrame(rows, "k string, t string, want boolean")
     assert all(r.want == r.got for r in df.withColumn("got", text.routine_bump(F.col("k"), F.col("t"))).collect())
     leaks = [
-        ("see issue 14111.", "issue", "14111", True), ("1.14111 and 141110", "issue", "14111", False), ("#14111?", "issue", "14111", True), ("what abcdef1 did", "commit", "abcdef1234", True), ("what abcdef did", "commit", "abcdef1234", False),
-        ("in v1.79.0 of it", "release", "lib-1.79.0-preview.1", True), ("in 1.79.01", "release", "dotnet-1.79.0-preview.1", False), ("look at pull/9x", "issue", "9", False), ("look at pull/9", "issue", "9", True), ("a.c", "release", "abc", False),
+        ("about 52207.", "issue", "52207", True), ("1.52207 and 522070", "issue", "52207", False), ("#52207?", "issue", "52207", True), ("what abcdef1 did", "commit", "abcdef1234", True), ("what abcdef did", "commit", "abcdef1234", False),
+        ("in v3.14.2 of it", "release", "core-3.14.2-beta.4", True), ("in 3.14.21", "release", "tool-3.14.2-beta.4", False), ("look at pull/9x", "issue", "9", False), ("look at pull/9", "issue", "9", True), ("a.c", "release", "abc", False),
     ]
     df = spark.createDataFrame(leaks, "q string, k string, key string, want boolean")
     assert [(r.q, r.got) for r in df.withColumn("got", text.key_leaks(F.col("q"), F.col("k"), F.col("key"))).collect()] == [(q, w) for q, _, _, w in leaks]

@@ -124,10 +124,16 @@ def test_json_lines_frozen_sets_and_guards(spark, tmp_path):
         f.write(" ")
     with pytest.raises(ValueError, match="frozen"):
         files.read_frozen(spark, path, "qid string")
-    for bad in ("id 01234567-89ab-cdef-0123-456789abcdef", "to a.b@example.org", "the SECRET"):
-        with pytest.raises(ValueError):
-            files.write_guarded(bad, f"{tmp_path}/r.md", ("secret",))
-    files.write_guarded("fine", f"{tmp_path}/r.md", ("secret",))
+    texts = ["ID 01234567-89AB-cdef-0123-456789abcdef", "to a.b@example.org", "the SECRET", "at Node-1.internal.example", None, "fine", "0123-internal.examples"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n long, text string")
+    what = {"hosts": ("internal.example",), "forbidden": ("secret", "")}
+    got = files.identifiers(rows, ["text", "n"], **what)
+    assert sorted(map(tuple, got.collect())) == [("text", "address", 1), ("text", "forbidden", 1), ("text", "guid", 1), ("text", "host", 1)]
+    with pytest.raises(ValueError, match="text holds guid in 1 rows") as e:
+        files.write_published(rows, f"{tmp_path}/r", ["text"], **what)
+    assert "0123" not in str(e.value)
+    files.write_published(rows.where("n > 3"), f"{tmp_path}/r", ["text"], **what)
+    assert spark.read.json(f"{tmp_path}/r").count() == 3
     files.write_junit([("a", None), ("b", "x<y")], f"{tmp_path}/j.xml", "gate")
     assert 'failures="1"' in (tmp_path / "j.xml").read_text()
     with pytest.raises(FileExistsError):
