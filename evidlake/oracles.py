@@ -65,6 +65,9 @@ SQL = {
     "text_match_count": f"WITH {_tf(['the', 'and', 'tion'])} SELECT count(*) AS n FROM m",
     "text_topk_tf": f"WITH {_tf(['the', 'and', 'tion'])} SELECT * FROM m ORDER BY text_score DESC, chunk_id LIMIT 20",
     "text_index_topk": f"WITH {_tf(['the', 'and', 'tion'])} SELECT * FROM m ORDER BY text_score DESC, chunk_id LIMIT 20",
+    "text_index_search": """WITH w AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        n AS (SELECT chunk_id, len(list_filter(list_zip(w, w[2:]), lambda z: z[1] = 'the' AND z[2] = 'and')) AS a, len(list_filter(list_zip(w, w[2:]), lambda z: z[1] = 'of' AND z[2] = 'the')) AS b, len(list_filter(list_zip(w, w[2:]), lambda z: z[1] = 'the' AND z[2] = 'to')) AS c FROM w)
+        SELECT chunk_id, CAST(greatest(a, b) AS BIGINT) AS text_score FROM n WHERE greatest(a, b) > 0 AND c = 0 ORDER BY 2 DESC, 1 LIMIT 40""",
     "hybrid_topk": _blend("SELECT doc_id AS chunk_id FROM documents") + " SELECT chunk_id, lang AS entity_type, round(vector_score, 9) AS vector_score, text_score, round(blended, 9) AS blended, text_match_count FROM k JOIN documents ON chunk_id = doc_id, n",
     "hybrid_filtered": _blend("SELECT doc_id AS chunk_id FROM documents WHERE lang = 'en' AND doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN '1996-01-01' AND '1998-01-01') AND doc_id IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name ILIKE '%RED%')") + " SELECT chunk_id, round(vector_score, 9) AS vector_score, text_score, round(blended, 9) AS blended, text_match_count FROM k, n",
     "rrf_fusion": f"WITH {_tf(['the'])}, l AS (SELECT chunk_id, row_number() OVER (ORDER BY s DESC, chunk_id) AS r FROM (SELECT vec_id AS chunk_id, {COSINE} AS s FROM embeddings ORDER BY 2 DESC, 1 LIMIT 50) UNION ALL SELECT chunk_id, row_number() OVER (ORDER BY text_score DESC, chunk_id) FROM (SELECT * FROM m ORDER BY text_score DESC, chunk_id LIMIT 50)) SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS fused FROM l GROUP BY 1",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import numbers, text
-from .operators import evaluation, evidence, hybrid, ivf, runs, usage
+from .operators import evaluation, evidence, hybrid, ivf, runs, textindex, usage
 from .operators import text as search
 from .operators import vector as vectors
 from .plans import new_folder, ranks
@@ -21,6 +21,8 @@ from .streaming import keyed
 
 SINCE, UNTIL = datetime(1996, 1, 1), datetime(1998, 1, 1)
 TERMS = ["the", "and", "tion"]
+#: Two phrases of which one is wanted, and one that excludes.
+PHRASES = [("the", "and"), ("of", "the"), ("the", "to")]
 
 
 def _t(spark, d, name) -> DataFrame:
@@ -192,6 +194,13 @@ def text_index_topk(spark, d):
     return found.orderBy(F.desc("text_score"), "chunk_id").limit(20).select("chunk_id", F.col("text_score").cast("long").alias("text_score"))
 
 
+def text_index_search(spark, d):
+    """Phrases and an exclusion from a stored index of plain words; a way of one phrase scores its occurrences."""
+    index = textindex.write_index(chunks(spark, d), new_folder(spark, "text-index"), stemmed=False, stop=frozenset())
+    asked = search.Search(any_of=[[PHRASES[0]], [PHRASES[1]]], none_of=[PHRASES[2]])
+    return textindex.search_index(index, asked, k=40).withColumn("text_score", F.col("text_score").cast("long"))
+
+
 def _request(spark, d, **more):
     return hybrid.Request("the and", list(_query_vector(spark, d)), k=15, **more)
 
@@ -610,7 +619,7 @@ def assembled_texts(spark, d):
 def queries() -> dict:
     names = (
         count_window, count_merged, count_labels, coverage_by_field, count_with_coverage, list_releases_prefix, list_releases_total, release_diff, release_diff_total,
-        find_regressions, regressions_total, issue_fixes, export_links, link_adjacency, tenant_scoped_count, exact_vector_topk, batch_vector_topk, indexed_vector_topk, text_match_count, text_topk_tf, text_index_topk,
+        find_regressions, regressions_total, issue_fixes, export_links, link_adjacency, tenant_scoped_count, exact_vector_topk, batch_vector_topk, indexed_vector_topk, text_match_count, text_topk_tf, text_index_topk, text_index_search,
         hybrid_topk, hybrid_topk_cd, hybrid_filtered, rrf_fusion, unembedded_chunks, normalise_text, strip_comments, chunk_documents, artefact_keys, citation_markers, unresolved_markers,
         content_words_overlap, declined_answers, citation_metrics, collapse_first_appearance, arm_scores, mrr_by_type, latency_percentiles, arm_summary, paired_deltas, bootstrap_ci_hash,
         bootstrap_ci_exact, verdicts, largest_remainder, stratified_first_n, determinism_changes, exploratory_pairs, gate_grade, failover_verdict, usage_totals, usage_reconcile, daily_budget,
