@@ -107,6 +107,18 @@ SQL = {
     "cursor_watermark": "SELECT event_id, max(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS cursor FROM events",
     "keyed_state": """WITH b AS (SELECT user_id, event_id % 4 AS b, max(event_id) FILTER (event_type <> 'error') AS last FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY b DESC) AS n FROM b)
         SELECT e.user_id, e.event_id, e.value FROM r JOIN events e ON r.last = e.event_id WHERE n = 1""",
+    "ilike_from_index": "SELECT page_id, url FROM pages WHERE url ILIKE '%M.t%Ex_mple%25%'",
+    "run_overlap": """WITH o AS (SELECT o_custkey, o_orderdate AS a, o_orderdate + to_days(CAST(o_orderkey % 200 AS INT)) AS b FROM orders), e AS (SELECT o_custkey, a AS at_, 1 AS step FROM o UNION ALL SELECT o_custkey, b, -1 FROM o),
+        s AS (SELECT *, sum(step) OVER (PARTITION BY o_custkey ORDER BY at_, step ROWS UNBOUNDED PRECEDING) AS n FROM e), g AS (SELECT *, lag(n) OVER w AS was, lag(at_) OVER w AS before FROM s WINDOW w AS (PARTITION BY o_custkey ORDER BY at_, step, n DESC))
+        SELECT o_custkey, count(*) FILTER (step = 1) AS intervals, CAST(max(n) AS BIGINT) AS peak, coalesce(sum(CASE WHEN was = 0 THEN epoch_us(at_) - epoch_us(before) END), 0) / 1e6 AS idle_seconds FROM g GROUP BY 1""",
+    "run_acceptance": """WITH r AS (SELECT o_orderkey AS run, o_orderdate - INTERVAL 1000 DAY AS queued, o_orderdate - INTERVAL 999 DAY AS begun, CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate - INTERVAL 1000 DAY ELSE o_orderdate - INTERVAL 998 DAY END AS started, o_orderdate - INTERVAL 400 DAY AS finished, o_orderdate + INTERVAL 1500 DAY AS ended,
+            CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'succeeded' END AS result, CASE WHEN o_orderkey % 3 = 0 THEN 'failed' ELSE 'succeeded' END AS expected FROM orders),
+        l AS (SELECT l_orderkey AS run, l_linenumber AS place, min(l_shipdate) AS t, max(l_quantity) AS q FROM lineitem GROUP BY ALL), g AS (SELECT *, lag(t) OVER (PARTITION BY run ORDER BY place) AS was FROM l),
+        s AS (SELECT g.run, bool_and(t BETWEEN queued AND ended) AND bool_and(q <= 45) AND bool_or(q <= 45 AND t BETWEEN begun AND ended) AND bool_and(was IS NULL OR t >= was) AS good, count(*) >= 2 AND bool_and(q <= 40 AND t + INTERVAL 1500 DAY >= ended) AND bool_and(was IS NULL OR t - was >= INTERVAL 1 DAY) AND min(t + INTERVAL 1500 DAY) >= any_value(finished) AS idle, min(t + INTERVAL 1500 DAY) AS first_idle FROM g JOIN r USING (run) GROUP BY 1),
+        k AS (SELECT l_orderkey AS run, count(*) FILTER (l_returnflag = 'N') = 1 AND count(*) FILTER (l_returnflag = 'N' AND l_linestatus = 'O') = 1 AS done, count(*) FILTER (l_returnflag = 'R') = 1 AND count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'O') = 1 AS negated FROM lineitem GROUP BY 1),
+        f AS (SELECT r.*, begun <= started AS times, coalesce(s.good, false) AS good, coalesce(s.idle, false) AS idle, first_idle, coalesce(k.done AND result = expected, false) AS built, coalesce(k.negated, false) AS negated FROM r LEFT JOIN s USING (run) LEFT JOIN k USING (run))
+        SELECT run, times AND good AS on_demand, built, built AND expected = 'failed' AND negated AS refused, idle AS idle_after, CASE WHEN times THEN (epoch_us(started) - epoch_us(queued)) / 1e6 END AS queue_seconds, CASE WHEN times THEN (epoch_us(finished) - epoch_us(started)) / 1e6 END AS build_seconds,
+            CASE WHEN idle THEN (epoch_us(first_idle) - epoch_us(finished)) / 1e6 END AS to_idle_seconds FROM f""",
     "deadline_seen": "SELECT u.event_id, min(o.ts) AS first_seen, min(o.ts) IS NOT NULL AS in_time FROM events u LEFT JOIN events o ON o.event_type = 'view' AND o.user_id = u.user_id AND o.ts >= u.ts AND o.ts <= u.ts + INTERVAL 7200 SECOND WHERE u.event_type = 'click' GROUP BY 1",
     "poison_within": "SELECT count(*) AS uploads, count(s) AS in_time FROM (SELECT u.event_id, min(o.ts) AS s FROM events u LEFT JOIN events o ON o.event_type = 'view' AND o.user_id = u.user_id AND o.ts >= u.ts AND o.ts <= u.ts + INTERVAL 36000 SECOND WHERE u.event_type = 'click' GROUP BY 1)",
     "dead_letter_due": "SELECT event_id AS chunk_id, CAST(event_id % 7 AS INT) AS attempts FROM events WHERE event_id % 7 < 5 AND ts <= '2024-01-10'",

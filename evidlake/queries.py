@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import numbers, text
-from .operators import evaluation, evidence, hybrid, ivf, runs, textindex, usage
+from .operators import acceptance, evaluation, evidence, grams, hybrid, ivf, runs, textindex, usage
 from .operators import text as search
 from .operators import vector as vectors
 from .plans import new_folder, ranks
@@ -534,6 +534,36 @@ def keyed_state(spark, d):
     return table.read()
 
 
+def run_acceptance(spark, d):
+    """Orders as runs and their lines as samples, tasks and looks at the idle pool."""
+    o, lines = _t(spark, d, "orders"), _t(spark, d, "lineitem")
+    day = lambda n: F.make_dt_interval(n)
+    at = F.col("o_orderdate")
+    odd = (F.col("o_orderkey") % 7 == 0).cast("int")
+    runs_ = o.select(
+        F.col("o_orderkey").alias("run"), (at - day(F.lit(1000))).alias("queued"), (at - day(F.lit(999))).alias("begun"), (at - day(998 + 2 * odd)).alias("started"), (at - day(F.lit(400))).alias("finished"), (at + day(F.lit(1500))).alias("ended"),
+        F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "succeeded").alias("result"), F.when(F.col("o_orderkey") % 3 == 0, "failed").otherwise("succeeded").alias("expected"),
+    )
+    own = lines.groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("place")).agg(F.min("l_shipdate").alias("at"), F.max("l_quantity").alias("q"))
+    own_name = F.col("run").cast("string")
+    samples = own.select("run", "place", "at", F.when(F.col("q") > 45, F.array(own_name, F.lit("other"))).otherwise(F.array(own_name)).alias("workers"))
+    tasks = lines.select(F.col("l_orderkey").alias("run"), F.col("l_returnflag").alias("name"), F.when(F.col("l_linestatus") == "O", "succeeded").otherwise("failed").alias("result"))
+    idle = own.select("run", "place", (F.col("at") + day(F.lit(1500))).alias("at"), F.array().cast("array<string>").alias("workers"), (F.col("q") > 40).cast("int").alias("queued"))
+    return acceptance.graded(runs_, samples, tasks, idle, required=["N"], negative="R", idle_samples=2, idle_seconds=86_400)
+
+
+def run_overlap(spark, d):
+    """How many orders of a customer are open at once, and how long none is."""
+    o = _t(spark, d, "orders").select("o_custkey", F.col("o_orderdate").alias("a"), (F.col("o_orderdate") + F.make_dt_interval(F.col("o_orderkey").cast("int") % 200)).alias("b"))
+    return acceptance.sweep(o, key=["o_custkey"], start="a", end="b")
+
+
+def ilike_from_index(spark, d):
+    pages = _t(spark, d, "pages").select("page_id", "url")
+    index = grams.write_grams(pages, new_folder(spark, "grams"), id_col="page_id", text_col="url")
+    return grams.ilike(pages, index, "%M.t%Ex_mple%25%", id_col="page_id", text_col="url")
+
+
 def _seen(spark, d, seconds):
     e = _t(spark, d, "events")
     up = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
@@ -623,7 +653,7 @@ def queries() -> dict:
         hybrid_topk, hybrid_topk_cd, hybrid_filtered, rrf_fusion, unembedded_chunks, normalise_text, strip_comments, chunk_documents, artefact_keys, citation_markers, unresolved_markers,
         content_words_overlap, declined_answers, citation_metrics, collapse_first_appearance, arm_scores, mrr_by_type, latency_percentiles, arm_summary, paired_deltas, bootstrap_ci_hash,
         bootstrap_ci_exact, verdicts, largest_remainder, stratified_first_n, determinism_changes, exploratory_pairs, gate_grade, failover_verdict, usage_totals, usage_reconcile, daily_budget,
-        running_budget, call_cost_dated, error_streaks, gap_checks, cursor_watermark, keyed_state, deadline_seen, poison_within, dead_letter_due, backoff_schedule, stale_keys, multiset_equal, upsert_latest,
+        running_budget, call_cost_dated, error_streaks, gap_checks, cursor_watermark, keyed_state, run_acceptance, run_overlap, ilike_from_index, deadline_seen, poison_within, dead_letter_due, backoff_schedule, stale_keys, multiset_equal, upsert_latest,
         minute_usage, sliding_usage, session_usage, verdict_conjunction, exact_cover, type_arm_rollup, assembled_texts,
         link_neighbours, unembedded_page, dead_letter_chunks, compare_metrics, run_faults, worker_faults, search_vectors, draw_questions, audit_by_type, cost_faults, order_overlaps,
     )
