@@ -24,15 +24,20 @@ def kept_by_rules(docs, labels):
     good = {i for i, q in labels if q == 1}
     fine = [d for d in docs if not test_quality.brute(d["text"])[-1]]
     strata = {d["lang"] for d in fine if d["doc_id"] in good}
-    cutoffs = {}
+    chosen, measured = {}, {id(d): scores(d["text"]) for d in fine}
+    rejects = lambda x, levels: any(n and x[rule] > cuts[n - 1] for n, (rule, cuts) in zip(levels, quality.RULES.items(), strict=True))
     for s in strata:
-        held = [scores(d["text"]) for d in fine if d["lang"] == s and d["doc_id"] in good]
-        for level in range(quality.LEVELS):
-            lost = sum(any(x[rule] > cuts[level] for rule, cuts in quality.RULES.items()) for x in held)
-            if quality.binomial_at_most(lost, len(held), quality.ALPHA) > quality.DELTA / len(strata):
-                break
-            cutoffs |= {(s, rule): cuts[level] for rule, cuts in quality.RULES.items()}
-    return [d for d in fine if all(x <= cutoffs.get((d["lang"], r), 1e9) for r, x in scores(d["text"]).items())]
+        own = [d for d in fine if d["lang"] == s]
+        ids, proven = {d["doc_id"] for d in own if d["doc_id"] in good}, []
+        for path, share in zip(quality.PATHS, quality.SHARES, strict=True):
+            for levels in path:
+                lost = {d["doc_id"] for d in own if d["doc_id"] in ids and rejects(measured[id(d)], levels)}
+                if quality.binomial_at_most(len(lost), len(ids), quality.ALPHA) > share * quality.DELTA / len(strata):
+                    break
+                proven.append(levels)
+        if proven:
+            chosen[s] = max(proven, key=lambda levels: sum(rejects(measured[id(d)], levels) for d in own))  # noqa: B023
+    return [d for d in fine if not rejects(measured[id(d)], chosen.get(d["lang"], (0,) * 5))]
 
 
 def test_every_stage_against_brute_force(spark, tmp_path):
