@@ -21,6 +21,7 @@ from ..functions.numbers import settled, verdict
 from ..functions.text import let, markers
 from ..plans import numbered, settle
 from ..plans.ranks import at_ranks, middle, nearest
+from ..plans.scan import Ranges
 
 HITS = 50
 RESAMPLES = 10_000
@@ -221,11 +222,13 @@ def rotate_arms(runs: DataFrame, arms: int, *, position="position", pass_="pass_
 
 def assemble(chunks: DataFrame, most_tokens: int = 1500, *, key="artefact", order="chunk_index", tokens="token_count", text="content") -> DataFrame:
     """(key, text, token_count): whole chunks in order until one would go over; a first chunk that does is cut in proportion."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    run = chunks.withColumn("_sum", F.sum(tokens).over(w)).withColumn("_over", F.max((F.col("_sum") > most_tokens).cast("int")).over(w)).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    shown = F.when(F.col("_over") == 0, F.col(text)).when(F.col("_n") == 1, F.left(text, (F.length(text) * most_tokens / F.col(tokens)).cast("int")))
-    parts = run.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), shown.alias("t")))).alias("p"), F.sum(tokens).alias("token_count"))
-    return parts.select(key, F.array_join(F.filter(F.transform("p", lambda x: x["t"]), lambda t: t.isNotNull()), "\n\n").alias("text"), "token_count")
+    cut = Ranges(chunks.select(key, order, tokens, text), [key], [order])
+    run = cut.summed(cut.rows, tokens, "_so_far").withColumn("_past", (F.col("_so_far") > most_tokens).cast("int"))
+    run = cut.lagged(cut.largest(run, "_past", "_over"), F.lit(1), "_before")
+    shown = F.when(F.col("_over") == 0, F.col(text)).when(F.col("_before").isNull(), F.left(text, (F.length(text) * most_tokens / F.col(tokens)).cast("int")))
+    # Only what is shown is gathered, which the tokens bound.
+    parts = run.groupBy(key).agg(F.sort_array(F.collect_list(F.when(shown.isNotNull(), F.struct(F.col(order).alias("o"), shown.alias("t"))))).alias("p"), F.sum(tokens).alias("token_count"))
+    return parts.select(key, F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("text"), "token_count")
 
 
 def gate(results: DataFrame, questions: DataFrame, *, arm: str = "S2", least: int = 120, links: DataFrame | None = None) -> DataFrame:

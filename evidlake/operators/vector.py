@@ -17,6 +17,8 @@ from ..plans import new_folder, settle, small
 
 #: Queries held by a task at once; more are searched in blocks of as many.
 QUERY_BLOCK = 4096
+#: Queries of a block that are multiplied with a batch of rows at once.
+PRODUCT_QUERIES = 256
 
 
 def check_request(k: int, vector: list[float], dim: int) -> None:
@@ -114,12 +116,13 @@ def _search(k: int):
 
 def _cosines(x: np.ndarray, length: np.ndarray, matrix: np.ndarray, norms: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query, the places that can be among the k best, and their cosines."""
-    dots = x @ matrix.T / length[:, None]
-    for i in range(matrix.shape[0]):
-        s = dots[:, i]
-        # The last bits of a matrix product depend on its shape: it only preselects, with room for them.
-        near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * norms[i]) if len(s) > k else np.arange(len(s))
-        yield near, (x[near] * matrix[i]).sum(axis=1) / (length[near] * norms[i]) if norms[i] > 0 else np.zeros(len(near))
+    for first in range(0, matrix.shape[0], PRODUCT_QUERIES):
+        dots = (x @ matrix[first : first + PRODUCT_QUERIES].T) / length[:, None]
+        for i in range(first, first + dots.shape[1]):
+            s = dots[:, i - first]
+            # The last bits of a matrix product depend on its shape: it only preselects, with room for them.
+            near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * norms[i]) if len(s) > k else np.arange(len(s))
+            yield near, (x[near] * matrix[i]).sum(axis=1) / (length[near] * norms[i]) if norms[i] > 0 else np.zeros(len(near))
 
 
 def fused_ranks(lists: DataFrame, *, query_id="qid", id_col="chunk_id", constant: int = 60) -> DataFrame:

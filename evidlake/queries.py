@@ -16,7 +16,7 @@ from .functions import numbers, text
 from .operators import acceptance, evaluation, evidence, grams, hybrid, ivf, runs, textindex, usage
 from .operators import text as search
 from .operators import vector as vectors
-from .plans import new_folder, ranks
+from .plans import new_folder, numbered, ranks, small
 from .streaming import keyed
 
 SINCE, UNTIL = datetime(1996, 1, 1), datetime(1998, 1, 1)
@@ -282,9 +282,13 @@ def unresolved_markers(spark, d):
 
 
 def content_words_overlap(spark, d):
-    docs, items = _t(spark, d, "documents").select("doc_id", "text"), _t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("item"))
+    """Every document beside a benchmark item, the items in turn by the document's id."""
+    docs, items = _t(spark, d, "documents").select("doc_id", "text"), _t(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    n = max(1, items.count())
+    turn = numbered(items, ["item_id"], name="place").select((F.col("place") - 1).alias("_place"), "item")
     share = text.copied_share(F.col("item"), F.col("text"))
-    return docs.join(items, "doc_id").select("doc_id", F.round(share, 9).alias("copied"), F.coalesce(share > 0.5, F.lit(False)).alias("copies"))
+    paired = docs.join(small(turn, 10_000), F.pmod("doc_id", F.lit(n)) == F.col("_place"), "left")
+    return paired.select("doc_id", F.round(share, 9).alias("copied"), F.coalesce(share > 0.5, F.lit(False)).alias("copies"))
 
 
 def declined_answers(spark, d):
