@@ -107,6 +107,11 @@ SQL = {
     "cursor_watermark": "SELECT event_id, max(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS cursor FROM events",
     "keyed_state": """WITH b AS (SELECT user_id, event_id % 4 AS b, max(event_id) FILTER (event_type <> 'error') AS last FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY b DESC) AS n FROM b)
         SELECT e.user_id, e.event_id, e.value FROM r JOIN events e ON r.last = e.event_id WHERE n = 1""",
+    "commit_points": """WITH k AS (SELECT DISTINCT event_id * 7 AS key FROM events WHERE event_id IS NOT NULL), f AS (SELECT l_orderkey AS sha, 'p' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') || '/' || l_linenumber AS path FROM lineitem),
+        g AS (SELECT sha, count(*) AS n, string_agg(path, ',' ORDER BY path) AS paths FROM f GROUP BY 1)
+        SELECT key, o_orderkey IS NOT NULL AS found, o_orderstatus AS message, CAST(CASE WHEN o_orderkey IS NOT NULL THEN coalesce(n, 0) END AS INT) AS n_files, CASE WHEN o_orderkey IS NOT NULL THEN coalesce(paths, '') END AS paths FROM k LEFT JOIN orders ON o_orderkey = key LEFT JOIN g ON g.sha = key""",
+    "artefact_key_pages": """WITH p AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS page FROM (SELECT DISTINCT user_id, event_id FROM events))
+        SELECT user_id, CAST(page AS INT) AS page, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS keys FROM p GROUP BY ALL""",
     "ilike_from_index": "SELECT page_id, url FROM pages WHERE url ILIKE '%M.t%Ex_mple%25%'",
     "run_overlap": """WITH o AS (SELECT o_custkey, o_orderdate AS a, o_orderdate + to_days(CAST(o_orderkey % 200 AS INT)) AS b FROM orders), e AS (SELECT o_custkey, a AS at_, 1 AS step FROM o UNION ALL SELECT o_custkey, b, -1 FROM o),
         s AS (SELECT *, sum(step) OVER (PARTITION BY o_custkey ORDER BY at_, step ROWS UNBOUNDED PRECEDING) AS n FROM e), g AS (SELECT *, lag(n) OVER w AS was, lag(at_) OVER w AS before FROM s WINDOW w AS (PARTITION BY o_custkey ORDER BY at_, step, n DESC))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import numbers, text
-from .operators import acceptance, evaluation, evidence, grams, hybrid, ivf, runs, textindex, usage
+from .operators import acceptance, evaluation, evidence, grams, hybrid, ivf, lookup, runs, textindex, usage
 from .operators import text as search
 from .operators import vector as vectors
 from .plans import new_folder, numbered, ranks, small
@@ -538,6 +538,20 @@ def keyed_state(spark, d):
     return table.read()
 
 
+def commit_points(spark, d):
+    """Orders as commits and their lines as files, asked for by the keys that events name."""
+    commits = _t(spark, d, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_orderstatus").alias("message"))
+    files = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("sha"), F.concat(F.lit("p"), F.lpad(F.col("l_partkey").cast("string"), 9, "0"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("path"), F.col("l_returnflag").alias("status"), F.lit(1).alias("additions"), F.lit(0).alias("deletions"))
+    found = lookup.commits_with_files(commits, files, _t(spark, d, "events").select((F.col("event_id") * 7).alias("key")))
+    return found.select("key", "found", F.col("row.message").alias("message"), F.size("files").alias("n_files"), F.array_join(F.transform("files", lambda f: f["path"]), ",").alias("paths"))
+
+
+def artefact_key_pages(spark, d):
+    """Events as chunks of their user's artefact, ten keys a page."""
+    out = lookup.key_pages(_t(spark, d, "events"), by=["user_id"], key="event_id", page=10)
+    return out.select("user_id", "page", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
+
+
 def run_acceptance(spark, d):
     """Orders as runs and their lines as samples, tasks and looks at the idle pool."""
     o, lines = _t(spark, d, "orders"), _t(spark, d, "lineitem")
@@ -657,7 +671,7 @@ def queries() -> dict:
         hybrid_topk, hybrid_topk_cd, hybrid_filtered, rrf_fusion, unembedded_chunks, normalise_text, strip_comments, chunk_documents, artefact_keys, citation_markers, unresolved_markers,
         content_words_overlap, declined_answers, citation_metrics, collapse_first_appearance, arm_scores, mrr_by_type, latency_percentiles, arm_summary, paired_deltas, bootstrap_ci_hash,
         bootstrap_ci_exact, verdicts, largest_remainder, stratified_first_n, determinism_changes, exploratory_pairs, gate_grade, failover_verdict, usage_totals, usage_reconcile, daily_budget,
-        running_budget, call_cost_dated, error_streaks, gap_checks, cursor_watermark, keyed_state, run_acceptance, run_overlap, ilike_from_index, deadline_seen, poison_within, dead_letter_due, backoff_schedule, stale_keys, multiset_equal, upsert_latest,
+        running_budget, call_cost_dated, error_streaks, gap_checks, cursor_watermark, keyed_state, run_acceptance, run_overlap, ilike_from_index, commit_points, artefact_key_pages, deadline_seen, poison_within, dead_letter_due, backoff_schedule, stale_keys, multiset_equal, upsert_latest,
         minute_usage, sliding_usage, session_usage, verdict_conjunction, exact_cover, type_arm_rollup, assembled_texts,
         link_neighbours, unembedded_page, dead_letter_chunks, compare_metrics, run_faults, worker_faults, search_vectors, draw_questions, audit_by_type, cost_faults, order_overlaps,
     )
