@@ -10,11 +10,17 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .operators import evidence, hybrid, windows
+from .operators import evidence, hybrid, ivf, textindex, vector, windows
 from .scope import TenantScope
 
+#: Passages that a search of the stored corpus returns, by default and at most, and characters of each.
+PASSAGES, MOST_PASSAGES, EXCERPT = 5, 10, 500
+#: Chunks that each ranking hands to the fusion.
+POOL = 50
+
 
 @dataclass
 class Result:
@@ -29,6 +35,15 @@ class Result:
         return self.matched is not None and len(self.rows) < self.matched
 
 
+@dataclass
+class Corpus:
+    """A stored corpus: its chunks, and the two indexes over them."""
+
+    chunks: DataFrame
+    vectors: ivf.InvertedFile
+    terms: DataFrame
+
+
 class BadArgument(ValueError):
     pass
 
@@ -140,6 +155,29 @@ def search_commits(scope: TenantScope, args: dict, embed: Callable[[str], list[f
     return Result(rows=rows, matched=matches if by_text else None, coverage={"returned_by_text": len(by_text), "artefacts": len(seen)}, notes=hybrid.notes(len(rows), matches, request))
 
 
+def search_corpus(stored: Corpus, args: dict, embed: Callable[[str], list[float]]) -> Result:
+    """The best passages of a stored corpus: artefact, type, excerpt and the score of both rankings fused.
+
+    Reads the indexes and the few chunks that are shown; nothing is scanned whole.
+    """
+    query, top = text(args, "query", ""), whole(args, "top")
+    if not query.strip():
+        raise BadArgument("'query' is needed")
+    if top is not None and not 1 <= top <= MOST_PASSAGES:
+        raise BadArgument(f"'top' must be between 1 and {MOST_PASSAGES}")
+    spark = stored.chunks.sparkSession
+    asked = spark.createDataFrame([(0, [float(x) for x in embed(query)])], "qid int, embedding array<double>")
+    by_vector = ivf.topk(stored.vectors, asked, POOL).select("qid", "chunk_id", "rank")
+    by_text = textindex.search_index(stored.terms, query, k=POOL)
+    w = Window.partitionBy("qid").orderBy(F.desc("text_score"), "chunk_id")  # POOL rows
+    by_text = by_text.withColumn("qid", F.lit(0)).withColumn("rank", F.row_number().over(w)).select("qid", "chunk_id", "rank")
+    best = vector.fused_ranks(by_vector.unionByName(by_text)).orderBy(F.desc("fused"), "chunk_id").limit(top or PASSAGES).collect()
+    score = {r.chunk_id: r.fused for r in best}
+    shown = stored.chunks.where(F.col("chunk_id").isin(list(score))).select("chunk_id", "entity_type", "entity_key", F.left("content", F.lit(EXCERPT)).alias("excerpt")).collect()
+    rows = [{"artefact": f"{r.entity_type}:{r.entity_key}", "type": r.entity_type, "excerpt": r.excerpt, "score": score[r.chunk_id]} for r in sorted(shown, key=lambda r: (-score[r.chunk_id], r.chunk_id))]
+    return Result(rows=rows)
+
+
 def registry(embed: Callable[[str], list[float]]) -> dict[str, Callable[[TenantScope, dict], Result]]:
     """The tools by name, each turning bad arguments into an error result."""
 
@@ -152,5 +190,6 @@ def registry(embed: Callable[[str], list[float]]) -> dict[str, Callable[[TenantS
 
         return call
 
+    # search_corpus takes a stored corpus in place of a scope.
     plain = (get_issue, diff_between_releases, find_regressions, count_evidence, list_releases)
-    return {"search_commits": guarded(search_commits, embed)} | {t.__name__: guarded(t) for t in plain}
+    return {"search_commits": guarded(search_commits, embed), "search_corpus": guarded(search_corpus, embed)} | {t.__name__: guarded(t) for t in plain}
