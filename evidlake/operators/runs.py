@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import routine_bump
+from ..plans import settle
 from ..plans.scan import Ranges
+from . import evaluation
 
 LEAST_TOKENS = 40
 
@@ -97,3 +99,33 @@ def overlaps(intervals: DataFrame, *, key: list[str], start: str, end: str) -> D
     rows = cut.largest(cut.rows, end, "_seen", before=True)
     over, back = (F.coalesce(F.col(c) < F.col("_seen"), F.lit(False)) for c in (start, end))
     return rows.groupBy(*key).agg(F.count("*").alias("intervals"), F.count_if(over).alias("overlapping"), (F.count_if(back) == 0).alias("monotone"))
+
+
+def study(results: DataFrame, questions: DataFrame, arms: list[str], comparisons: list[tuple[str, str]], *, links: DataFrame | None = None, threshold: float = 0.05, **draws) -> DataFrame:
+    """(section, name, metric, value, note): all that a run shows, as one table; an incomplete run is refused.
+
+    Sections: "arm" (figures of each arm), "type" (the same per entity type, named arm/type), "comparison" (the
+    paired difference of the first places, its interval and, as a note, its verdict) for the declared pairs,
+    and "exploratory" (differences of the other pairs, without interval). questions (qid, target, entity_type).
+    """
+    refuse(incomplete(results, questions, arms), "the run is not complete")
+    scores = settle(evaluation.score_results(results, questions, links).join(questions.select("qid", "entity_type"), "qid"))
+
+    def stacked(df: DataFrame, section: str, name: Column, metrics: list[str], note: Column | None = None) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+        note = F.lit(None).cast("string") if note is None else note
+        return df.select(F.lit(section).alias("section"), name.alias("name"), note.alias("note"), F.explode(each).alias("m")).select("section", "name", "m.metric", "m.value", "note")
+
+    means = ["n", "errors", "top1", "mrr", "lenient_top1"]
+    out = stacked(evaluation.arm_figures(scores), "arm", F.col("arm"), [*means, "median_margin", "p50_ms", "p95_ms"])
+    out = out.unionByName(stacked(evaluation.arm_means(scores, "entity_type"), "type", F.concat_ws("/", "arm", "entity_type"), means))
+    first = scores.select("qid", "arm", F.col("top1").cast("double").alias("value"))
+    deltas = None
+    for x, y in comparisons:
+        one = evaluation.paired(first, x, y, key=["qid"]).select("qid", "delta", F.lit(f"{x}-{y}").alias("comparison"))
+        deltas = one if deltas is None else deltas.unionByName(one)
+    if deltas is not None:
+        judged = evaluation.with_verdict(evaluation.bootstrap_exact(deltas, **draws), threshold)
+        out = out.unionByName(stacked(judged, "comparison", F.col("comparison"), ["n", "mean", "ci_low", "ci_high"], F.col("verdict")))
+    others = evaluation.exploratory(scores, comparisons)
+    return out.unionByName(stacked(others, "exploratory", F.concat_ws("-", "x", "y"), ["n", "difference"]))
