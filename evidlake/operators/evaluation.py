@@ -165,16 +165,19 @@ def bootstrap_hashed(deltas: DataFrame, *, by: list[str] = (), order: str = "qid
     """(by..., n, mean, ci_low, ci_high) where draw j of replicate r is a hash of (seed, r, j): the same on any engine.
 
     The replicates are an aggregate over a grid of replicates and draws that joins the ranked deltas on
-    their rank; ranks, grid and join spread over tasks, however many deltas a group has.
+    their rank; ranks, grid and join spread over tasks, however many deltas a group has. Spark takes the
+    grid for as small as the table of sizes that it grows from: the join names its kind, else the whole
+    grid would be sent through the driver, and blocks of draws are dealt to tasks by number.
     """
     deltas = settle(deltas.select(*by, order, F.col(value).cast("double").alias("d")))
     ranked = numbered(deltas, [order], by, "i").select(*by, "i", "d")
     sizes = deltas.groupBy(*by).agg(F.count("*").alias("n"))
     blocks = sizes.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {DRAWS}")))).where("n > 0")
+    blocks = blocks.repartition(int(deltas.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "lo")
     draws = blocks.select(*by, "n", F.explode(F.sequence(F.col("lo") * DRAWS + 1, F.least("n", (F.col("lo") + 1) * DRAWS))).alias("j"))
     grid = draws.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("r"))
     mixed = (F.col("r") * 7919 + F.col("j") * 104729 + seed) * 48271 % 2147483647
-    drawn = grid.withColumn("i", mixed * 48271 % 2147483647 % F.col("n") + 1).join(ranked, [*by, "i"])
+    drawn = grid.withColumn("i", mixed * 48271 % 2147483647 % F.col("n") + 1).join(ranked.hint("shuffle_hash"), [*by, "i"])
     means = drawn.groupBy(*by, "r").agg((F.sum("d") / F.max("n")).alias("m"))
     ends = means.groupBy(*by).agg(settled(nearest_rank("m", 0.025)).alias("ci_low"), settled(nearest_rank("m", 0.975)).alias("ci_high"))
     figures = deltas.groupBy(*by).agg(F.count("*").alias("n"), settled(F.avg("d")).alias("mean"))
