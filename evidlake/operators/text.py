@@ -7,6 +7,7 @@ many searches of one corpus, holds a row per chunk and term with positions, and
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,11 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stem import stem, stems
+from ..functions.stem import stem
 from ..functions.text import let
 
 #: A short list; searches take their own.
 STOP = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
+#: Texts whose words are gathered at once.
+GATHERED_TEXTS = 1000
 
 
 def words(text: Column) -> Column:
@@ -78,12 +81,45 @@ def read_search(query: str) -> Search:
     return out
 
 
+def spelling(stemmed: bool, stop: frozenset[str]) -> Callable[[str], str | None]:
+    """The term of a word: its stem unless told otherwise; a stop word has none."""
+    return lambda w: None if w in stop else stem(w) if stemmed else w
+
+
+def gathered(words: pa.ListArray, term_of: Callable[[str], str | None]) -> tuple[np.ndarray, pa.Array, pa.ListArray]:
+    """The distinct terms of each text, given as a list of words: (places of the texts, terms, positions from 1), by term and then by text."""
+    flat, sizes = words.flatten().dictionary_encode(), pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    spelled = [term_of(w) for w in flat.dictionary.to_pylist()]
+    names = sorted({t for t in spelled if t is not None})
+    code = {t: i for i, t in enumerate(names)}
+    term = np.array([code.get(t, -1) for t in spelled] or [-1])[flat.indices.to_numpy()]
+    kept = np.flatnonzero(term >= 0)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    key = term[kept] * max(1, len(sizes)) + owner[kept]
+    order = np.argsort(key, kind="stable")  # positions stay in order
+    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    first = kept[order[starts]]
+    positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(kept)), pa.int32()), pa.array(place[kept[order]], pa.int32()))
+    return owner[first], pa.array(names, pa.string()).take(pa.array(term[first])), positions
+
+
 def postings(chunks: DataFrame, *, id_col="chunk_id", text_col="content", stemmed: bool = True, stop: frozenset[str] = STOP) -> DataFrame:
-    """(id, term, positions from 1) of every chunk: words are stemmed unless told otherwise, stop words leave gaps."""
+    """(id, term, positions from 1) of every chunk: words are stemmed unless told otherwise, stop words leave gaps.
+
+    A text's words are gathered where the text is, without a shuffle. An id of several chunks has rows for each.
+    """
     ws = chunks.select(id_col, words(F.col(text_col)).alias("w"))
-    ws = ws.select(id_col, (stems(F.col("w")) if stemmed else F.col("w")).alias("s"), "w")
-    each = ws.select(id_col, F.posexplode(F.arrays_zip("w", "s")).alias("at", "x")).where(~F.col("x.w").isin(*sorted(stop)) if stop else F.lit(True))
-    return each.groupBy(id_col, F.col("x.s").alias("term")).agg(F.sort_array(F.collect_list((F.col("at") + 1).cast("int"))).alias("positions"))
+    kind, term_of = chunks.schema[id_col].dataType.simpleString(), spelling(stemmed, stop)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, GATHERED_TEXTS):
+                part = batch.slice(first, GATHERED_TEXTS)
+                owner, terms, positions = gathered(part.column(1), term_of)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), terms, positions], names=[id_col, "term", "positions"])
+
+    return ws.mapInArrow(run, f"`{id_col}` {kind}, term string, positions array<int>")
 
 
 def cover_density(positions: list[list[int]]) -> float:
@@ -168,5 +204,5 @@ def ranked(chunks: DataFrame, query: str, *, id_col="chunk_id", text_col="conten
 def search_postings(index: DataFrame, terms: list[str], *, id_col="chunk_id", stemmed: bool = True) -> DataFrame:
     """(id, text_score) of chunks that hold all terms, from a stored index: the filter reaches the scan."""
     wanted = sorted({stem(t) if stemmed else t for t in terms})
-    hit = index.where(F.col("term").isin(*wanted)).groupBy(id_col).agg(F.count("*").alias("n"), F.sum(F.size("positions")).alias("text_score"))
+    hit = index.where(F.col("term").isin(*wanted)).groupBy(id_col).agg(F.size(F.collect_set("term")).alias("n"), F.sum(F.size("positions")).alias("text_score"))
     return hit.where(F.col("n") == len(wanted)).drop("n")

@@ -6,8 +6,8 @@ import compare
 import duckdb
 from pyspark.sql import functions as F
 
-from evidlake import oracles, queries
-from evidlake.operators import acceptance, evaluation
+from evidlake import oracles, plans, queries
+from evidlake.operators import acceptance, evaluation, text
 
 
 def test_draws_are_not_sent_through_the_driver(spark):
@@ -39,3 +39,12 @@ def test_overlaps_are_those_of_the_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert compare.compare(spark, con, queries.run_overlap, oracles.oracle_sql()["run_overlap"], tmp_path) == []
+
+
+def test_words_are_not_shuffled_for_an_index(spark, tmp_path):
+    texts = [(1, "b a b the"), (2, None), (None, "a"), (3, ""), (4, "Ünï a"), (4, "a c")]
+    df = spark.createDataFrame(texts, "chunk_id long, content string")
+    index = text.postings(df, stemmed=False, stop=frozenset({"the"}))
+    assert "Exchange" not in plans.plan_text(index)
+    assert sorted((r.chunk_id or 0, r.term, r.positions) for r in index.collect()) == [(0, "a", [1]), (1, "a", [2]), (1, "b", [1, 3]), (4, "a", [1]), (4, "a", [2]), (4, "c", [2]), (4, "ünï", [1])]
+    assert [(r.chunk_id, r.text_score) for r in text.search_postings(index, ["a", "c"], stemmed=False).collect()] == [(4, 3)]
