@@ -1,7 +1,7 @@
 """Ranked full-text search from a stored index: phrases, exclusions and cover density without reading a text.
 
-The index is a Parquet table with a row for each term and block, sorted by term; a block is about
-BLOCK_CHUNKS chunks whose ids hash alike. A row has how many chunks of the block hold the term, the most
+The index is a Parquet table with a row for each term and block, block after block and by term within one; a
+block is about BLOCK_CHUNKS chunks whose ids hash alike, or fewer if they are long. A row has how many chunks of the block hold the term, the most
 positions that one of them has, and the postings (id, positions). The most positions bound what a chunk of
 the block can score: covers end at different occurrences, a phrase has no more of them than the rarest of
 its words, and a cover weighs as much as there are phrases at most. For the k best, the blocks with the highest bounds are judged first; their k-th best
@@ -16,14 +16,19 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import settle, small
-from .text import STOP, Search, _judge, postings, read_search
+from .text import STOP, Search, _judge, gathered, read_search, spelling, words
 
 BLOCK_CHUNKS = 1024
+#: What the texts of a block have together, on average, at most.
+BLOCK_BYTES = 16 << 20
+#: Blocks that a task writes.
+TASK_BLOCKS = 4
 #: Blocks that are judged first, for a floor.
 FIRST_BLOCKS = 32
 BROADCAST_BLOCKS = 1_000_000
@@ -32,15 +37,29 @@ ALL = ""
 
 
 def write_index(chunks: DataFrame, folder: str, *, id_col: str = "chunk_id", text_col: str = "content", stemmed: bool = True, stop: frozenset[str] = STOP, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
-    """Writes the index of all chunks and reads it back: (term, block, n, most, postings)."""
+    """Writes the index of all chunks and reads it back: (term, block, n, most, postings).
+
+    Texts are shuffled once, to the task that writes their block; what is larger than they are, their words, is not.
+    """
     listed = chunks.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = max(1, math.ceil(listed.count() / block_chunks))
-    words = postings(listed, id_col="id", text_col="text", stemmed=stemmed, stop=stop)
-    every = listed.select("id", F.lit(ALL).alias("term"), F.array().cast("array<int>").alias("positions"))
-    placed = words.unionByName(every).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    # At most a block's chunks for each term and block, however frequent a term is.
-    rows = placed.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(F.size("positions")).alias("most"), F.sort_array(F.collect_list(F.struct("id", "positions"))).alias("postings"))
-    rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(folder)
+    n, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / block_chunks), math.ceil(size / BLOCK_BYTES))
+    placed = listed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).repartition(math.ceil(blocks / TASK_BLOCKS), "block").sortWithinPartitions("block", "id")
+    kind, term_of = listed.schema["id"].dataType.simpleString(), spelling(stemmed, stop)
+
+    def rows(block: pa.Table) -> pa.Table:
+        ids = block.column("id").combine_chunks()
+        owner, terms, positions = gathered(block.column("w").combine_chunks(), term_of)
+        # First every chunk, without positions, under ALL.
+        owner, ends = np.append(np.arange(len(ids)), owner), np.append(np.zeros(len(ids), np.int64), positions.offsets.to_numpy())
+        terms = pa.concat_arrays([pa.array([ALL] * len(ids), pa.string()), terms]).dictionary_encode()
+        starts = np.flatnonzero(np.diff(terms.indices.to_numpy(), prepend=-1))
+        posted = pa.StructArray.from_arrays([ids.take(pa.array(owner)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), positions.values)], names=["id", "positions"])
+        each = [terms.dictionary, pa.array([block.column("block")[0].as_py()] * len(starts), pa.int64()), pa.array(np.diff(starts, append=len(owner)), pa.int64()), pa.array(np.maximum.reduceat(np.diff(ends), starts), pa.int32())]
+        return pa.table([*each, pa.ListArray.from_arrays(pa.array(np.append(starts, len(owner)), pa.int32()), posted)], names=["term", "block", "n", "most", "postings"])
+
+    made = placed.select("block", "id", words(F.col("text")).alias("w")).groupBy("block").applyInArrow(rows, f"term string, block bigint, n bigint, most int, postings array<struct<id:{kind},positions:array<int>>>")
+    made.write.parquet(folder)
     return chunks.sparkSession.read.parquet(folder)
 
 

@@ -1,5 +1,6 @@
 """What a step holds or sends grows no faster than its input."""
 
+import random
 from datetime import datetime, timedelta
 
 import compare
@@ -7,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from evidlake import oracles, plans, queries
-from evidlake.operators import acceptance, evaluation, text
+from evidlake.operators import acceptance, evaluation, text, textindex
 
 
 def test_draws_are_not_sent_through_the_driver(spark):
@@ -48,3 +49,24 @@ def test_words_are_not_shuffled_for_an_index(spark, tmp_path):
     assert "Exchange" not in plans.plan_text(index)
     assert sorted((r.chunk_id or 0, r.term, r.positions) for r in index.collect()) == [(0, "a", [1]), (1, "a", [2]), (1, "b", [1, 3]), (4, "a", [1]), (4, "a", [2]), (4, "c", [2]), (4, "ünï", [1])]
     assert [(r.chunk_id, r.text_score) for r in text.search_postings(index, ["a", "c"], stemmed=False).collect()] == [(4, 3)]
+
+
+def test_texts_are_shuffled_once_for_the_stored_index(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [(i, " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(300))) for i in range(400)]
+    df = spark.createDataFrame(texts, "chunk_id long, content string").repartition(3)
+    df.write.parquet(f"{tmp_path}/texts")
+    shuffled = lambda: sum(e.totalShuffleWrite() for e in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = shuffled()
+    index = textindex.write_index(spark.read.parquet(f"{tmp_path}/texts"), f"{tmp_path}/index", stemmed=False, stop=frozenset(), block_chunks=50)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert 0 < shuffled() - before < 1.1 * sum(len(t) for _, t in texts)
+    got = {(p.id, r.term): p.positions for r in index.collect() for p in r.postings if r.term}
+    want: dict = {}
+    for i, t in texts:
+        for at, w in enumerate(t.split(), 1):
+            want.setdefault((i, w), []).append(at)
+    assert got == want
+    assert all((r.n, r.most) == (len(r.postings), max(len(p.positions) for p in r.postings)) and [p.id for p in r.postings] == sorted(p.id for p in r.postings) for r in index.collect())
+    assert sum(r.n for r in index.where("term = ''").collect()) == 400
