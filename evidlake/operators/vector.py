@@ -17,8 +17,9 @@ from ..plans import new_folder, settle, small
 
 #: Queries held by a task at once; more are searched in blocks of as many.
 QUERY_BLOCK = 4096
-#: Queries of a block that are multiplied with a batch of rows at once.
+#: Queries of a block, and rows of a batch, that are multiplied with each other at once.
 PRODUCT_QUERIES = 256
+PRODUCT_ROWS = 2048
 
 
 def check_request(k: int, vector: list[float], dim: int) -> None:
@@ -52,7 +53,7 @@ def batch_topk(queries: DataFrame, rows: DataFrame, k: int, *, query_id="qid", i
     A query is a distinct pair of id and vector: an id with several vectors has k rows for each of them, a
     null id is one as any other, a null vector is none. Spark writes the queries as files of at most
     `block` into the shared folder; each partition of rows meets each file in a task of its own, which
-    multiplies its batches of rows with that block and keeps k per query, and those are ranked once more.
+    multiplies its rows with that block, so many of both at once, and keeps k per query; those are ranked once more.
     The result is the same for any number of tasks.
     """
     if k <= 0:
@@ -64,7 +65,8 @@ def batch_topk(queries: DataFrame, rows: DataFrame, k: int, *, query_id="qid", i
     files = spark.read.parquet(folder).inputFiles() if n else []
     if not files:
         return spark.createDataFrame([], f"{query_id} {qkind}, {id_col} {kind}, score double, rank int")
-    blocks = spark.createDataFrame(spark.sparkContext.parallelize([(f,) for f in files], len(files)), "block string")
+    # A range, so that a block's name costs no Python worker beside the one that searches.
+    blocks = spark.range(0, len(files), 1, len(files)).select(F.get(F.array(*map(F.lit, files)), F.col("id").cast("int")).alias("block"))
     held = rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     # With this hint a task has one partition of rows and one of the blocks, not all blocks at once.
     found = held.hint("shuffle_replicate_nl").crossJoin(blocks).mapInArrow(_search(k), f"q {qkind}, u bigint, id {kind}, score double")
@@ -81,50 +83,81 @@ def _read_block(uri: str) -> pa.Table:
         return pq.ParquetFile(f).read()
 
 
+def _vectors(v: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    if pc.count_distinct(pc.list_value_length(v)).as_py() > 1:
+        raise ValueError("the queries have vectors of several dimensions")
+    flat = np.asarray(v.combine_chunks().flatten(), dtype=np.float64)
+    return flat.reshape(len(v), -1) if len(v) else np.zeros((0, 0))
+
+
+class _Block:
+    """A block of queries with the k best rows of each so far."""
+
+    def __init__(self, table: pa.Table, k: int):
+        self.table, self.k, self.matrix = table.select(["q", "u"]), k, _vectors(table.column("v"))
+        self.norms, self.tops = np.linalg.norm(self.matrix, axis=1), [None] * len(self.matrix)
+        self.floor = np.full(len(self.matrix), -np.inf)  # the k-th best score, where there are k
+
+    def meet(self, x: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
+        for first in range(0, len(self.matrix), PRODUCT_QUERIES):
+            norms, floor = self.norms[first : first + PRODUCT_QUERIES], self.floor[first : first + PRODUCT_QUERIES]
+            s = (self.matrix[first : first + PRODUCT_QUERIES] @ x.T) / length
+            least = np.multiply(floor, norms, out=np.full(len(norms), -np.inf), where=norms > 0)
+            if len(x) > self.k and np.isneginf(least).any():
+                least = np.maximum(least, np.partition(s, len(x) - self.k, axis=1)[:, len(x) - self.k])
+            # The last bits of a matrix product depend on its shape: it only preselects, with room for them.
+            near_all = s >= (least - 1e-9 * norms)[:, None]
+            for i in (first + np.flatnonzero(near_all.any(axis=1))).tolist():
+                near = np.flatnonzero(near_all[i - first])
+                scores = (x[near] * self.matrix[i]).sum(axis=1) / (length[near] * self.norms[i]) if self.norms[i] > 0 else np.zeros(len(near))
+                got = ids[near]
+                if self.tops[i] is not None:
+                    scores, got = np.concatenate([self.tops[i][0], scores]), np.concatenate([self.tops[i][1], got])
+                at = _best(scores, got, self.k)
+                self.tops[i] = (scores[at], got[at])
+                if len(at) == self.k:
+                    self.floor[i] = scores[at[-1]]
+
+    def found(self, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for first in range(0, len(self.tops), PRODUCT_QUERIES):
+            held = [(i, *self.tops[i]) for i in range(first, min(len(self.tops), first + PRODUCT_QUERIES)) if self.tops[i] is not None and len(self.tops[i][0])]
+            if held:
+                at = pa.array(np.repeat([i for i, _, _ in held], [len(s) for _, s, _ in held]))
+                columns = self.table.take(at).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in columns.columns), pa.array([x for _, _, got in held for x in got.tolist()], kind), pa.array(np.concatenate([s for _, s, _ in held]))], names=["q", "u", "id", "score"])
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}
+        blocks: dict[str, _Block] = {}
+        kind = None
         for mixed in batches:
+            kind = mixed.schema.field("id").type
             for uri in mixed.column("block").unique().to_pylist():
-                if uri not in best:
-                    t = _read_block(uri)
-                    matrix = np.array(t.column("v").to_pylist(), dtype=np.float64).reshape(len(t), -1) if len(t) else np.zeros((0, 0))
-                    best[uri] = (t, matrix, np.linalg.norm(matrix, axis=1), [(np.zeros(0), None)] * len(matrix))
-                _, matrix, norms, tops = best[uri]
-                if not len(matrix):  # Spark writes a file for an empty first partition
+                if uri not in blocks:
+                    blocks[uri] = _Block(_read_block(uri), k)
+                block = blocks[uri]
+                if not len(block.matrix):  # Spark writes a file for an empty first partition
                     continue
-                batch = mixed.filter(pc.equal(mixed.column("block"), uri))
-                flat = np.asarray(batch.column("v").flatten(), dtype=np.float64)
-                if len(flat) != matrix.shape[1] * batch.num_rows:
-                    raise ValueError("a vector has another dimension than the queries")
-                x = flat.reshape(-1, matrix.shape[1])
-                length = np.sqrt((x * x).sum(axis=1))
-                ok = length > 0
-                id_values = np.asarray(batch.column("id").to_pylist(), dtype=object if pa.types.is_string(batch.column("id").type) else None)[ok]
-                for i, (near, s) in enumerate(_cosines(x[ok], length[ok], matrix, norms, k)):
-                    scores, got = tops[i]
-                    scores, got = np.concatenate([scores, s]), id_values[near] if got is None else np.concatenate([got, id_values[near]])
-                    at = _best(scores, got, k)
-                    tops[i] = (scores[at], got[at])
-        for t, _, _, tops in best.values():
-            for q, u, (scores, got) in zip(t.column("q").to_pylist(), t.column("u").to_pylist(), tops, strict=True):
-                if got is not None and len(got):
-                    yield pa.RecordBatch.from_pydict({"q": pa.array([q] * len(got), t.schema.field("q").type), "u": pa.array([u] * len(got), pa.int64()), "id": got.tolist(), "score": scores})
+                every = mixed.filter(pc.equal(mixed.column("block"), uri))
+                for first in range(0, every.num_rows, PRODUCT_ROWS):
+                    batch = every.slice(first, PRODUCT_ROWS)
+                    flat = np.asarray(batch.column("v").flatten(), dtype=np.float64)
+                    if len(flat) != block.matrix.shape[1] * batch.num_rows:
+                        raise ValueError("a vector has another dimension than the queries")
+                    x = flat.reshape(-1, block.matrix.shape[1])
+                    length = np.sqrt((x * x).sum(axis=1))
+                    ok = length > 0
+                    if ok.any():
+                        ids = np.asarray(batch.column("id").to_pylist(), dtype=object if pa.types.is_string(kind) else None)[ok]
+                        block.meet(x[ok], length[ok], ids)
+        for block in blocks.values():
+            yield from block.found(kind)
 
     return run
 
 
-def _cosines(x: np.ndarray, length: np.ndarray, matrix: np.ndarray, norms: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query, the places that can be among the k best, and their cosines."""
-    for first in range(0, matrix.shape[0], PRODUCT_QUERIES):
-        dots = (x @ matrix[first : first + PRODUCT_QUERIES].T) / length[:, None]
-        for i in range(first, first + dots.shape[1]):
-            s = dots[:, i - first]
-            # The last bits of a matrix product depend on its shape: it only preselects, with room for them.
-            near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * norms[i]) if len(s) > k else np.arange(len(s))
-            yield near, (x[near] * matrix[i]).sum(axis=1) / (length[near] * norms[i]) if norms[i] > 0 else np.zeros(len(near))
-
-
 def fused_ranks(lists: DataFrame, *, query_id="qid", id_col="chunk_id", constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists stacked as rows (query, id, rank)."""
     return lists.groupBy(query_id, id_col).agg(F.sum(1.0 / (constant + F.col("rank"))).alias("fused"))

@@ -1,14 +1,18 @@
 """What a step holds or sends grows no faster than its input."""
 
 import random
+import tracemalloc
 from datetime import datetime, timedelta
 
 import compare
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from evidlake import oracles, plans, queries
-from evidlake.operators import acceptance, evaluation, text, textindex
+from evidlake.operators import acceptance, evaluation, text, textindex, vector
 
 
 def test_draws_are_not_sent_through_the_driver(spark):
@@ -70,3 +74,25 @@ def test_texts_are_shuffled_once_for_the_stored_index(spark, tmp_path):
     assert got == want
     assert all((r.n, r.most) == (len(r.postings), max(len(p.positions) for p in r.postings)) and [p.id for p in r.postings] == sorted(p.id for p in r.postings) for r in index.collect())
     assert sum(r.n for r in index.where("term = ''").collect()) == 400
+
+
+def test_a_task_of_the_vector_search_holds_a_bounded_product(tmp_path):
+    rng = np.random.default_rng(4)
+    queries_, rows = rng.integers(-3, 4, (4096, 64)).astype(float), rng.integers(-3, 4, (10_000, 64)).astype(float)
+    queries_[7], rows[5], rows[9_000:9_040] = 0, 0, queries_[3]  # a query and a row without direction, and many ties over slices
+    pq.write_table(pa.table({"q": range(4096), "u": range(4096), "v": list(queries_)}), f"{tmp_path}/q.parquet")
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(10_000)[::-1], "v": list(rows), "block": [f"{tmp_path}/q.parquet"] * 10_000})
+    tracemalloc.start()
+    found = list(vector._search(5)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6
+    got: dict = {}
+    for r in (r for b in found for r in b.to_pylist()):
+        got.setdefault(r["q"], []).append((-r["score"], r["id"]))
+    norms = np.linalg.norm(rows, axis=1)
+    fine, ids = norms > 0, np.arange(10_000)[::-1]
+    for i in (0, 3, 7, 4095):
+        s = (rows[fine] * queries_[i]).sum(axis=1) / (norms[fine] * np.linalg.norm(queries_[i])) if i != 7 else np.zeros(fine.sum())
+        want = np.lexsort((ids[fine], -s))[:5]
+        assert [k for _, k in sorted(got[i])] == ids[fine][want].tolist() and np.allclose([-x for x, _ in sorted(got[i])], s[want])
