@@ -9,10 +9,11 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from evidlake import oracles, plans, queries
-from evidlake.operators import acceptance, evaluation, text, textindex, vector
+from evidlake.operators import acceptance, evaluation, lookup, text, textindex, vector
 
 
 def test_draws_are_not_sent_through_the_driver(spark):
@@ -96,3 +97,17 @@ def test_a_task_of_the_vector_search_holds_a_bounded_product(tmp_path):
         s = (rows[fine] * queries_[i]).sum(axis=1) / (norms[fine] * np.linalg.norm(queries_[i])) if i != 7 else np.zeros(fine.sum())
         want = np.lexsort((ids[fine], -s))[:5]
         assert [k for _, k in sorted(got[i])] == ids[fine][want].tolist() and np.allclose([-x for x, _ in sorted(got[i])], s[want])
+
+
+@pytest.mark.parametrize("sent", [10, 1000])
+def test_tasks_of_a_lookup_are_as_many_as_its_rows_call_for(spark, monkeypatch, sent):
+    monkeypatch.setattr(lookup, "TASK_ROWS", 50, raising=False)
+    monkeypatch.setattr(lookup, "BROADCAST_KEYS", sent)
+    commits = spark.range(400).select(F.col("id").alias("sha"), F.lit("m").alias("message"))
+    files = spark.range(1200).where("id % 400 <> 6").select((F.col("id") % 400).alias("sha"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.lit("A").alias("status"), F.lit(1).alias("additions"), F.lit(0).alias("deletions"))
+    keys = spark.range(300).select((F.col("id") * 3).alias("key"))
+    out = lookup.commits_with_files(commits, files, keys.unionByName(keys))
+    got = {r.key: (r.found, r.files and [f.path for f in r.files]) for r in out.collect()}
+    assert got == {k: (k < 400, None if k >= 400 else [] if k == 6 else sorted(f"p{k + 400 * i}" for i in range(3))) for k in range(0, 900, 3)}
+    if sent == 10:
+        assert out.rdd.getNumPartitions() >= 24
